@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, unigram
+from . import bpe, decontaminate, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_column(docs, byte_vocabulary(), digests=True).drop("text")
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
