@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, topk, unigram
+from . import bpe, decontaminate, quality, secrets, topk, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_column(docs, model).drop("text")
+
+
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secrets.fit(secrets.labelled_samples(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(docs, ratios).drop("text")
