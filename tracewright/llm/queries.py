@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets, topk, unigram
+from . import bpe, decontaminate, licenses, quality, secrets, topk, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secrets.fit(secrets.labelled_samples(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digests(docs, ratios).drop("text")
+
+
+@query
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
