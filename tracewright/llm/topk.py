@@ -20,9 +20,6 @@ are ignored.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -118,14 +115,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     queries = asked.select(F.lit(True).alias("asks"), "id", "x", F.pmod(mix, F.lit(q_blocks)).cast("int").alias("qb"), pairs_of("vb", v_blocks))
     candidates = rows.select(F.lit(False).alias("asks"), "id", "x", pairs_of("qb", q_blocks), F.pmod(mix, F.lit(v_blocks)).cast("int").alias("vb"))
 
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts), ignore_index=True)
+    def search(part: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, part["x"]), default=0)
         asks = part["asks"].to_numpy(bool)
         x, ids = padded(list(part["x"]), width), part["id"].to_numpy("int64")
-        yield block_search(ids[asks], x[asks], ids[~asks], x[~asks], pivots.value, k)
+        return block_search(ids[asks], x[asks], ids[~asks], x[~asks], pivots.value, k)
 
-    hits = queries.unionByName(candidates.select(queries.columns)).repartition(q_blocks * v_blocks, "qb", "vb").groupBy("qb", "vb").applyInPandas(lambda part: next(search(iter([part]))), HITS)
+    hits = queries.unionByName(candidates.select(queries.columns)).repartition(q_blocks * v_blocks, "qb", "vb").groupBy("qb", "vb").applyInPandas(search, HITS)
     # k rows a query and block of candidates: keep k as they come together.
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
     ranked = hits.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
