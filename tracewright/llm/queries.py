@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_duplicates, quality, secrets, topk, unigram
+from . import bpe, decontaminate, licenses, near_duplicates, quality, secrets, topk, unigram, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,8 @@ SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
