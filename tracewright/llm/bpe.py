@@ -31,7 +31,7 @@ from .common import spare_name
 #: Entries of a generation of a worker's caches; two generations are held, so that memory stays bounded.
 CACHE_ENTRIES = 200_000
 #: White space as Unicode defines it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "n_tokens long, ids binary, decoded string"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_duplicates, quality, secrets, topk, unigram, warc
+from . import bpe, decontaminate, html_extract, licenses, near_duplicates, quality, secrets, topk, unigram, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,8 @@ JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) r USING
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
