@@ -233,7 +233,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
 
     texts = docs.select(F.col(id_col).alias("low_id"), F.col(text).alias("text"))
     near = texts.join(chosen.select("low_id").distinct(), texts["low_id"].eqNullSafe(chosen["low_id"]), "left_semi")
-    near = near.select(again("text").alias("made")).select("made.fp", "made.s")
+    # Not deterministic as far as the optimiser knows: else a filter on its result, inferred from the
+    # join below, would be pushed under the semi-join and run on every text.
+    near = near.select(again.asNondeterministic()("text").alias("made")).select("made.fp", "made.s")
     # One row a class: copies of one set under one id give it several times.
     near = near.groupBy("fp").agg(F.first("s").alias("s")).join(chosen, F.col("fp") == F.col("node")).select("fp", "cluster", "s")
     near = durable(near, "near")
