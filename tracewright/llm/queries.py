@@ -135,3 +135,52 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+ORACLE["op2_warc"] = """
+WITH h AS (
+    SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages
+), d AS (
+    SELECT page_id, url, html, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((
+        list_sum(list_transform(range(5), lambda k: (strpos('0123456789abcdef', substr(x, CAST(5 * (j // 4) + k + 1 AS BIGINT), 1)) - 1) << CAST(4 * (4 - k) AS INTEGER)))::BIGINT
+        >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS digest FROM h
+), g AS (
+    SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, url,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+ORACLE["op5_license_scans"] = r"""
+WITH t AS (
+    SELECT * FROM (VALUES {rows}) AS t(template, phrase, label, words)
+), tp AS (
+    SELECT template, phrase, label, len(words) - 1 AS pairs, unnest(range(1, len(words))) AS i, words FROM t
+), docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), dp AS (
+    SELECT doc_id, w[i] AS a, w[i + 1] AS b, i FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)
+), votes AS (
+    SELECT doc_id, template, phrase, label, pairs, dp.i - tp.i AS diagonal, bit_or(CAST(1 AS BIGINT) << CAST(tp.i - 1 AS INTEGER)) AS bits
+    FROM dp JOIN tp ON dp.a = tp.words[tp.i] AND dp.b = tp.words[tp.i + 1] GROUP BY ALL
+), starts AS (
+    SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER w > {drift}, true) THEN 1 ELSE 0 END AS fresh FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)
+), numbered AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM starts
+), spans AS (
+    SELECT doc_id, template, phrase, label, pairs, span, min(diagonal) AS diagonal, bit_count(bit_or(bits)) / pairs AS cover FROM numbered GROUP BY doc_id, template, phrase, label, pairs, span
+), good AS (
+    SELECT * FROM spans WHERE cover >= CASE WHEN pairs <= {short} THEN 1.0 ELSE {cover} END
+), found AS (
+    SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word,
+           array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score
+    FROM good GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id
+""".replace("{rows}", ", ".join(
+    f"({k}, {phrase}, '{label}', string_split('{words}', ' '))"
+    for k, (phrase, label, words) in enumerate([*(("true", n, p) for p, n in licenses.PHRASES), *(("false", n, p) for n, p in licenses.TEMPLATES)])
+)).replace("{upper}", licenses.UPPER).replace("{lower}", licenses.LOWER).replace("{drift}", str(licenses.DRIFT)).replace("{short}", str(licenses.SHORT)).replace("{cover}", str(licenses.COVER))
