@@ -55,7 +55,7 @@ def exact_split(names: DataFrame, name: str, fraction: float, seed: int = 42) ->
 
     Finding the cut needs only the sorted hashes: a range exchange and a count, no single task holds all.
     """
-    hashed = names.withColumn("h", F.xxhash64(F.lit(seed), name))
+    hashed = names.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(name))))
     n = hashed.count()
     k = max(1, int(n * fraction)) if n else 0
     chosen = hashed.select(name, "h").orderBy("h", name).limit(k).select(F.col(name).alias("chosen"))

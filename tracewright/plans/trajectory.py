@@ -407,7 +407,7 @@ def q_first_wins_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_wins([a, b], "k").select("k", "source", "linked")
 
 
-@query()
+@query("""SELECT c_name, CASE WHEN row_number() OVER (ORDER BY md5('42:' || c_name), c_name) <= greatest(1, floor(count(*) OVER () * 0.15)) THEN 'val' ELSE 'train' END AS split FROM customer""")
 def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name")
     return S.exact_split(names, "c_name", 0.15)
