@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from struct import pack
 
 import numpy as np
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import spare_name
 
 #: Entries of a generation of a worker's caches; two generations are held, so that memory stays bounded.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
+#: Answers of the pair test that a worker remembers.
+PAIR_ENTRIES = 250_000
 #: White space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
@@ -171,6 +173,8 @@ class Encoder:
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) > PAIR_ENTRIES:
+                self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
 
@@ -295,7 +299,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters."""
     held, n = [], 0
     for t in texts:
@@ -311,24 +315,25 @@ def _slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
 def encode_column(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool = False) -> DataFrame:
     """docs with n_tokens and either ids and decoded, or the SHA-256 of both. A narrow map: no shuffle."""
 
+    names = [c.split()[0] for c in (DIGESTS if digests else SCHEMA).split(", ")]
+
     @F.pandas_udf(DIGESTS if digests else SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(vocabulary)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            n, x, y = [], [], []
-            for texts in _slices([t or "" for t in batch]):
+            # Results leave slice by slice, so that a worker holds few of them at a time.
+            for texts in _slices(t or "" for t in batch):
+                n, x, y = [], [], []
                 for ids in e.encode_batch(texts):
                     back = e.decode(ids)
                     n.append(len(ids) // 4)
                     x.append(sha(ids) if digests else ids)
                     y.append(sha(back.encode()) if digests else back)
-            names = DIGESTS if digests else SCHEMA
-            yield pd.DataFrame(dict(zip([c.split()[0] for c in names.split(", ")], (n, x, y), strict=True)))
+                yield pd.DataFrame(dict(zip(names, (n, x, y), strict=True)))
 
     held = spare_name(docs, "bpe")
     out = docs.withColumn(held, run(F.col(text)))
-    names = [c.split()[0] for c in (DIGESTS if digests else SCHEMA).split(", ")]
     for c in names:
         out = out.withColumn(spare_name(docs, c), F.col(f"{held}.{c}"))
     return out.drop(held)

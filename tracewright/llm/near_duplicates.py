@@ -43,7 +43,9 @@ from .components import components
 COORDINATES, LEAF, BLOCK, PIVOTS = 64, 32, 2048, 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+#: Documents whose sets a worker holds at a time.
+SLICE = 500
 
 
 class WordHashes(dict):
@@ -203,10 +205,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     num, den = similarity
     geometry = Geometry(num, den)
 
+    def slices(batches: Iterator[pd.Series]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                yield [shingles(t, shingle) for t in batch.iloc[lo : lo + SLICE]]
+
     @F.pandas_udf("n long, fp binary, keys array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = [shingles(t, shingle) for t in batch]
+        for held in slices(batches):
             yield pd.DataFrame({"n": [len(s) for s in held], "fp": [fingerprint(s) if len(s) else None for s in held], "keys": [geometry.keys(s) if len(s) else [] for s in held]})
 
     mark = spare_name(docs, "shingled")
@@ -227,8 +233,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
 
     @F.pandas_udf("fp binary, s binary")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = [shingles(t, shingle) for t in batch]
+        for held in slices(batches):
             yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "s": [s.tobytes() for s in held]})
 
     texts = docs.select(F.col(id_col).alias("low_id"), F.col(text).alias("text"))
