@@ -270,6 +270,8 @@ def test_first_of_groups(spark):
     text = " ".join(map(str, range(40)))
     df = documents(spark, [text, text, text + " 41", "other words", None, "", text], [3, 2, 5, 7, 8, 9, None])
     assert sorted((r.doc_id for r in near_duplicates.first_of_groups(df).collect()), key=str) == [2, 7, 8, 9, None]
+    again = documents(spark, [text, text, "other words", None, None, ""], [2, 2, 7, 8, 8, 9])
+    assert sorted(r.doc_id for r in near_duplicates.first_of_groups(again).collect()) == [2, 7, 8, 8, 9]
     assert near_duplicates.first_of_groups(df.where("false")).columns == df.columns
 
 
@@ -419,6 +421,8 @@ def test_blocks():
     assert texts("<ul><li>a<li>b</ul><div hidden>no</div><title>t</title>z") == ["a", "b", "z"]
     assert texts("a<!-- never ends") == ["a"] and texts("") == [] and texts(None) == []
     assert texts("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"]
+    assert texts("<p><i>x" * 20_000) == ["x"] * 20_000
+    assert texts("<head><title>t</title><body>x") == ["x"]
 
 
 def test_extraction(spark, labeller):

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, spare_name
+from .common import discard, durable, spare_name
 from .components import components
 
 #: Coordinates of a point, points of a leaf, classes of a block, pivots of a cluster that has several blocks.
@@ -227,6 +227,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     shared = published.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     ties = durable(published.join(shared.select("key", "low"), "key").where("fp <> low").select("fp", "low").distinct(), "ties")
     clusters = durable(components(ties, "fp", "low").withColumnRenamed("root", "cluster"), "clusters")
+    discard(ties)
 
     # The classes that have someone to meet, with their sets, made again from the text of one row each.
     chosen = clusters.join(classes, clusters["node"] == classes["fp"]).select("node", "cluster", "low_id")
@@ -246,6 +247,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     near = durable(near, "near")
     sizes = near.groupBy("cluster").agg(F.count("*").alias("members"))
     links = durable(compare(near, sizes, num, den), "links")
+    discard(near)
 
     found = components(links, "a", "b")
     lowest = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
@@ -300,8 +302,17 @@ def compare(near: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, unchanged, that have the least id of their group, one row each; those without words or id stay."""
-    found = similar_groups(docs.select(id_col, text), shingle, similarity, id_col, text)
-    keep = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col("n_shingles") > 0).alias("worded"), F.min("component_id").alias("component"))
-    keep = keep.where(F.col("component") == F.col(id_col)).select(id_col)
-    return docs.join(keep, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents, unchanged, that have the least id of their group; those without words or id stay.
+
+    Of several rows with one such id the one with the least text stays.
+    """
+    found = similar_groups(docs.select(id_col, text), shingle, similarity, id_col, text).where(F.col(id_col).isNotNull())
+    worded = F.count_if(F.col("n_shingles") > 0)
+    keep = found.groupBy(id_col).agg(F.min("component_id").alias("component"), (F.count("*") > F.greatest(F.lit(1), F.count("*") - worded + 1)).alias("repeated"))
+    keep = keep.where(F.col("component") == F.col(id_col)).select(id_col, "repeated")
+    held = docs.join(keep.select(id_col), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    again = durable(keep.where("repeated").select(id_col), "repeated")
+    if not again.limit(1).collect():
+        return held
+    one = docs.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))).alias("row"))
+    return held.join(again, id_col, "left_anti").unionByName(one.select("row.*"))
