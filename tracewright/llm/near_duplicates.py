@@ -44,6 +44,8 @@ COORDINATES, LEAF, BLOCK, PIVOTS = 64, 32, 2048, 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
 WORD_CACHE = 100_000
+#: Bits of the table that marks shared keys (8 MB).
+KEY_BITS = 1 << 26
 #: Documents whose sets a worker holds at a time.
 SLICE = 500
 
@@ -200,6 +202,32 @@ def links_in_group(members: list[np.ndarray], probes: list[np.ndarray], member_i
     return out
 
 
+def marked_keys(shared: DataFrame):
+    """Keeps of an array of keys those whose bit the shared keys have set: nearly all others go before a shuffle.
+
+    The bits are a table of fixed size (KEY_BITS), however many keys there are; what it lets through
+    wrongly meets no partner in the join that follows.
+    """
+    place = F.col("key").bitwiseAND(F.lit(KEY_BITS - 1))
+    parts = shared.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    table = np.zeros(KEY_BITS // 8, np.uint8)
+    for r in parts.collect():  # KEY_BITS / 2^15 rows of 4 kB at most
+        table[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    held = shared.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<long>")
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for keys in batch:
+                keys = np.asarray(keys, np.int64)
+                at = keys & (KEY_BITS - 1)
+                out.append(keys[(held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
+            yield pd.Series(out)
+
+    return keep.asNondeterministic()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the text, with n_shingles and component_id."""
     num, den = similarity
@@ -221,16 +249,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     n, fp = F.col(f"{mark}.n"), F.col(f"{mark}.fp")
     # Classes of equal sets. Every row of a class publishes the same keys; the first id's row will do.
     classes = rows.where(n > 0).groupBy(fp.alias("fp")).agg(F.min(id_col).alias("low_id"), F.count("*").alias("copies"))
-    published = rows.where(F.size(f"{mark}.keys") > 0).select(fp.alias("fp"), F.explode(f"{mark}.keys").alias("key"))
-
-    # Step 1: keys that several classes publish tie these classes to the least of them.
-    shared = published.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    ties = durable(published.join(shared.select("key", "low"), "key").where("fp <> low").select("fp", "low").distinct(), "ties")
-    clusters = durable(components(ties, "fp", "low").withColumnRenamed("root", "cluster"), "clusters")
+    # Step 1: keys that several classes publish tie these classes to the least of them. Here a class goes by
+    # a 64-bit hash: should two classes share one, they are compared with each other's partners as well.
+    publishers = rows.where(F.size(f"{mark}.keys") > 0).select(F.xxhash64(fp).alias("c"), F.col(f"{mark}.keys").alias("keys"))
+    published = publishers.select("c", F.explode("keys").alias("key"))
+    shared = durable(published.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"), "shared")
+    again_published = publishers.select("c", F.explode(marked_keys(shared)("keys")).alias("key"))
+    ties = durable(again_published.join(shared, "key").where("c <> low").select("c", "low").distinct(), "ties")
+    clusters = durable(components(ties, "c", "low").withColumnRenamed("root", "cluster"), "clusters")
     discard(ties)
+    discard(shared)
 
     # The classes that have someone to meet, with their sets, made again from the text of one row each.
-    chosen = clusters.join(classes, clusters["node"] == classes["fp"]).select("node", "cluster", "low_id")
+    chosen = clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select(F.col("fp").alias("node"), "cluster", "low_id")
 
     @F.pandas_udf("fp binary, s binary")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
