@@ -261,23 +261,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     discard(shared)
 
     # The classes that have someone to meet, with their sets, made again from the text of one row each.
-    chosen = clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select(F.col("fp").alias("node"), "cluster", "low_id")
+    # What is joined here is slim: ids and counts. The sets are shuffled once, to where they are compared.
+    chosen = clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "low_id")
+    members = chosen.groupBy("cluster").agg(F.count("*").alias("members"))
+    chosen = chosen.join(members, "cluster")
 
     @F.pandas_udf("fp binary, s binary")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for held in slices(batches):
             yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "s": [s.tobytes() for s in held]})
 
-    texts = docs.select(F.col(id_col).alias("low_id"), F.col(text).alias("text"))
-    near = texts.join(chosen.select("low_id").distinct(), texts["low_id"].eqNullSafe(chosen["low_id"]), "left_semi")
-    # Not deterministic as far as the optimiser knows: else a filter on its result, inferred from the
-    # join below, would be pushed under the semi-join and run on every text.
-    near = near.select(again.asNondeterministic()("text").alias("made")).select("made.fp", "made.s")
-    # One row a class: copies of one set under one id give it several times.
-    near = near.groupBy("fp").agg(F.first("s").alias("s")).join(chosen, F.col("fp") == F.col("node")).select("fp", "cluster", "s")
-    near = durable(near, "near")
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("members"))
-    links = durable(compare(near, sizes, num, den), "links")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+    # Not deterministic as far as the optimiser knows: else a filter on its result would be pushed under
+    # the join and run on every text. Rows that repeat an id and a text give a class several equal members.
+    near = texts.join(chosen, texts["doc"].eqNullSafe(chosen["low_id"])).select("fp", "cluster", "members", again.asNondeterministic()("text").alias("made"))
+    near = durable(near.where("made.fp = fp").select("fp", "cluster", "members", "made.s"), "near")
+    links = durable(compare(near, num, den), "links")
     discard(near)
 
     found = components(links, "a", "b")
@@ -289,10 +288,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     return out.select(*[F.col(f"`{c}`") for c in rest], n.alias(spare_name(docs, "n_shingles")), component.alias(spare_name(docs, "component_id")))
 
 
-def compare(near: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def compare(near: DataFrame, num: int, den: int) -> DataFrame:
     """Spanning links (a, b) of the similar pairs within each cluster."""
-    members = near.join(sizes, "cluster")
-    small, large = members.where(F.col("members") <= BLOCK), members.where(F.col("members") > BLOCK)
+    small, large = near.where(F.col("members") <= BLOCK), near.where(F.col("members") > BLOCK)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         role = part["role"].to_numpy()
