@@ -17,6 +17,7 @@ from tracewright.operators import neighbours as N
 from tracewright.operators import resample as R
 from tracewright.operators import reshape as S
 from tracewright.operators import vehicles as V
+from tracewright.plans import trajectory as T
 from tracewright.sources import annotations as files
 from tracewright.sources import observations as O
 from tracewright.sources import sinks
@@ -241,6 +242,25 @@ def test_unpivot_stops_at_the_first_gap(spark):
     assert one(S.unpivoted(wide, 3, ("x",)), "sample_idx", "x") == [(0, 1.0)]
 
 
+def test_pivots_hold_every_sample_second_and_measure(spark, tmp_path, monkeypatch):
+    o = obs(spark, [(0, 1, i, i / 2, 2, 3 * i, i * i) for i in range(41)] + [(0, 2, i, i / 2, 2, i, 0) for i in range(8)])
+    monkeypatch.setattr(T, "observations", lambda *_: o)
+    queries, nowhere = T.QUERIES, str(tmp_path)
+    s = {(r["track_id"], r["sample_idx"]): r for r in T.tables(spark, nowhere)[1].collect()}
+    assert len(s) == 41 + 8
+    wide = {r["track_id"]: r for r in queries["q_wide"](spark, nowhere).collect()}
+    assert set(wide) == {1, 2} and all(len(r) == 2 + 41 * len(S.WIDE) for r in wide.values())
+    for k, r in wide.items():
+        assert all(r[f"t{i}_{m}"] == (s[k, i][m] if (k, i) in s else None) for i in range(41) for m in S.WIDE)
+    long = queries["q_unpivot"](spark, nowhere).collect()
+    assert len(long) == len(s) and all(r[m] == s[r["track_id"], r["sample_idx"]][m] for r in long for m in S.WIDE)
+    sec = queries["q_by_second"](spark, nowhere).where("track_id = 1").first()
+    assert len(sec) == 2 + 21 * 4 and [sec[f"s{i}_cx"] for i in range(21)] == [6.0 * i for i in range(21)]
+    assert sec["s20_cy"] == 1600 and sec["s20_speed"] > 0 and sec["s20_cumulative_distance"] > 1600
+    none = o.where("false").withColumns({"sec": F.col("frame_id"), "sample_idx": F.col("frame_id")})
+    assert S.widened(none).count() == S.by_second(none).count() == 0
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.createDataFrame([(f"n{i}",) for i in range(11)], "name string")
     a, b = (sorted(one(S.exact_split(df, "name", 0.2), "name", "split")) for _ in range(2))

@@ -12,18 +12,35 @@ from .kinematics import TRACK
 WIDE = ("x", "y", "heading", "speed", "moved", "accel_linear", "accel_lateral", "dist_headway", "time_headway")
 
 
-def widened(samples: DataFrame, count: int, measures: tuple[str, ...] = WIDE) -> DataFrame:
+def sample_count(samples: DataFrame) -> int:
+    """The samples of the longest track: one bounded aggregate."""
+    last = samples.agg(F.max("sample_idx")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def widened(samples: DataFrame, count: int | None = None, measures: tuple[str, ...] = WIDE) -> DataFrame:
     """One row a track: t0_x, t0_y, ... up to t{count-1}_*; cells that a track lacks are null.
 
-    The columns are named in advance, so there is one aggregation and no pass to find the values.
+    Without a count the columns reach to the end of the longest track, which a first pass finds.
     """
-    cells = [F.max(F.when(F.col("sample_idx") == i, F.col(m))).alias(f"t{i}_{m}") for i in range(count) for m in measures]
-    return samples.where(F.col("sample_idx") < count).groupBy(*TRACK).agg(*cells)
+    if count is None:
+        count = sample_count(samples)
+    return pivoted(samples.where(F.col("sample_idx") < count), "sample_idx", list(range(count)), "t", measures)
+
+
+def by_second(resampled: DataFrame, seconds: list[int] | None = None, measures: tuple[str, ...] = ("cx", "cy", "speed", "cumulative_distance")) -> DataFrame:
+    """One row a track: s{second}_{measure} for the seconds named, or for every second that occurs."""
+    if seconds is None:
+        seconds = sorted(r[0] for r in resampled.select("sec").distinct().collect())
+    return pivoted(resampled, "sec", seconds, "s", measures)
 
 
-def by_second(resampled: DataFrame, seconds: list[int], measures: tuple[str, ...] = ("cx", "cy", "speed", "cumulative_distance")) -> DataFrame:
-    """One row a track: s{second}_{measure} for the seconds named."""
-    return resampled.groupBy(*TRACK).pivot("sec", seconds).agg(*[F.first(m).alias(m) for m in measures])
+def pivoted(rows: DataFrame, key: str, values: list[int], prefix: str, measures: tuple[str, ...]) -> DataFrame:
+    """One row a track with {prefix}{value}_{measure} for the key's values; a cell costs a place in a buffer, no test of each row."""
+    if not values:
+        return rows.select(*TRACK).distinct()
+    wide = rows.groupBy(*TRACK).pivot(key, values).agg(*[F.max(m).alias(m) for m in measures])
+    return wide.toDF(*TRACK, *[f"{prefix}{i}_{m}" for i in values for m in measures])
 
 
 def unpivoted(wide: DataFrame, count: int, measures: tuple[str, ...] = WIDE) -> DataFrame:

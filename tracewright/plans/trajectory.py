@@ -418,19 +418,19 @@ WIDE_MEASURES = ("x", "y", "speed")
 
 @query(AN + " SELECT video_id, track_id, " + ", ".join(f"max({m}) FILTER (sample_idx = {i}) AS t{i}_{m}" for i in range(12) for m in WIDE_MEASURES) + " FROM fs WHERE sample_idx < 12 GROUP BY video_id, track_id")
 def q_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.widened(tables(spark, sf_dir)[1], 12, WIDE_MEASURES)
+    return S.widened(tables(spark, sf_dir)[1])
 
 
 @query(AN + " SELECT video_id, track_id, CAST(sample_idx AS INTEGER) AS sample_idx, x, y, speed FROM fs WHERE sample_idx < 12")
 def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.unpivoted(S.widened(tables(spark, sf_dir)[1], 12, WIDE_MEASURES), 12, WIDE_MEASURES)
+    s = tables(spark, sf_dir)[1]
+    count = S.sample_count(s)
+    return S.unpivoted(S.widened(s, count), count)
 
 
 @query(RESAMPLED + " SELECT video_id, track_id, " + ", ".join(f"max({r('cx')}) FILTER (sec = {i}) AS s{i}_cx" for i in range(5, 15)) + " FROM res GROUP BY video_id, track_id")
 def q_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rounded_columns(R.whole_seconds(observations(spark, sf_dir)), "cx")
-    wide = S.by_second(s, list(range(5, 15)), ("cx",))
-    return wide.select("video_id", "track_id", *[F.col(f"`{k}`").alias(f"s{k.split('_')[0]}_cx") for k in wide.columns if k not in ("video_id", "track_id")])
+    return S.by_second(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), "cx", "cy", "speed", "cumulative_distance"))
 
 
 def frames_of(obs: DataFrame) -> DataFrame:
