@@ -391,6 +391,15 @@ def test_labeller_on_held_out_pages(labeller):
     assert right / total > 0.99
 
 
+def test_every_word_is_in_the_vector():
+    opening = "one two three four five six seven eight "
+    a, b = (html_extract.Block(("p",), opening + rest, 0, False) for rest in ("buy it here", "let us read"))
+    x, y = (html_extract.vectors([v])[0] for v in (a, b))
+    words = slice(html_extract.PATH_WIDTH, html_extract.PATH_WIDTH + html_extract.WORD_WIDTH)
+    assert (x[words] != y[words]).any() and np.delete(x, words) == pytest.approx(np.delete(y, words))
+    assert x[words].sum() == pytest.approx(1) and y[words].sum() == pytest.approx(1)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = html_extract.Labeller(rng)

@@ -202,8 +202,9 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         out[i, :PATH_WIDTH] = path_vector(b.path)
         words = b.text.split()
         n, chars = len(words), len(b.text)
-        for w in words[:8]:  # the opening of the block is enough for its hashed words
-            out[i, PATH_WIDTH + crc(w.lower()) % WORD_WIDTH] += 0.125
+        # Every word counts; the sum is scaled so that long and short blocks weigh alike.
+        places = np.fromiter((crc(w.lower()) % WORD_WIDTH for w in words), np.int64, n)
+        out[i, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = np.bincount(places, minlength=WORD_WIDTH) / n
         s = out[i, PATH_WIDTH + WORD_WIDTH :]
         s[0] = np.log1p(n) / 4
         s[1] = np.log1p(chars) / 6
