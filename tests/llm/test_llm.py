@@ -471,6 +471,36 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r._keep == truth[r.doc_id] for r in unseen]) > 0.97
 
 
+def test_co_training_reads_every_unlabelled_document(spark):
+    docs, labels, _ = corpus(3400, seed=3)
+    docs = [(i, t[:80], *rest) for i, t, *rest in docs]
+    labels = labels[:150]
+    got = quality.train(spark.createDataFrame(docs, COLUMNS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    pool = [d for d in docs if d[0] not in {i for i, *_ in labels}]
+    assert len(pool) > 3000
+    both = quality.features([d[1] for d in pool], [(d[3], d[2], d[4]) for d in pool])
+    rounds = []
+
+    def surest(models, taken, good, bad):
+        out = []
+        for k in (0, 1):
+            z = quality.logit(models[k], both[k])
+            order = [r for r in np.argsort(-z, kind="stable").tolist() if r not in taken[k]]
+            rows = [(r, 1.0) for r in order if z[r] > 2][:good] + [(r, 0.0) for r in order[::-1] if z[r] < -2][:bad]
+            out.append([(r, y, (both[0][r], both[1][r])) for r, y in rows])
+        rounds.append([len(x) for x in out])
+        return out
+
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in known.orderBy(F.xxhash64(F.lit(42), "doc_id")).collect()]
+    by_id, truth = {d[0]: d for d in docs}, {i: q for i, q, _ in labels}
+    own = quality.features([by_id[i][1] for i in order], [(by_id[i][3], by_id[i][2], by_id[i][4]) for i in order])
+    wanted = quality.co_train(*own, np.array([truth[i] for i in order]), surest)
+    assert max(map(max, rounds)) > 0
+    # Ties of the surest may fall otherwise; the scores hardly move.
+    assert np.abs(quality.score(got, *both)[:, 0] - quality.score(wanted, *both)[:, 0]).max() < 0.02
+
+
 def test_quality_without_labels(spark):
     df = spark.createDataFrame(corpus(20)[0], COLUMNS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -6,8 +6,9 @@ They start from labelled rows; in each round each labels the unlabelled rows it
 other learns from them. At the end each view is calibrated on labelled rows kept out of training, and
 the calibrated log-odds are combined, weighted on the same rows, to score all documents.
 
-Training reads a bounded sample (LABELLED and POOL rows, those with the smallest hashed ids, so the same
-rows on every run); scoring reads every document whole.
+The labelled rows are a bounded sample (LABELLED rows, those with the smallest hashed ids, so the same
+rows on every run). The unlabelled rows are all the others: each round scores every document whole in a
+distributed map, and only the ADDED surest ones of each view come to the driver.
 
 Defined cases: a null or empty text has the features of an empty text and is scored like any other;
 null metadata count as their own value; labels that are null, or for unknown documents, are left out; a
@@ -19,17 +20,18 @@ whose name is taken gets underscores before it.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import spare_name
 
-#: Labelled rows and unlabelled rows of the training sample.
-LABELLED, POOL = 3000, 3000
+#: Labelled rows of the training sample.
+LABELLED = 3000
 ROUNDS, ADDED = 4, 200
 PAIRS = 512
 STEPS = 120
@@ -105,7 +107,12 @@ def logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> dict | None:
+#: From the models of both views, the rows each may not take (by key), and how many good and bad ones to take:
+#: for each view the unlabelled rows it is surest of, as (key, label, (content, meta)).
+Surest = Callable[[list[np.ndarray], list[set[int]], int, int], list[list[tuple[int, float, tuple[np.ndarray, np.ndarray]]]]]
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest) -> dict | None:
     """The two classifiers and their calibrated combination; None without labels of both kinds."""
     if len(set(y.tolist())) < 2:
         return None
@@ -116,25 +123,23 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: tuple[n
     truth = y[~held].astype(float)
     balance = np.where(truth == 1, 0.5 / truth.mean(), 0.5 / (1 - truth.mean()))
     # What each classifier learns from: the labelled rows, then what the other one is sure of.
-    extra: list[dict[int, float]] = [{}, {}]
+    extra: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
+    good = max(1, int(ADDED * truth.mean()))
     models: list[np.ndarray] = []
     for turn in range(ROUNDS + 1):
         models = []
         for k in (0, 1):
-            rows = list(extra[k])
-            x = np.r_[views[k], pool[k][rows]] if rows else views[k]
-            labels = np.r_[truth, [extra[k][r] for r in rows]]
+            rows = list(extra[k].values())
+            x = np.r_[views[k], np.stack([v for _, v in rows])] if rows else views[k]
+            labels = np.r_[truth, [label for label, _ in rows]]
             models.append(fit_logistic(x, labels, np.r_[balance, np.full(len(rows), 0.5)]))
-        if turn == ROUNDS or not len(pool[0]):
+        if turn == ROUNDS:
             break
+        found = surest(models, [set(extra[1]), set(extra[0])], good, max(1, ADDED - good))
         for k in (0, 1):
-            z = logit(models[k], pool[k])
-            order = np.argsort(z, kind="stable")
-            good = max(1, int(ADDED * truth.mean()))
-            for r in [r for r in order[::-1] if z[r] > 2 and r not in extra[1 - k]][:good]:
-                extra[1 - k][int(r)] = 1.0
-            for r in [r for r in order if z[r] < -2 and r not in extra[1 - k]][: max(1, ADDED - good)]:
-                extra[1 - k][int(r)] = 0.0
+            extra[1 - k] |= {key: (label, both[1 - k]) for key, label, both in found[k]}
+        if not any(found):
+            break
     rows = held if held.any() else np.ones(len(y), bool)
     z = np.c_[logit(models[0], content[rows]), logit(models[1], meta[rows])]
     seen = y[rows].astype(float)
@@ -160,7 +165,7 @@ def features(texts: list, metas: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on the bounded sample. docs: doc_id, text, source, lang, n_chars; labels: doc_id, quality."""
+    """Fit on the labelled sample and all unlabelled rows. docs: doc_id, text, source, lang, n_chars; labels: doc_id, quality."""
     spark = docs.sparkSession
     cols = ["doc_id", "text", *META]
 
@@ -190,11 +195,45 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     wanted = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in labelled], "doc_id long"))
     truth = {r.doc_id: r.quality for r in known.join(wanted, "doc_id", "left_semi").collect()}
-    pool = sample(ids.join(known, "doc_id", "left_anti"), POOL)
-    matrix = lambda rows, f, width: np.frombuffer(b"".join(r[f] for r in rows), np.float32).reshape(len(rows), width)
-    shape = (("content", CONTENT_WIDTH), ("meta", META_WIDTH))
-    own, other = ([matrix(rows, *s) for s in shape] for rows in (labelled, pool))
-    return co_train(own[0], own[1], np.array([int(truth[r.doc_id] > 0) for r in labelled]), (other[0], other[1]))
+    arrays = lambda r: (np.frombuffer(r.content, np.float32), np.frombuffer(r.meta, np.float32))
+    content, meta = (np.stack(x) for x in zip(*map(arrays, labelled), strict=True))
+
+    # Equal rows are one; rows of one id that differ are documents each.
+    key = F.xxhash64("doc_id", "text", *META)
+    every = docs.select(key.alias("key"), *cols)
+
+    def surest(models: list[np.ndarray], taken: list[set[int]], good: int, bad: int) -> list[list]:
+        sent = spark.sparkContext.broadcast(models)
+
+        @F.pandas_udf("z0 double, z1 double")
+        def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                parts = []
+                for lo in range(0, len(b), 1000):
+                    own = b.iloc[lo : lo + 1000]
+                    both = features(list(own["text"]), list(zip(*[own[x] for x in META], strict=True)))
+                    parts.append(np.stack([logit(m, x) for m, x in zip(sent.value, both, strict=True)], axis=1))
+                yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=["z0", "z1"])
+
+        # Only keys and log-odds are joined and ranked; the texts stay where they are.
+        z = every.select("key", "doc_id", logits(F.struct("text", *META)).alias("z")).select("key", "doc_id", "z.*")
+        z = z.join(known.select("doc_id"), "doc_id", "left_anti")
+        views = F.array(*[F.struct(F.lit(k).alias("view"), F.col(f"z{k}").cast("double").alias("z")) for k in (0, 1)])
+        sure = z.select("key", F.explode(views).alias("v")).select("key", "v.*").where("abs(z) > 2")
+        for k in (0, 1):
+            if taken[k]:
+                sure = sure.where((F.col("view") != k) | ~F.col("key").isin(list(taken[k])))
+        sure = sure.groupBy("view", "key").agg(F.max("z").alias("z")).withColumn("good", F.col("z") > 0)
+        w = W.partitionBy("view", "good").orderBy(F.abs("z").desc(), "key")
+        chosen = sure.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("good"), good).otherwise(bad)).where(f"place <= {ADDED}").collect()
+        if not chosen:
+            return [[], []]
+        rows = every.where(F.col("key").isin(list({r.key for r in chosen}))).select("key", vectors(F.struct("text", *META)).alias("v")).select("key", "v.*")
+        own = {r.key: arrays(r) for r in rows.collect()}
+        chosen.sort(key=lambda r: (r.view, not r.good, r.place))
+        return [[(r.key, float(r.good), own[r.key]) for r in chosen if r.view == k] for k in (0, 1)]
+
+    return co_train(content, meta, np.array([int(truth[r.doc_id] > 0) for r in labelled]), surest)
 
 
 def score_column(docs: DataFrame, model: dict | None) -> DataFrame:
