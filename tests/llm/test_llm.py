@@ -69,6 +69,15 @@ def test_secrets_hold_out(spark, ratios):
     assert (got.random == got.said).mean() > 0.97
 
 
+def test_secrets_without_digits(spark, ratios):
+    """Random letters are judged by their ratio too; long ordinary words and rulers stay clean."""
+    random_ones = ["xQzVbKpWmTgRjHdYfLnC", "QvXzKjWqPbHtYgNdRfMcLs", "zqXvJkWpQbTgYhNmRdFcLsKx"]
+    clean = ["internationalizationSupportService", "counterrevolutionaries", "user_account_settings_page", "customerOrderHistoryController",
+             "=" * 40, "-" * 40, "_" * 30, "a" * 64, "src/main/resources/templates", "well-known-open-source-license"]
+    rows = secrets.digests(documents(spark, [f"see {t} now" for t in random_ones + clean]), ratios).orderBy("doc_id").collect()
+    assert [r.n_random for r in rows] == [1] * len(random_ones) + [0] * len(clean)
+
+
 def test_redaction(spark, ratios):
     df = clashing(spark, ["a token = abcdefgh12 b", None, "é clean"]).withColumn("n_chars", F.length("text"))
     rows = secrets.redact(df, ratios).orderBy("doc_id").collect()

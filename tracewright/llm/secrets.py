@@ -32,10 +32,10 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{32}", r"[0-9a-f]{32,}", 0, 32),
 )
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the Markov models: runs of at least so many token characters with a digit among them.
+#: Candidates of the Markov models: runs of at least so many token characters, whatever they hold.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 20
-RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{LEAST},}}"
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Mean log-likelihood ratio of a character pair from which a run counts as random.
 RATIO = 0.5
 #: Parts of ordinary identifiers, for the labelled samples (fixed list).
