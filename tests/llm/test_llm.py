@@ -284,6 +284,15 @@ def test_first_of_groups(spark):
     assert near_duplicates.first_of_groups(df.where("false")).columns == df.columns
 
 
+def test_first_of_groups_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    # Id 5 stands on two texts: one near document 1, one with its own copies.
+    df = documents(spark, [a, a + " z", b, b + " z", b], [1, 5, 5, 6, 7])
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.first_of_groups(df).collect()) == [(1, a), (5, b)]
+    df = documents(spark, [a, b, b], [3, 3, 3])
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.first_of_groups(df).collect()) == [(3, a), (3, b)]
+
+
 def test_keys_meet(spark):
     """Similar sets always publish a common key, whatever their sizes."""
     rng = np.random.default_rng(0)

@@ -230,6 +230,12 @@ def marked_keys(shared: DataFrame):
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the text, with n_shingles and component_id."""
+    out = rooted_groups(docs, shingle, similarity, id_col, text)
+    return out.drop(spare_name(docs, "root"))
+
+
+def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text: str) -> DataFrame:
+    """similar_groups with the component's own key, root: ids may repeat, so that components may share a least id."""
     num, den = similarity
     geometry = Geometry(num, den)
 
@@ -282,10 +288,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int
     found = components(links, "a", "b")
     lowest = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = lowest.groupBy("root").agg(F.min("low_id").alias("component"))
-    of_class = lowest.join(least, "root").select(F.col("fp").alias("class_fp"), "component")
+    of_class = lowest.join(least, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("class_root"), "component")
     out = rows.join(of_class, fp == F.col("class_fp"), "left")
     component = F.when(n > 0, F.col("component")).otherwise(F.col(id_col))
-    return out.select(*[F.col(f"`{c}`") for c in rest], n.alias(spare_name(docs, "n_shingles")), component.alias(spare_name(docs, "component_id")))
+    return out.select(*[F.col(f"`{c}`") for c in rest], n.alias(spare_name(docs, "n_shingles")), component.alias(spare_name(docs, "component_id")), F.col("class_root").alias(spare_name(docs, "root")))
 
 
 def compare(near: DataFrame, num: int, den: int) -> DataFrame:
@@ -333,15 +339,20 @@ def compare(near: DataFrame, num: int, den: int) -> DataFrame:
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, unchanged, that have the least id of their group; those without words or id stay.
 
-    Of several rows with one such id the one with the least text stays.
+    A group keeps one row. Of rows with its least id but different texts that is the one with the least
+    text hash; a row with that id in another group is judged there.
     """
-    found = similar_groups(docs.select(id_col, text), shingle, similarity, id_col, text).where(F.col(id_col).isNotNull())
-    worded = F.count_if(F.col("n_shingles") > 0)
-    keep = found.groupBy(id_col).agg(F.min("component_id").alias("component"), (F.count("*") > F.greatest(F.lit(1), F.count("*") - worded + 1)).alias("repeated"))
-    keep = keep.where(F.col("component") == F.col(id_col)).select(id_col, "repeated")
-    held = docs.join(keep.select(id_col), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    again = durable(keep.where("repeated").select(id_col), "repeated")
+    mark, root = "text_hash", "root"
+    hashed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias(mark))
+    found = rooted_groups(hashed, shingle, similarity, "id", "text").where("id is not null")
+    rows = found.groupBy("id", mark).agg(F.min(root).alias(root), F.count("*").alias("n"))
+    first = rows.where(F.col(root).isNotNull()).groupBy(root).agg(F.min(F.struct("id", mark, "n")).alias("row")).select("row.*")
+    keep = first.unionByName(rows.where(F.col(root).isNull()).select("id", mark, F.lit(1).cast("long").alias("n")))
+    keep = keep.select(F.col("id").alias("keep_id"), F.col(mark).alias("keep_hash"), "n")
+    same = (F.col(f"`{id_col}`") == F.col("keep_id")) & (F.xxhash64(text) == F.col("keep_hash"))
+    held = docs.join(keep, same, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    again = durable(keep.where("n > 1"), "repeated")
     if not again.limit(1).collect():
         return held
-    one = docs.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))).alias("row"))
-    return held.join(again, id_col, "left_anti").unionByName(one.select("row.*"))
+    one = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias("keep_id"), F.xxhash64(text).alias("keep_hash")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return held.join(again, same, "left_anti").unionByName(one.select("row.*"))
