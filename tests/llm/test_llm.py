@@ -390,6 +390,20 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(documents(spark, texts), bench.where("false")).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    r = random.Random(11)
+    held = items(40, r)
+    bench = spark.createDataFrame(held, "item_id long, text string")
+    # Parts of items lie near the threshold.
+    texts = [" ".join(w for w in t.split() if r.random() < share) + " n1 n2 n3" for _, t in held for share in (0.9, 0.97, 1)]
+    found = []
+    for size in (8_000_000, 2_000):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+        rows = decontaminate.leaks(documents(spark, texts), bench).collect()
+        found.append(sorted((x.doc_id, x.item_id, round(x.score, 9), x.question_overlap, x.answer_overlap, x.passage_start) for x in rows))
+    assert found[0] and found[0] == found[1]
+
+
 # 9 ----------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -59,19 +59,33 @@ def grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+class Statistics:
+    """What BM25 and the passages need to know of all items, however many indexes they are dealt into."""
+
+    def __init__(self):
+        self.items, self.words, self.longest = 0, 0, 0
+        self.found_in: Counter[bytes] = Counter()
+
+    def add(self, items: list[tuple[int, list[bytes], list[bytes]]]) -> Statistics:
+        for _, q, a in items:
+            if size := len(q) + len(a):
+                self.items, self.words, self.longest = self.items + 1, self.words + size, max(self.longest, size)
+                self.found_in.update({*q, *a})
+        return self
+
+
 class Index:
     """Posting lists with block maxima over (id, question words, answer words)."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], threshold: float = THRESHOLD, whole: Statistics | None = None):
+        whole = whole or Statistics().add(items)
         # Items of like length stand together, so that a block's maxima are close to its items' impacts.
         items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
         self.items, self.threshold = items, threshold
-        n = len(items)
         full = [Counter(q + a) for _, q, a in items]
         sizes = [len(q) + len(a) for _, q, a in items]
-        mean = sum(sizes) / max(1, n)
-        found_in: Counter[bytes] = Counter(t for c in full for t in c)
-        self.terms = {t: k + 1 for k, t in enumerate(found_in)}
+        n, mean, found_in = whole.items, whole.words / max(1, whole.items), whole.found_in
+        self.terms = {t: k + 1 for k, t in enumerate(dict.fromkeys(t for c in full for t in c))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
         for i, c in enumerate(full):
             impact = {}
@@ -81,14 +95,14 @@ class Index:
             own = sum(impact.values())
             for t, x in impact.items():
                 self.postings[self.terms[t]].append((i, x / own))
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-len(items) // BLOCK)
         self.block_max = np.zeros((len(self.terms) + 1, max(1, self.blocks)), np.float32)
         for t, ps in enumerate(self.postings):
             for i, x in ps:
                 # Rounded up: a bound in single precision must not fall below the impact.
                 self.block_max[t, i // BLOCK] = max(self.block_max[t, i // BLOCK], np.nextafter(np.float32(x), np.float32(2)))
         self.most = self.block_max.max(axis=1)
-        self.passage = max(128, 2 * max(sizes, default=0) // 2 * 2)
+        self.passage = max(128, 2 * whole.longest // 2 * 2)
 
     def passages(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(text, start, distinct terms) of the passages some block of which may reach the threshold."""
@@ -243,16 +257,21 @@ def leak_column(text: Column, benchmark: DataFrame) -> Column:
     items = benchmark.where(F.col("item_id").isNotNull() & (whole != "")).select(F.col("item_id").cast("long"), *parts)
     size = items.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     turns = -(-size // INDEX_BYTES)
-    columns = []
-    for k in range(turns):
-        part = items.where(F.pmod(F.xxhash64("item_id", *parts), F.lit(turns)) == k).distinct() if turns > 1 else items.distinct()
-        rows = part.collect()
-        split = (lambda r: (words_of(r[1]), words_of(r[2]))) if len(parts) == 2 else (lambda r: halves(r[1]))
-        index = spark.sparkContext.broadcast(Index([(r[0], *split(r)) for r in rows]))
-        columns.append(finder(index)(text))
+    split = (lambda r: (words_of(r[1]), words_of(r[2]))) if len(parts) == 2 else (lambda r: halves(r[1]))
+
+    def part_of(k: int) -> list[tuple[int, list[bytes], list[bytes]]]:
+        part = items.where(F.pmod(F.xxhash64("item_id", *parts), F.lit(turns)) == k) if turns > 1 else items
+        return [(r[0], *split(r)) for r in part.distinct().collect()]
+
+    # The statistics are those of all items, so that an item's score doesn't depend on the number of indexes.
+    whole = Statistics()
+    if turns > 1:
+        for k in range(turns):
+            whole.add(part_of(k))
+    columns = [finder(spark.sparkContext.broadcast(Index(part_of(k), whole=whole if turns > 1 else None)))(text) for k in range(turns)]
     if not columns:
         return F.array().cast(LEAKS)
-    return F.concat(*columns)
+    return F.array_sort(F.concat(*columns)) if turns > 1 else columns[0]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
