@@ -160,6 +160,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, lambda q: q % 10 == 0)
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.standard_normal(4))]) for i in range(60)]
+    rows += [(100, [3e6, 1.0, -2e6, 0.5]), (101, [-4e6, 2.0, 1.0, 1.0]), (110, [2.5e6, 2.5e6, 0.0, 1.0]), (120, [1e7, 0.0, 0.0, 0.0]), (131, [9e6, 1e-3, 1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == brute_top(rows, lambda q: q % 10 == 0)
+    for beyond in (3e16, 1e30):  # the score, and the component
+        with pytest.raises(Exception, match="fit a long"):
+            topk.top_k(spark.createDataFrame([(10, [beyond]), (11, [beyond])], "vec_id long, embedding array<float>"), F.col("vec_id") == 10).collect()
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 

@@ -13,9 +13,9 @@ Defined cases: a vector that is null, or holds a null or a component that is not
 rows with a null id take no part; vectors of different length are compared as if zeros followed; the
 empty vector scores 0 with every other. Ties go to the smaller id. Rows that repeat an id are candidates
 each, and never of a query with their own id; a query id that is repeated is answered once, from its
-first vector in order of components. No candidates, no rows. Scores are exact up to 2^62; vectors whose
-products could exceed that take no part (their components are beyond 2^31 / sqrt(length)). Other columns
-are ignored.
+first vector in order of components. No candidates, no rows. Every finite vector takes part: those with
+components beyond 2^31 / sqrt(length) are compared in Python's integers. A component or a score that
+doesn't fit a long is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +37,15 @@ HITS = "query_id long, vec_id long, score long"
 def quantised(vector: str, scale: int) -> Column:
     """floor(scale * x) of each component; null where the vector takes no part."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    limit = F.lit(2.0**31) / F.sqrt(F.greatest(F.size(x), F.lit(1)).cast("double")) / F.lit(float(scale))
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < limit - 1))
-    return F.when(F.col(vector).isNotNull() & fit, F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    scaled = lambda v: v * F.lit(float(scale))
+    whole = lambda v: F.when(F.abs(scaled(v)) < 2.0**63, F.floor(scaled(v))).otherwise(F.raise_error(F.lit("a component doesn't fit a long")).cast("long"))
+    return F.when(F.col(vector).isNotNull() & finite, F.transform(x, whole))
+
+
+def is_large(x: list[int]) -> bool:
+    """Whether products of the vector could exceed 2^62, or its components a double's whole numbers."""
+    return len(x) > 0 and max(abs(int(y)) for y in (min(x), max(x))) * len(x) ** 0.5 >= 2.0**31
 
 
 def spread_pivots(rows: list[list[int]], count: int) -> np.ndarray:
@@ -100,6 +106,19 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
+def exact_search(q_ids: list[int], q: list, ids: list[int], v: list, k: int) -> pd.DataFrame:
+    """The same for vectors of any size, pair by pair in Python's integers."""
+    out: list[tuple[int, int, int]] = []
+    v = [[int(y) for y in x] for x in v]
+    for query, x in zip(q_ids, q, strict=True):
+        x = [int(y) for y in x]
+        scores = [(-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in zip(ids, v, strict=True) if i != query]
+        if any(abs(s) >= 2**63 for s, _ in scores):
+            raise OverflowError(f"a score of vector {query} doesn't fit a long")
+        out += [(query, i, -s) for s, i in sorted(scores)[:k]]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best other rows for each row of is_query."""
     spark = vectors.sparkSession
@@ -107,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     q_blocks, v_blocks = max(1, -(-n.q // QUERY_BLOCK)), max(1, -(-n.n // CANDIDATE_BLOCK))
     sample = rows.select("x", F.xxhash64("id", "x").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()
-    pivots = spark.sparkContext.broadcast(spread_pivots([r.x for r in sample], PIVOTS))
+    pivots = spark.sparkContext.broadcast(spread_pivots([r.x for r in sample if not is_large(r.x)], PIVOTS))
 
     mix = F.xxhash64(F.lit(17), "id", "x")
     asked = rows.where("asks").groupBy("id").agg(F.min("x").alias("x"))
@@ -116,10 +135,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     candidates = rows.select(F.lit(False).alias("asks"), "id", "x", pairs_of("qb", q_blocks), F.pmod(mix, F.lit(v_blocks)).cast("int").alias("vb"))
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, part["x"]), default=0)
-        asks = part["asks"].to_numpy(bool)
-        x, ids = padded(list(part["x"]), width), part["id"].to_numpy("int64")
-        return block_search(ids[asks], x[asks], ids[~asks], x[~asks], pivots.value, k)
+        asks, large = part["asks"].to_numpy(bool), np.array([is_large(x) for x in part["x"]], bool)
+        some = part["x"][~large]
+        x, ids = padded(list(some), max(map(len, some), default=0)), part["id"].to_numpy("int64")
+        own, asked = ids[~large], asks[~large]
+        found = block_search(own[asked], x[asked], own[~asked], x[~asked], pivots.value, k)
+        if not large.any():
+            return found
+        rows = lambda mask: (ids[mask].tolist(), list(part["x"][mask]))
+        more = [exact_search(*rows(asks & large), *rows(~asks), k), exact_search(*rows(asks & ~large), *rows(~asks & large), k)]
+        return pd.concat([found, *more], ignore_index=True)
 
     hits = queries.unionByName(candidates.select(queries.columns)).repartition(q_blocks * v_blocks, "qb", "vb").groupBy("qb", "vb").applyInPandas(search, HITS)
     # k rows a query and block of candidates: keep k as they come together.
