@@ -436,13 +436,22 @@ def test_labeller_on_held_out_pages(labeller):
 
 def test_every_word_is_in_the_vector():
     opening = "one two three four five six seven eight "
-    a, b = (html_extract.Block(("p",), opening + rest, 0, False) for rest in ("buy it here", "let us read"))
+    a, b = (html_extract.Block((1, ("p",)), opening + rest, 0, False) for rest in ("buy it here", "let us read"))
     x, y = (html_extract.vectors([v])[0] for v in (a, b))
     words = slice(html_extract.PATH_WIDTH, html_extract.PATH_WIDTH + html_extract.WORD_WIDTH)
     assert (x[words] != y[words]).any() and np.delete(x, words) == pytest.approx(np.delete(y, words))
     assert x[words].sum() == pytest.approx(1) and y[words].sum() == pytest.approx(1)
 
 
+def test_the_middle_of_a_deep_path_counts():
+    deep = lambda name: "<div>" * 40 + f"<div class='{name}'>" + "<div>" * 40 + "text"
+    marks = lambda h: np.flatnonzero(html_extract.vectors(html_extract.blocks_of(h))[0][: html_extract.PATH_WIDTH]).tolist()
+    assert set(marks(deep("sidebar"))) - set(marks(deep(""))) == {html_extract.crc(".sidebar") % html_extract.PATH_WIDTH}
+    closed = "<div class='sidebar'><p>a</div>" + "<i>" * 60 + "<p>b"
+    vectors = html_extract.vectors(html_extract.blocks_of(closed))
+    assert vectors[1][html_extract.crc(".sidebar") % html_extract.PATH_WIDTH] == 0
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = html_extract.Labeller(rng)

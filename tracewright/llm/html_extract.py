@@ -36,8 +36,6 @@ from .common import spare_name
 PATH_WIDTH, WORD_WIDTH, SHAPE_WIDTH = 96, 24, 8
 INPUT = PATH_WIDTH + WORD_WIDTH + SHAPE_WIDTH
 HIDDEN = 16
-#: Open elements of a block's path that are read from either end.
-PATH_ENDS = 24
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 480, 8, 24, 20240501
 #: Blocks in one forward pass, at most, beyond a single page's own.
 FORWARD_BLOCKS = 20_000
@@ -69,7 +67,7 @@ SPACE = re.compile(r"\s+")
 class Block:
     __slots__ = ("path", "text", "linked", "inside")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, inside: bool):
+    def __init__(self, path: tuple[int, tuple[str, ...]], text: str, linked: int, inside: bool):
         self.path, self.text, self.linked, self.inside = path, text, linked, inside
 
 
@@ -90,8 +88,12 @@ def blocks_of(page: str | None) -> list[Block]:
     """The page's leaf blocks of text, in order."""
     page = page or ""
     out: list[Block] = []
-    # Open elements: tag, marks, hidden here or above. The path is built when a block ends.
+    # Open elements: tag, marks, hidden here or above.
     stack: list[tuple[str, tuple[str, ...], bool]] = []
+    # The path: the marks of all open elements but unmarked inline ones, how many fall on each place, and the places taken.
+    marks_open: list[str] = []
+    on_place = [0] * PATH_WIDTH
+    taken = 0
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
@@ -101,10 +103,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text and not (stack and stack[-1][2]):
-                # The path is a feature: of a very deep page its ends will do. The text is whole.
-                near = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
-                path = tuple(m for s in near if s[0] in BLOCK_TAGS or len(s[1]) > 1 for m in s[1])
-                out.append(Block(path, text, linked, bool(open_tags["article"] or open_tags["main"])))
+                out.append(Block((taken, tuple(marks_open[-2:])), text, linked, bool(open_tags["article"] or open_tags["main"])))
         parts.clear()
         linked = 0
 
@@ -115,8 +114,19 @@ def blocks_of(page: str | None) -> list[Block]:
             if open_tags["a"]:
                 linked += len(raw)
 
+    def on_path(tag: str, marks: tuple[str, ...]) -> bool:
+        return tag in BLOCK_TAGS or len(marks) > 1
+
     def pop_to(k: int) -> None:
+        nonlocal taken
         open_tags.subtract(s[0] for s in stack[k:])
+        for tag, marks, _ in stack[k:]:
+            if on_path(tag, marks):
+                del marks_open[len(marks_open) - len(marks) :]
+                for m in marks:
+                    on_place[place_of(m)] -= 1
+                    if not on_place[place_of(m)]:
+                        taken &= ~(1 << place_of(m))
         del stack[k:]
 
     def last(name: str) -> int:
@@ -177,6 +187,11 @@ def blocks_of(page: str | None) -> list[Block]:
             pop_to(last("head"))
         stack.append((tag, marks, hidden or bool(stack and stack[-1][2])))
         open_tags[tag] += 1
+        if on_path(tag, marks):
+            marks_open += marks
+            for mark in marks:
+                on_place[place_of(mark)] += 1
+                taken |= 1 << place_of(mark)
     flush()
     return out
 
@@ -185,13 +200,16 @@ def crc(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "replace"))
 
 
+@functools.lru_cache(maxsize=50_000)
+def place_of(mark: str) -> int:
+    return crc(mark) % PATH_WIDTH
+
+
 @functools.lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_WIDTH, np.float32)
-    for k, mark in enumerate(path):
-        out[crc(mark) % PATH_WIDTH] = 1
-        if k >= len(path) - 2:
-            out[crc(f"leaf {mark}") % PATH_WIDTH] = 1
+def path_vector(taken: int, leaf: tuple[str, ...]) -> np.ndarray:
+    out = np.array([taken >> k & 1 for k in range(PATH_WIDTH)], np.float32)
+    for mark in leaf:
+        out[place_of(f"leaf {mark}")] = 1
     return out
 
 
@@ -199,7 +217,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """A row for each block: hashed path, hashed words, shape."""
     out = np.zeros((len(blocks), INPUT), np.float32)
     for i, b in enumerate(blocks):
-        out[i, :PATH_WIDTH] = path_vector(b.path)
+        out[i, :PATH_WIDTH] = path_vector(*b.path)
         words = b.text.split()
         n, chars = len(words), len(b.text)
         # Every word counts; the sum is scaled so that long and short blocks weigh alike.
