@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether a query's shuffle files are removed when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see, from spark.checkpoint.dir.
 
-    Where the session names none (local tests) a folder of this process is made and set as the
-    checkpoint folder.
+    Where a local session names none (tests) a folder of this process is made and set as the checkpoint
+    folder; on a cluster such a folder would be seen by one machine only, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewright-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -34,10 +41,19 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def durable(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: the lineage is cut, a lost executor costs nothing.
+
+    The shuffle files of the write go with it (nothing reads them again), not when the driver happens to
+    collect its garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, durable
 
-MOST_ROUNDS = 60
-
 
 def star_step(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node (the larger ones, or the smaller ones and itself) to the least of them."""
@@ -39,20 +37,17 @@ def are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has an edge; the root is the least node of its component.
 
-    Edges must have comparable, non-null ends. A step costs two shuffles of the edges; the lineage is
-    cut in the shared folder after each pair of steps, and steps go on until all that is left are stars.
-    Nothing but a row that says so comes to the driver. Hubs are split by the join (their neighbours are
-    rows, never a list).
+    Ends must be comparable; edges with a null end are left out, as are loops. No edges, no rows. A step
+    costs two shuffles of the edges; the lineage is cut in the shared folder after each pair of steps, and
+    steps go on until all that is left are stars, which the method reaches in O(log^2 n) rounds. Nothing
+    but a row that says so comes to the driver. A hub's neighbours are rows, never a list; the join that
+    meets them with its least neighbour is split by adaptive execution where the hub is skewed.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     current = durable(edges.where(F.col(a) != F.col(b)).select(high.alias("a"), low.alias("b")).distinct(), "edges")
-    for _ in range(MOST_ROUNDS):
-        if are_stars(current):
-            break
+    while not are_stars(current):
         after = durable(star_step(star_step(current, True), False), "edges")
         discard(current)
         current = after
-    else:
-        raise RuntimeError("the components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

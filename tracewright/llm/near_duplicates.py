@@ -13,9 +13,11 @@ are never compared. Classes are compared in three steps:
 2. R-tree. Within a cluster each class is a point, the counts of its shingles in 64 groups. The points
    are packed into an R-tree (sorted by size and principal spread, leaves of 32 under one level of
    boxes). Summed coordinate minima bound the overlap: first against a box's upper corner, then against
-   each point. A cluster of more than BLOCK classes is dealt into blocks of classes, each searched
-   by groups of probes, first by a few pivots, then by the classes that no pivot tied to the cluster's
-   main component. Pairs already linked through others are not tested again; what is tested is exact.
+   each point. A cluster of more than BLOCK classes or BLOCK_SHINGLES shingles is the tree's upper level
+   in tables: its classes are seated in blocks by size class, and a probe meets only blocks whose sizes
+   can be similar to its own. A few pivots of each cluster probe first, then the classes that no pivot
+   tied to the cluster's main component. Pairs already linked through others are not tested again; what
+   is tested is exact.
 3. Verify. Surviving pairs are compared by the sizes of the sets' intersection and union, in integers.
 
 The links give the components. Hashes of shingles and sets have 64 and 128 bits.
@@ -23,7 +25,12 @@ The links give the components. Hashes of shingles and sets have 64 and 128 bits.
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; a null id is no document's
 representative, and component_id is then the least non-null id of its component (null if there is
-none); rows that repeat an id are documents each; other columns pass through. Texts are read whole.
+none); rows that repeat an id are documents each; other columns pass through, and a result column whose
+name is taken gets underscores before it; no documents, no rows. Texts are read whole.
+
+What is written for later steps is slim (ids, hashes, counts) but for one frame, the sets of the classes
+that have someone to meet. Keys are never written: they are made again from the texts where they are
+needed. Nothing but rows that end a loop and the bits that mark shared keys comes to the driver.
 """
 
 from __future__ import annotations
@@ -33,19 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, durable, spare_name
 from .components import components
 
-#: Coordinates of a point, points of a leaf, classes of a block, pivots of a cluster that has several blocks.
-COORDINATES, LEAF, BLOCK, PIVOTS = 64, 32, 2048, 16
+#: Coordinates of a point, points of a leaf, classes and shingles of a block, pivots of a cluster that has several blocks.
+COORDINATES, LEAF, BLOCK, BLOCK_SHINGLES, PIVOTS = 64, 32, 2048, 4_000_000, 16
+#: Ratio of the bounds of a size class of a large cluster's blocks.
+SIZE_STEP = 1.1
+#: Ways in which the rows of one cluster are dealt where they meet a row about the cluster.
+SALTS = 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
 WORD_CACHE = 100_000
-#: Bits of the table that marks shared keys (8 MB).
-KEY_BITS = 1 << 26
+#: Bits of the table that marks shared keys: eight a key, within these bounds (8 and 64 MB).
+LEAST_BITS, MOST_BITS = 1 << 26, 1 << 29
 #: Documents whose sets a worker holds at a time.
 SLICE = 500
 
@@ -205,37 +216,46 @@ def links_in_group(members: list[np.ndarray], probes: list[np.ndarray], member_i
 def marked_keys(shared: DataFrame):
     """Keeps of an array of keys those whose bit the shared keys have set: nearly all others go before a shuffle.
 
-    The bits are a table of fixed size (KEY_BITS), however many keys there are; what it lets through
+    The table has eight bits for each shared key, but LEAST_BITS to MOST_BITS; what it lets through
     wrongly meets no partner in the join that follows.
     """
-    place = F.col("key").bitwiseAND(F.lit(KEY_BITS - 1))
+    wanted = 8 * shared.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << wanted.bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
     parts = shared.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
-    table = np.zeros(KEY_BITS // 8, np.uint8)
-    for r in parts.collect():  # KEY_BITS / 2^15 rows of 4 kB at most
+    table = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # bits / 8 bytes at most
         table[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     held = shared.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("array<long>")
-    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for keys in batch:
-                keys = np.asarray(keys, np.int64)
-                at = keys & (KEY_BITS - 1)
-                out.append(keys[(held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
-            yield pd.Series(out)
+    def keep(keys: np.ndarray) -> np.ndarray:
+        at = keys & (bits - 1)
+        return keys[(held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+
+    return keep
+
 
-    return keep.asNondeterministic()
+def salted(rows: DataFrame, about: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows joined with one row about each of their keys, of which one may hold most rows: they are dealt SALTS ways."""
+    own = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    return own.join(about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the text, with n_shingles and component_id."""
-    out = rooted_groups(docs, shingle, similarity, id_col, text)
+    out, _ = rooted_groups(docs, shingle, similarity, id_col, text)
     return out.drop(spare_name(docs, "root"))
 
 
-def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text: str) -> DataFrame:
-    """similar_groups with the component's own key, root: ids may repeat, so that components may share a least id."""
+def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """similar_groups with the component's own key, root: ids may repeat, so that components may share a least id.
+
+    The second result are the written frames that the first reads.
+    """
     num, den = similarity
     geometry = Geometry(num, den)
 
@@ -244,59 +264,89 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
             for lo in range(0, len(batch), SLICE):
                 yield [shingles(t, shingle) for t in batch.iloc[lo : lo + SLICE]]
 
-    @F.pandas_udf("n long, fp binary, keys array<long>")
+    @F.pandas_udf("n long, fp binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for held in slices(batches):
-            yield pd.DataFrame({"n": [len(s) for s in held], "fp": [fingerprint(s) if len(s) else None for s in held], "keys": [geometry.keys(s) if len(s) else [] for s in held]})
+            yield pd.DataFrame({"n": [len(s) for s in held], "fp": [fingerprint(s) if len(s) else None for s in held]})
 
     mark = spare_name(docs, "shingled")
     rest = [c for c in docs.columns if c != text]
     rows = durable(docs.withColumn(mark, sets(F.col(text))).select(*[F.col(f"`{c}`") for c in rest], mark), "shingled")
     n, fp = F.col(f"{mark}.n"), F.col(f"{mark}.fp")
-    # Classes of equal sets. Every row of a class publishes the same keys; the first id's row will do.
-    classes = rows.where(n > 0).groupBy(fp.alias("fp")).agg(F.min(id_col).alias("low_id"), F.count("*").alias("copies"))
+    # Classes of equal sets.
+    classes = durable(rows.where(n > 0).groupBy(fp.alias("fp")).agg(F.min(id_col).alias("low_id"), F.max(n).alias("n")), "classes")
+
     # Step 1: keys that several classes publish tie these classes to the least of them. Here a class goes by
     # a 64-bit hash: should two classes share one, they are compared with each other's partners as well.
-    publishers = rows.where(F.size(f"{mark}.keys") > 0).select(F.xxhash64(fp).alias("c"), F.col(f"{mark}.keys").alias("keys"))
-    published = publishers.select("c", F.explode("keys").alias("key"))
-    shared = durable(published.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"), "shared")
-    again_published = publishers.select("c", F.explode(marked_keys(shared)("keys")).alias("key"))
-    ties = durable(again_published.join(shared, "key").where("c <> low").select("c", "low").distinct(), "ties")
-    clusters = durable(components(ties, "c", "low").withColumnRenamed("root", "cluster"), "clusters")
-    discard(ties)
+    def published(keep=None) -> DataFrame:
+        @F.pandas_udf("fp binary, keys array<long>")
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for held in slices(batches):
+                found = [geometry.keys(s) if len(s) else np.zeros(0, np.int64) for s in held]
+                yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "keys": [keep(k) for k in found] if keep else found})
+
+        # Not deterministic as far as the optimiser knows: else it would be repeated in inferred filters.
+        made = docs.select(keys.asNondeterministic()(F.col(text)).alias("made"))
+        return made.select(F.xxhash64("made.fp").alias("c"), F.explode("made.keys").alias("key"))
+
+    shared = durable(published().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"), "shared")
+    ties = durable(published(marked_keys(shared)).join(shared, "key").where("c <> low").select("c", "low").distinct(), "ties")
     discard(shared)
+    clusters = components(ties, "c", "low").withColumnRenamed("root", "cluster")
+    discard(ties)
 
-    # The classes that have someone to meet, with their sets, made again from the text of one row each.
-    # What is joined here is slim: ids and counts. The sets are shuffled once, to where they are compared.
-    chosen = clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "low_id")
-    members = chosen.groupBy("cluster").agg(F.count("*").alias("members"))
-    chosen = chosen.join(members, "cluster")
+    # The classes that have someone to meet, and where they are compared: slim rows.
+    chosen = durable(clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "low_id", "n"), "chosen")
+    discard(clusters)
+    places, boxes = seats(chosen)
 
+    # Their sets, made again from the text of one row each. Rows that repeat an id and a text give a class
+    # several equal members.
     @F.pandas_udf("fp binary, s binary")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for held in slices(batches):
             yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "s": [s.tobytes() for s in held]})
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    # Not deterministic as far as the optimiser knows: else a filter on its result would be pushed under
-    # the join and run on every text. Rows that repeat an id and a text give a class several equal members.
-    near = texts.join(chosen, texts["doc"].eqNullSafe(chosen["low_id"])).select("fp", "cluster", "members", again.asNondeterministic()("text").alias("made"))
-    near = durable(near.where("made.fp = fp").select("fp", "cluster", "members", "made.s"), "near")
-    links = durable(compare(near, num, den), "links")
+    near = texts.join(places, texts["doc"].eqNullSafe(places["low_id"])).select(*[c for c in places.columns if c != "low_id"], again.asNondeterministic()("text").alias("made"))
+    near = durable(near.where("made.fp = fp").select(*[c for c in places.columns if c != "low_id"], "made.s"), "near")
+    for frame in (chosen, places):
+        discard(frame)
+    links = compare(near, boxes, num, den)
     discard(near)
+    discard(boxes)
 
     found = components(links, "a", "b")
+    discard(links)
     lowest = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = lowest.groupBy("root").agg(F.min("low_id").alias("component"))
-    of_class = lowest.join(least, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("class_root"), "component")
+    of_class = durable(lowest.join(least, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("class_root"), "component"), "of-class")
+    for frame in (found, classes):
+        discard(frame)
     out = rows.join(of_class, fp == F.col("class_fp"), "left")
     component = F.when(n > 0, F.col("component")).otherwise(F.col(id_col))
-    return out.select(*[F.col(f"`{c}`") for c in rest], n.alias(spare_name(docs, "n_shingles")), component.alias(spare_name(docs, "component_id")), F.col("class_root").alias(spare_name(docs, "root")))
+    out = out.select(*[F.col(f"`{c}`") for c in rest], n.alias(spare_name(docs, "n_shingles")), component.alias(spare_name(docs, "component_id")), F.col("class_root").alias(spare_name(docs, "root")))
+    return out, [rows, of_class]
 
 
-def compare(near: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning links (a, b) of the similar pairs within each cluster."""
-    small, large = near.where(F.col("members") <= BLOCK), near.where(F.col("members") > BLOCK)
+def seats(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chosen (fp, cluster, low_id, n) with `large`, and for large clusters z (size class), block and pivot; and the
+    boxes (cluster, z, blocks) of the large clusters: how many blocks each size class has."""
+    total = chosen.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    large = total.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster", F.lit(True).alias("large"))
+    marked = salted(chosen, large, "cluster", how="left").withColumns({"large": F.coalesce("large", F.lit(False)), "z": size_class(F.col("n"))})
+    blocks = F.ceil(2 * F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    boxes = durable(marked.where("large").groupBy("cluster", "z").agg(blocks.alias("blocks")), "boxes")
+    held = salted(marked, boxes, "cluster", "z", how="left")
+    slot = F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(PIVOTS))
+    pivots = marked.where("large").groupBy("cluster", slot.alias("slot")).agg(F.min("fp").alias("fp")).select("cluster", "fp", F.lit(True).alias("pivot"))
+    held = held.join(pivots, ["cluster", "fp"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    block = F.when(F.col("large"), F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int")
+    return durable(held.withColumn("block", block).drop("blocks"), "places"), boxes
+
+
+def compare(near: DataFrame, boxes: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning links (a, b) of the similar pairs within each cluster, written."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         role = part["role"].to_numpy()
@@ -307,33 +357,47 @@ def compare(near: DataFrame, num: int, den: int) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"])
 
     def searched(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("cluster", "block", "probes").applyInPandas(run, "a binary, b binary")
+        return rows.groupBy("cluster", "z", "block", "probes").applyInPandas(run, "a binary, b binary")
 
     # role: 1 member, 2 probe, 3 both
-    whole = small.select("cluster", F.lit(0).alias("block"), F.lit(0).alias("probes"), "fp", "s", F.lit(3).alias("role"))
-    out = searched(whole)
-    if large.select("cluster").limit(1).count() == 0:
-        return out
-
-    blocks = F.ceil(F.col("members") / BLOCK * 2).cast("int")
-    block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    low = large.groupBy("cluster", F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(PIVOTS)).alias("slot")).agg(F.min("fp").alias("fp")).select("cluster", "fp")
-    pivots = large.join(low, ["cluster", "fp"], "left_semi").select("cluster", every.alias("block"), F.lit(0).alias("probes"), "fp", "s", F.lit(2).alias("role"))
-    seated = large.select("cluster", block.alias("block"), F.lit(0).alias("probes"), "fp", "s", F.lit(1).alias("role"))
-    first = durable(searched(seated.unionByName(pivots)), "links")
+    none = F.lit(0).alias("probes")
+    whole = near.where(~F.col("large")).select("cluster", F.lit(0).alias("z"), "block", none, "fp", "s", F.lit(3).alias("role"))
+    if boxes.isEmpty():
+        return durable(searched(whole), "links")
+
+    # A probe meets the blocks of the size classes that hold similar sizes, a seated class the probes of these.
+    reach = F.sequence(size_class(F.ceil(F.col("n") * num / den)), size_class(F.floor(F.col("n") * den / num)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    large = near.where("large")
+    met = large.where("pivot").select("cluster", F.explode(reach).alias("z"), "fp", "s")
+    met = met.join(boxes, ["cluster", "z"]).select("cluster", "z", every("blocks").alias("block"), none, "fp", "s", F.lit(2).alias("role"))
+    seated = large.select("cluster", "z", "block", none, "fp", "s", F.lit(1).alias("role"))
+    first = durable(searched(whole.unionByName(seated).unionByName(met)), "links")
 
     # What the pivots tied to a cluster's main component needs no search among itself.
     root = components(first, "a", "b")
-    labelled = large.join(root, large["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    slim = large.select("fp", "cluster", "z")
+    labelled = slim.join(root, slim["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     main = labelled.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    loose = labelled.join(main, "cluster").where("root <> main").drop("root", "main")
-    loose = durable(loose, "loose")
-    turns = loose.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK * 2).cast("int").alias("turns"))
-    probe_of = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("turns")).cast("int")
-    probes = loose.join(turns, "cluster").select("cluster", every.alias("block"), probe_of.alias("probes"), "fp", "s", F.lit(2).alias("role"))
-    seats = large.join(turns, "cluster").select("cluster", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("probes"), "fp", "s", F.lit(1).alias("role"))
-    return out.unionByName(first).unionByName(searched(seats.unionByName(probes)))
+    loose = durable(salted(labelled, main, "cluster").where("root <> main").select("fp", "cluster", "z"), "loose")
+    discard(root)
+    size = large.select("cluster", "z", "fp", "n").join(loose.select("fp"), "fp", "left_semi").groupBy("cluster", "z")
+    turns = durable(size.agg(F.ceil(2 * F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("turns")), "turns")
+    if turns.isEmpty():
+        for frame in (loose, turns):
+            discard(frame)
+        return first
+    # Probes of one size class and turn, against the seated classes of one block.
+    probes = salted(large.join(loose.select("fp"), "fp", "left_semi"), turns, "cluster", "z")
+    probes = probes.select("cluster", "fp", "s", F.col("z").alias("from_z"), F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("turns")).cast("int").alias("turn"), F.explode(reach).alias("z"))
+    probes = salted(probes, boxes, "cluster", "z").select("cluster", "z", every("blocks").alias("block"), "from_z", "turn", "fp", "s", F.lit(2).alias("role"))
+    asked = salted(large.select("cluster", "z", "block", "fp", "s", F.explode(reach).alias("from_z")), turns.withColumnRenamed("z", "from_z"), "cluster", "from_z")
+    asked = asked.select("cluster", "z", "block", "from_z", every("turns").alias("turn"), "fp", "s", F.lit(1).alias("role"))
+    met = asked.unionByName(probes).withColumn("probes", F.struct("from_z", "turn")).drop("from_z", "turn")
+    out = durable(first.unionByName(searched(met)), "links")
+    for frame in (first, loose, turns):
+        discard(frame)
+    return out
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,15 +408,17 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     """
     mark, root = "text_hash", "root"
     hashed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias(mark))
-    found = rooted_groups(hashed, shingle, similarity, "id", "text").where("id is not null")
-    rows = found.groupBy("id", mark).agg(F.min(root).alias(root), F.count("*").alias("n"))
+    found, frames = rooted_groups(hashed, shingle, similarity, "id", "text")
+    rows = found.where("id is not null").groupBy("id", mark).agg(F.min(root).alias(root), F.count("*").alias("n"))
     first = rows.where(F.col(root).isNotNull()).groupBy(root).agg(F.min(F.struct("id", mark, "n")).alias("row")).select("row.*")
     keep = first.unionByName(rows.where(F.col(root).isNull()).select("id", mark, F.lit(1).cast("long").alias("n")))
-    keep = keep.select(F.col("id").alias("keep_id"), F.col(mark).alias("keep_hash"), "n")
+    keep = durable(keep.select(F.col("id").alias("keep_id"), F.col(mark).alias("keep_hash"), "n"), "kept")
+    for frame in frames:
+        discard(frame)
     same = (F.col(f"`{id_col}`") == F.col("keep_id")) & (F.xxhash64(text) == F.col("keep_hash"))
     held = docs.join(keep, same, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    again = durable(keep.where("n > 1"), "repeated")
-    if not again.limit(1).collect():
+    again = keep.where("n > 1")
+    if again.isEmpty():
         return held
     one = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias("keep_id"), F.xxhash64(text).alias("keep_hash")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return held.join(again, same, "left_anti").unionByName(one.select("row.*"))
