@@ -5,10 +5,14 @@ are never compared. Classes are compared in three steps:
 
 1. Partition. Two sets of sizes a and b with Jaccard similarity s or more differ in at most
    D = (a + b)(1 - s)/(1 + s) shingles. In a band of sizes the shingles are dealt by hash into more
-   than D groups, so some group is equal in both sets: classes that share no group's content in a band
-   need no look. A class speaks for its own band and, if a partner may be there, for the next. Groups
-   that are empty in a set prove nothing; a class with so many empty groups that an equal one need not
-   have content also publishes its empty groups. The argument is exact: no bucket is capped.
+   than D groups, of which at most D differ: classes that share no group's content in a band need no
+   look. A class speaks for its own band and, if a partner may be there, for the next. Groups that are
+   empty in a set prove nothing; a class with so many empty groups that an equal one need not have
+   content also publishes its empty groups. Of all these keys a class need only publish D + 1, in an
+   order that all classes share: the rarest in the corpus first, empty groups last. Two similar classes
+   differ in D groups at most, so the first key in which they agree is among the first D + 1 of both.
+   What many documents share (a passage, a notice) is thereby left out, and a class whose first D + 1
+   keys are its own alone meets nobody. The argument is exact: no bucket is capped.
    Classes that share content, directly or through others, form a cluster.
 2. R-tree. Within a cluster each class is a point, the counts of its shingles in 64 groups. The points
    are packed into an R-tree (sorted by size and principal spread, leaves of 32 under one level of
@@ -36,12 +40,13 @@ needed. Nothing but rows that end a loop and the bits that mark shared keys come
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import discard, durable, spare_name
 from .components import components
@@ -55,8 +60,10 @@ SALTS = 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
 WORD_CACHE = 100_000
-#: Bits of the table that marks shared keys: eight a key, within these bounds (8 and 64 MB).
-LEAST_BITS, MOST_BITS = 1 << 26, 1 << 29
+#: Numbers of documents from which a shared key counts as more frequent, and the bits of the table for each of
+#: them: eight a shared key, within these bounds (16 to 64 MB for all).
+FREQUENT = (2, 8, 64, 1024)
+LEAST_BITS, MOST_BITS = 1 << 25, 1 << 27
 #: Documents whose sets a worker holds at a time.
 SLICE = 500
 
@@ -123,10 +130,10 @@ class Geometry:
 
     def groups(self, band: int) -> int:
         d = self.differ(2 * int(self.top[band]))
-        return d + 1 + (2 + d // 16 if d else 0)
+        return d + 1 + (2 + d // 8 if d else 0)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """What a set publishes: hashes of (band, group, content)."""
+    def keys(self, s: np.ndarray, rank: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Hashes of (band, group, content): all, or with a rank for each key (0: nobody else has it) what a set need publish."""
         n = len(s)
         band = int(np.searchsorted(self.top, n))
         bands = [band]
@@ -143,14 +150,22 @@ class Geometry:
             order = np.argsort(g, kind="stable")
             g, x = g[order], mixed(s[order])
             edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            content = np.add.reduceat(x, edges)
-            held = g[edges]
-            if m - d - (m - len(held)) < 1:  # an equal group need not have content
+            held, own = g[edges], self.named(np.add.reduceat(x, edges), g[edges], b)
+            empty = np.zeros(0, np.int64)
+            if len(held) <= d:  # an equal group need not have content
                 empty = np.setdiff1d(np.arange(m), held)
-                held, content = np.r_[held, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
-            with np.errstate(over="ignore"):
-                out.append(mixed(content + mixed(held.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(b))))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                empty = np.sort(self.named(np.zeros(len(empty), np.uint64), empty, b))
+            if rank is None:
+                out += [own, empty]
+                continue
+            often = rank(own)
+            first = np.lexsort((own, often))[: d + 1]
+            out += [own[first][often[first] > 0], empty[: d + 1 - len(first)]]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    @staticmethod
+    def named(content: np.ndarray, group: np.ndarray, band: int) -> np.ndarray:
+        return mixed(content + mixed(group.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band))).view(np.int64)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -213,26 +228,27 @@ def links_in_group(members: list[np.ndarray], probes: list[np.ndarray], member_i
     return out
 
 
-def marked_keys(shared: DataFrame):
-    """Keeps of an array of keys those whose bit the shared keys have set: nearly all others go before a shuffle.
+def ranks(shared: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Of an array of keys, how frequent each is: 0 for what no two classes share, else by FREQUENT.
 
-    The table has eight bits for each shared key, but LEAST_BITS to MOST_BITS; what it lets through
-    wrongly meets no partner in the join that follows.
+    A table of bits for each frequency, shared by the keys that fall on one place; its size follows the
+    number of shared keys within bounds. Any order serves the argument, so what the table confuses costs
+    time, not links.
     """
-    wanted = 8 * shared.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << wanted.bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * shared.count()).bit_length()))
     place = F.col("key").bitwiseAND(F.lit(bits - 1))
-    parts = shared.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
-    table = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # bits / 8 bytes at most
-        table[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    levels = F.filter(F.array(*[F.lit(x) for x in FREQUENT]), lambda x: x <= F.col("often"))
+    marks = shared.select(F.explode(levels).alias("level"), F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    table = np.zeros((len(FREQUENT), bits // 8), np.uint8)
+    for r in marks.groupBy("level", "part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # the table's size at most
+        table[FREQUENT.index(r.level), r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     held = shared.sparkSession.sparkContext.broadcast(table)
 
-    def keep(keys: np.ndarray) -> np.ndarray:
+    def rank(keys: np.ndarray) -> np.ndarray:
         at = keys & (bits - 1)
-        return keys[(held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return (held.value[:, at >> 3] >> (at & 7).astype(np.uint8) & 1).sum(axis=0)
 
-    return keep
+    return rank
 
 
 def salted(rows: DataFrame, about: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
@@ -278,27 +294,28 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
 
     # Step 1: keys that several classes publish tie these classes to the least of them. Here a class goes by
     # a 64-bit hash: should two classes share one, they are compared with each other's partners as well.
-    def published(keep=None) -> DataFrame:
+    def published(rank: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
         @F.pandas_udf("fp binary, keys array<long>")
         def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for held in slices(batches):
-                found = [geometry.keys(s) if len(s) else np.zeros(0, np.int64) for s in held]
-                yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "keys": [keep(k) for k in found] if keep else found})
+                yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "keys": [geometry.keys(s, rank) if len(s) else [] for s in held]})
 
         # Not deterministic as far as the optimiser knows: else it would be repeated in inferred filters.
         made = docs.select(keys.asNondeterministic()(F.col(text)).alias("made"))
         return made.select(F.xxhash64("made.fp").alias("c"), F.explode("made.keys").alias("key"))
 
-    shared = durable(published().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"), "shared")
-    ties = durable(published(marked_keys(shared)).join(shared, "key").where("c <> low").select("c", "low").distinct(), "ties")
+    shared = durable(published().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("often")).where("low < high").select("key", "often"), "shared")
+    told = durable(published(ranks(shared)), "told")
     discard(shared)
+    ties = durable(told.join(told.groupBy("key").agg(F.min("c").alias("low")), "key").where("c <> low").select("c", "low").distinct(), "ties")
+    discard(told)
     clusters = components(ties, "c", "low").withColumnRenamed("root", "cluster")
     discard(ties)
 
     # The classes that have someone to meet, and where they are compared: slim rows.
     chosen = durable(clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "low_id", "n"), "chosen")
     discard(clusters)
-    places, boxes = seats(chosen)
+    places, boxes = seats(chosen, num, den)
 
     # Their sets, made again from the text of one row each. Rows that repeat an id and a text give a class
     # several equal members.
@@ -329,20 +346,45 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
     return out, [rows, of_class]
 
 
-def seats(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """chosen (fp, cluster, low_id, n) with `large`, and for large clusters z (size class), block and pivot; and the
-    boxes (cluster, z, blocks) of the large clusters: how many blocks each size class has."""
+def dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks for rows (cluster, z, n): a row for each size class, (cluster, z, block, parts, from_z, to_z).
+
+    Small classes of neighbouring sizes share a block, a large one takes several (block to block + parts - 1).
+    from_z and to_z bound the size classes that hold sizes similar to any of the class.
+    """
+    weight = 2 * F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    sizes = rows.groupBy("cluster", "z").agg(weight.alias("weight"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # A few hundred size classes a cluster, whatever it holds.
+    before = F.sum("weight").over(W.partitionBy("cluster").orderBy("z").rowsBetween(W.unboundedPreceding, -1))
+    block = F.floor(F.coalesce(before, F.lit(0.0))) * (1 << 20)
+    return sizes.select(
+        "cluster", "z", block.alias("block"), F.ceil("weight").alias("parts"),
+        size_class(F.ceil(F.col("least") * num / den)).alias("from_z"), size_class(F.floor(F.col("most") * den / num)).alias("to_z"),
+    )
+
+
+def part_of(salt: int) -> Column:
+    return F.col("block") + F.pmod(F.xxhash64(F.lit(salt), "fp"), F.col("parts"))
+
+
+def targets(of: DataFrame, to: DataFrame) -> DataFrame:
+    """(cluster, z, met): for each size class of `of`, the blocks of `to` that hold similar sizes."""
+    reach = of.select("cluster", "z", F.explode(F.sequence("from_z", "to_z")).alias("other"))
+    there = to.select("cluster", F.col("z").alias("other"), F.explode(F.sequence(F.col("block"), F.col("block") + F.col("parts") - 1)).alias("met"))
+    return reach.join(there, ["cluster", "other"]).groupBy("cluster", "z").agg(F.collect_set("met").alias("met"))
+
+
+def seats(chosen: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """chosen (fp, cluster, low_id, n) with z (size class), large, block and pivot, and the boxes of large clusters."""
     total = chosen.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = total.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster", F.lit(True).alias("large"))
     marked = salted(chosen, large, "cluster", how="left").withColumns({"large": F.coalesce("large", F.lit(False)), "z": size_class(F.col("n"))})
-    blocks = F.ceil(2 * F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    boxes = durable(marked.where("large").groupBy("cluster", "z").agg(blocks.alias("blocks")), "boxes")
-    held = salted(marked, boxes, "cluster", "z", how="left")
+    boxes = durable(dealt(marked.where("large"), num, den), "boxes")
+    held = salted(marked, boxes.select("cluster", "z", "block", "parts"), "cluster", "z", how="left")
     slot = F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(PIVOTS))
     pivots = marked.where("large").groupBy("cluster", slot.alias("slot")).agg(F.min("fp").alias("fp")).select("cluster", "fp", F.lit(True).alias("pivot"))
-    held = held.join(pivots, ["cluster", "fp"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-    block = F.when(F.col("large"), F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int")
-    return durable(held.withColumn("block", block).drop("blocks"), "places"), boxes
+    held = held.withColumn("block", F.coalesce(part_of(3), F.lit(0).cast("long"))).drop("parts").join(pivots, ["cluster", "fp"], "left")
+    return durable(held.withColumn("pivot", F.coalesce("pivot", F.lit(False))), "places"), boxes
 
 
 def compare(near: DataFrame, boxes: DataFrame, num: int, den: int) -> DataFrame:
@@ -357,45 +399,38 @@ def compare(near: DataFrame, boxes: DataFrame, num: int, den: int) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"])
 
     def searched(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("cluster", "z", "block", "probes").applyInPandas(run, "a binary, b binary")
+        return rows.groupBy("cluster", "block", "turn").applyInPandas(run, "a binary, b binary")
+
+    def columns(block, turn, role: int) -> list:
+        return ["cluster", block.alias("block"), turn.alias("turn"), "fp", "s", F.lit(role).alias("role")]
 
-    # role: 1 member, 2 probe, 3 both
-    none = F.lit(0).alias("probes")
-    whole = near.where(~F.col("large")).select("cluster", F.lit(0).alias("z"), "block", none, "fp", "s", F.lit(3).alias("role"))
+    member, probe, both, none = 1, 2, 3, F.lit(0).cast("long")
+    whole = near.where("not large").select(*columns(F.col("block"), none, both))
     if boxes.isEmpty():
         return durable(searched(whole), "links")
 
-    # A probe meets the blocks of the size classes that hold similar sizes, a seated class the probes of these.
-    reach = F.sequence(size_class(F.ceil(F.col("n") * num / den)), size_class(F.floor(F.col("n") * den / num)))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    # The pivots of each large cluster probe the blocks that hold similar sizes.
     large = near.where("large")
-    met = large.where("pivot").select("cluster", F.explode(reach).alias("z"), "fp", "s")
-    met = met.join(boxes, ["cluster", "z"]).select("cluster", "z", every("blocks").alias("block"), none, "fp", "s", F.lit(2).alias("role"))
-    seated = large.select("cluster", "z", "block", none, "fp", "s", F.lit(1).alias("role"))
-    first = durable(searched(whole.unionByName(seated).unionByName(met)), "links")
+    met = large.where("pivot").join(targets(boxes, boxes), ["cluster", "z"]).select(*columns(F.explode("met"), none, probe))
+    first = durable(searched(whole.unionByName(large.select(*columns(F.col("block"), none, member))).unionByName(met)), "links")
 
     # What the pivots tied to a cluster's main component needs no search among itself.
     root = components(first, "a", "b")
-    slim = large.select("fp", "cluster", "z")
+    slim = large.select("fp", "cluster", "z", "n")
     labelled = slim.join(root, slim["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    main = labelled.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    loose = durable(salted(labelled, main, "cluster").where("root <> main").select("fp", "cluster", "z"), "loose")
+    main = labelled.groupBy("cluster", "root").agg(F.count("*").alias("count")).groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    loose = durable(salted(labelled, main, "cluster").where("root <> main").select("fp", "cluster", "z", "n"), "loose")
     discard(root)
-    size = large.select("cluster", "z", "fp", "n").join(loose.select("fp"), "fp", "left_semi").groupBy("cluster", "z")
-    turns = durable(size.agg(F.ceil(2 * F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("turns")), "turns")
-    if turns.isEmpty():
-        for frame in (loose, turns):
-            discard(frame)
-        return first
-    # Probes of one size class and turn, against the seated classes of one block.
-    probes = salted(large.join(loose.select("fp"), "fp", "left_semi"), turns, "cluster", "z")
-    probes = probes.select("cluster", "fp", "s", F.col("z").alias("from_z"), F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("turns")).cast("int").alias("turn"), F.explode(reach).alias("z"))
-    probes = salted(probes, boxes, "cluster", "z").select("cluster", "z", every("blocks").alias("block"), "from_z", "turn", "fp", "s", F.lit(2).alias("role"))
-    asked = salted(large.select("cluster", "z", "block", "fp", "s", F.explode(reach).alias("from_z")), turns.withColumnRenamed("z", "from_z"), "cluster", "from_z")
-    asked = asked.select("cluster", "z", "block", "from_z", every("turns").alias("turn"), "fp", "s", F.lit(1).alias("role"))
-    met = asked.unionByName(probes).withColumn("probes", F.struct("from_z", "turn")).drop("from_z", "turn")
-    out = durable(first.unionByName(searched(met)), "links")
-    for frame in (first, loose, turns):
+    turns = durable(dealt(loose, num, den), "turns")
+    out = first
+    if not turns.isEmpty():
+        own = salted(loose, turns.select("cluster", "z", "block", "parts"), "cluster", "z").select("cluster", "z", "fp", part_of(7).alias("turn"))
+        own = salted(own, targets(turns, boxes), "cluster", "z").select("fp", "turn", "met")
+        probes = large.select("cluster", "fp", "s").join(own, "fp").select(*columns(F.explode("met"), F.col("turn"), probe))
+        asked = salted(large, targets(boxes, turns), "cluster", "z").select(*columns(F.col("block"), F.explode("met"), member))
+        out = durable(first.unionByName(searched(asked.unionByName(probes))), "links")
+        discard(first)
+    for frame in (loose, turns):
         discard(frame)
     return out
 
