@@ -10,14 +10,16 @@ stands between them, so that no text is walked in Python.
 
 Defined cases: a null text is the empty text and has no spans; the hash of no spans is that of the
 empty string; equal starts are ordered by kind (assign, access, hex, random); repeated rows get equal
-results; other columns pass through, and a result column whose name is taken gets underscores before
-it. Texts are scanned whole. Running sums over the matches of a text work in blocks, so a text with
-very many matches stays nearly linear.
+results; no documents, no rows; other columns pass through, and a result column whose name is taken gets
+underscores before it. Texts are scanned whole. Work grows in proportion to the text, the length of its
+runs and the number of its spans (but for one sort): nothing that a lambda reads is worked out again for
+each element (`let`), and running totals are made in blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,41 +117,75 @@ def fit(samples: DataFrame) -> list[float]:
     return out
 
 
-def running_sums(lengths: Column, block: int = 256) -> Column:
-    """Inclusive running sums of array<long>; arrays grow by one only within a block."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often `then` and its lambdas read it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Inclusive running totals of array<bigint> under join; arrays grow by one only within a block."""
     def plain(array: Column) -> Column:
-        return F.aggregate(
-            array, F.array().cast("array<bigint>"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
-        )
+        more = lambda acc, x: F.concat(acc, F.array(F.coalesce(join(F.try_element_at(acc, F.lit(-1)), x), x)))
+        return F.aggregate(array, F.array().cast("array<bigint>"), more)
+
+    def in_blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / block).cast("int"))
+        return let(F.transform(starts, lambda k: plain(F.slice(v, k * block + 1, F.lit(block)))), joined)
+
+    def joined(parts: Column) -> Column:
+        ends = plain(F.transform(parts, lambda a: F.try_element_at(a, F.lit(-1))))
+        before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(ends, F.lit(1), F.size(parts) - 1))
+        return F.flatten(F.zip_with(parts, before, lambda a, e: F.transform(a, lambda x: F.coalesce(join(e, x), x))))
 
-    n = F.size(lengths)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int"))
-    inner = F.transform(starts, lambda k: plain(F.slice(lengths, k * block + 1, F.lit(block))))
-    ends = plain(F.transform(inner, lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))))
-    return F.flatten(F.zip_with(inner, ends, lambda a, e: F.transform(a, lambda x: x + e - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+    return let(values, in_blocks)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the pattern's matches that keep(i, match) holds for; i counts from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    own = F.transform(found, lambda m: F.length(m).cast("long"))
-    between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s).cast("long"))
-    ends = F.zip_with(running_sums(own), F.slice(running_sums(between), F.lit(1), F.size(found)), lambda a, b: a + b)
-    spans = F.transform(ends, lambda e, i: F.struct((e - F.get(own, i)).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
-    return F.filter(spans, lambda s, i: keep(i, F.get(found, i)))
+def matches(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column]) -> Column:
+    """Spans of the pattern's matches that keep(match) holds for."""
+    def measured(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        size = lambda c: F.length(c).cast("long")
+        return F.zip_with(found, between, lambda m, gap: F.struct((size(gap) + size(m)).alias("both"), size(m).alias("own"), keep(m).alias("keep")))
+
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda m: m["both"]), plus)
+        spans = F.zip_with(found, ends, lambda m, e: F.struct((e - m["own"]).alias("start"), e.alias("end"), m["keep"].alias("keep")))
+        return F.transform(F.filter(spans, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+    return let(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), measured), placed)
 
 
 def log_ratio(run: Column, table: Column) -> Column:
     """Mean log-likelihood ratio of the pairs of a run of token characters."""
     size = len(ALPHABET)
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1
     n = F.length(run) - 1
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(table, place(i) * size + place(i + 1)), F.lit(0.0)))
-    return total / n
+
+    def total(codes: Column) -> Column:
+        pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.coalesce(F.get(table, a * size + b), F.lit(0.0)))
+        return F.aggregate(pairs, F.lit(0.0), plus)
+
+    return let(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), total) / n
+
+
+def free_of(base: Column, more: Column) -> Column:
+    """All spans, sorted: base, and those of more that touch none of base."""
+    def swept(spans: Column) -> Column:
+        is_base = lambda s: s["kind"] < len(PATTERNS)
+        # The greatest end of a base span up to each span's start, and the next base span's start.
+        ended = running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), F.greatest)
+        coming = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(2**62))), F.least))
+        seen = F.zip_with(F.zip_with(spans, ended, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), coming, lambda x, c: F.struct(x["s"].alias("s"), x["e"].alias("e"), c.alias("c")))
+        free = F.filter(seen, lambda x: is_base(x["s"]) | (x["e"] <= x["s"]["start"]) & (x["c"] >= x["s"]["end"]))
+        return F.transform(free, lambda x: x["s"])
+
+    return let(F.array_sort(F.concat(base, more)), swept)
 
 
 def digest_of(spans: Column) -> Column:
@@ -163,16 +199,16 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     none = F.array().cast(SPAN)
     base = []
     for k, (_, first, pattern, group, least) in enumerate(PATTERNS):
-        groups = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
-        keep = (lambda i, m, g=groups, n=least: F.length(F.get(g, i)) >= n) if group else (lambda i, m: F.lit(True))
+        # A match, taken alone, matches as it did in the text: nothing looks beyond it.
+        keep = (lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n) if group else (lambda m: F.lit(True))
         base.append(F.when(t.rlike(first), matches(t, pattern, k, keep)).otherwise(none))
     table = F.split(F.lit(" ".join(map(repr, ratios))), " ").cast("array<double>")
-    likely = matches(t, RUN, 3, lambda i, m: log_ratio(m, table) >= RATIO)
+    likely = matches(t, RUN, 3, lambda m: log_ratio(m, table) >= RATIO)
     name, raw = spare_name(docs, "found"), spare_name(docs, "found_raw")
-    out = docs.withColumn(raw, F.struct(F.concat(*base).alias("base"), F.when(t.rlike(RUN), likely).otherwise(none).alias("more")))
+    out = docs.withColumn(raw, F.struct(F.array_sort(F.concat(*base)).alias("base"), F.when(t.rlike(RUN), likely).otherwise(none).alias("more")))
     b, m = F.col(f"{raw}.base"), F.col(f"{raw}.more")
-    free = F.filter(m, lambda s: ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return out.withColumn(name, F.struct(F.array_sort(b).alias("base"), F.array_sort(F.concat(b, free)).alias("all"))).drop(raw)
+    every = F.when(F.size(m) > 0, free_of(b, m)).otherwise(b)
+    return out.withColumn(name, F.struct(b.alias("base"), every.alias("all"))).drop(raw)
 
 
 def digests(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
@@ -194,18 +230,21 @@ def redact(docs: DataFrame, ratios: list[float], mask: str = "[SECRET]", text: s
     """
     found = spare_name(docs, "found")
     spans = F.col(f"{found}.all")
-    acc = "struct<at:bigint,text:array<string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("text")).cast(acc)
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        inside = s["start"] < a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(inside, a["text"]).otherwise(F.concat(a["text"], F.array(gap, F.lit(mask)))).alias("text"),
-        )
-
-    folded = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["text"], ""), F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    piece = 1024
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        """Code points start to end of the text whose pieces of so many code points the chunks are."""
+        first = F.floor(start / piece)
+        held = F.array_join(F.slice(chunks, (first + 1).cast("int"), (F.floor(end / piece) - first + 1).cast("int")), "")
+        return F.substring(held, (start - first * piece + 1).cast("int"), (end - start).cast("int"))
+
+    def masked(chunks: Column) -> Column:
+        ended = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(ended, F.lit(1), F.size(spans) - 1))
+        parts = F.zip_with(spans, before, lambda s, at: F.when(s["start"] < at, "").otherwise(F.concat(cut(chunks, at, s["start"]), F.lit(mask))))
+        return F.concat(F.array_join(parts, ""), cut(chunks, F.element_at(ended, -1), F.length(F.col(text)).cast("long")))
+
+    folded = let(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), masked)
     hit = F.size(spans) > 0
     out = scan(docs, ratios, text).withColumn(text, F.when(hit, folded).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
