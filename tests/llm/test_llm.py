@@ -425,19 +425,89 @@ def items(n, rng):
     return [(i, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randint(8, 60)))) for i in range(n)]
 
 
+def shelf_scores(shelf, terms):
+    scores = {}
+    for t in terms:
+        for at in range(shelf.start[t], shelf.start[t + 1]):
+            scores[shelf.item_at[at]] = scores.get(shelf.item_at[at], 0) + shelf.impact[at]
+    return {i: s for i, s in scores.items() if s >= shelf.threshold - 1e-9}
+
+
 def test_wand_finds_all_above_the_threshold():
     r = random.Random(6)
     held = items(70, r)
     for threshold in (0.3, 0.6):
-        ix = decontaminate.Index([(i, *decontaminate.halves(t)) for i, t in held], threshold)
+        (shelf,) = decontaminate.Index([(i, *decontaminate.halves(t)) for i, t in held], threshold).shelves
         for _ in range(60):
             query = {f"t{r.randrange(60)}".encode() for _ in range(r.randint(1, 45))}
-            terms = np.array([ix.terms[q] for q in query if q in ix.terms])
-            scores = {}
-            for t in terms:
-                for i, x in ix.postings[t]:
-                    scores[i] = scores.get(i, 0) + x
-            assert {i for i, _ in ix.wand(terms)} == {i for i, s in scores.items() if s >= threshold - 1e-9}
+            terms = np.array([shelf.terms[q] for q in query if q in shelf.terms])
+            assert {i for i, _ in shelf.wand(terms)} == set(shelf_scores(shelf, terms.tolist()))
+
+
+@pytest.mark.parametrize("pairs", [50, 2_000_000])
+def test_every_hit_of_every_passage_equals_brute_force(monkeypatch, pairs):
+    """Items of several length classes; each passage's scores worked out one by one, then each hit verified."""
+    monkeypatch.setattr(decontaminate, "BATCH_PAIRS", pairs)
+    r = random.Random(8)
+    held = [(i, " ".join(f"t{min(r.randrange(90), r.randrange(90))}" for _ in range(r.choice((3, 20, 60, 64, 65, 150))))) for i in range(60)]
+    index = decontaminate.Index([(i, *decontaminate.halves(t)) for i, t in held])
+    assert len(index.shelves) == 3
+    texts = [None, "", "t1"]
+    for _, t in held:
+        cut = [w for w in t.split() if r.random() < r.choice((0.7, 0.9, 1))]
+        texts.append(" ".join([*(f"t{r.randrange(200)}" for _ in range(r.randrange(300))), *cut, *(f"t{r.randrange(200)}" for _ in range(r.randrange(300)))]))
+    wanted = []
+    for text in texts:
+        words, own = decontaminate.words_of(text), set()
+        for shelf in index.shelves:
+            for start in range(0, len(words), shelf.passage // 2):
+                for i in shelf_scores(shelf, {shelf.terms[w] for w in words[start : start + shelf.passage] if w in shelf.terms}):
+                    name, question, answer = shelf.items[i]
+                    near = words[max(0, start - shelf.passage // 2) : start + shelf.passage * 3 // 2]
+                    there = set(zip(near, near[1:]))  # noqa: B905
+                    share = [len({p for p in zip(x, x[1:]) if p in there}) / len(set(zip(x, x[1:]))) if len(x) > 1 else float(not x or x[0] in near) for x in (question, answer)]  # noqa: B905
+                    if min(share) >= decontaminate.OVERLAP:
+                        own.add(name)
+        wanted.append(sorted(own))
+    got = index.leaks(texts)
+    assert [[x["item_id"] for x in xs] for xs in got] == wanted and sum(map(len, wanted)) > 40
+
+
+def test_leaks_do_not_depend_on_unrelated_items():
+    r = random.Random(9)
+    held = items(20, r)
+    long = (99, " ".join(f"u{r.randrange(500)}" for _ in range(2000)))
+    far = [" ".join([*t.split()[: len(t.split()) // 2], *(f"n{k}" for k in range(600)), *t.split()[len(t.split()) // 2 :]]) for _, t in held if len(t.split()) > 20]
+    near = [f"n1 {t} n2" for _, t in held]
+    found = [[[x["item_id"] for x in xs] for xs in decontaminate.Index([(i, *decontaminate.halves(t)) for i, t in more]).leaks(far + near)] for more in (held, [*held, long])]
+    assert found[0] == found[1] and not any(found[0][: len(far)]) and all(found[0][len(far) :])
+
+
+def test_edited_items_are_found():
+    """One word in ten changed, anywhere in an item of forty words."""
+    r = random.Random(10)
+    word = lambda: f"w{min(r.randrange(3000), r.randrange(3000))}"
+    held = [(i, [word() for _ in range(40)]) for i in range(300)]
+    index = decontaminate.Index([(i, *decontaminate.halves(" ".join(t))) for i, t in held])
+    texts = []
+    for _, t in held:
+        t = t[:]
+        for k in r.sample(range(40), 4):
+            t[k] = word()
+        texts.append(" ".join([*(word() for _ in range(200)), *t, *(word() for _ in range(200))]))
+    got = index.leaks(texts)
+    assert np.mean([any(x["item_id"] == i for x in xs) for i, xs in enumerate(got)]) >= 0.9
+    assert all(x["item_id"] == i for i, xs in enumerate(got) for x in xs)
+
+
+def test_large_benchmark_stays_sparse():
+    """2000 items with twenty words of their own: a posting each, not a cell for every word and block."""
+    r = random.Random(14)
+    held = [(i, " ".join([f"own{i}x{k}" for k in range(20)] + [f"t{r.randrange(50)}" for _ in range(20)])) for i in range(2000)]
+    index = decontaminate.Index([(i, *decontaminate.halves(t)) for i, t in held])
+    entries = sum(len(s.item_at) + len(s.block_keys) for s in index.shelves)
+    assert entries < 2 * sum(len(t.split()) for _, t in held)
+    assert [[x["item_id"] for x in xs] for xs in index.leaks([t for _, t in held[:50]])] == [[i] for i in range(50)]
 
 
 def test_leaks_equal_brute_force(spark):
