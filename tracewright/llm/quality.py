@@ -1,13 +1,13 @@
 """Quality classification by co-training over two views of a document.
 
 One classifier reads the text's content (hashed byte pairs and the shares of kinds of characters), the
-other its metadata (source, language, stated length, and the shape of lines). Both are logistic models.
+other its metadata alone (source, language and stated length). Both are logistic models.
 They start from labelled rows; in each round each labels the unlabelled rows it is surest of, and the
 other learns from them. At the end each view is calibrated on labelled rows kept out of training, and
 the calibrated log-odds are combined, weighted on the same rows, to score all documents.
 
-The labelled rows are a bounded sample (LABELLED rows, those with the smallest hashed ids, so the same
-rows on every run). The unlabelled rows are all the others: each round scores every document whole in a
+The labelled rows are a bounded sample (train's parameter labelled, LABELLED rows unless told otherwise:
+those with the smallest hashed ids, so the same rows on every run; of rows that repeat an id, one). The unlabelled rows are all the others: each round scores every document whole in a
 distributed map, and only the ADDED surest ones of each view come to the driver.
 
 Defined cases: a null or empty text has the features of an empty text and is scored like any other;
@@ -69,23 +69,15 @@ def content_features(text: str | None) -> np.ndarray:
     return out
 
 
-def meta_features(source: object, lang: object, n_chars: object, text: str | None) -> np.ndarray:
-    """Hashed source and language, stated length, and the shape of the page: lines, separators, capitals."""
+def meta_features(source: object, lang: object, n_chars: object) -> np.ndarray:
+    """Hashed source, language and both together, and the stated length: its logarithm and its size class."""
     out = np.zeros(META_WIDTH, np.float32)
-    for name, value in (("source", source), ("lang", lang)):
-        out[zlib.crc32(f"{name}={value}".encode()) % (META_WIDTH - 8)] += 1
     n = float(n_chars) if n_chars is not None and n_chars == n_chars else -1.0
-    t = text or ""
-    size = max(1, len(t))
-    lines = t.count("\n") + 1
-    out[-8] = np.log1p(max(0.0, n)) / 4
-    out[-7] = n < 0
-    out[-6] = np.log1p(size / lines) / 3
-    out[-5] = min(1.0, 20 * t.count("|") / size)
-    out[-4] = min(1.0, 20 * t.count("!") / size)
-    out[-3] = min(1.0, 20 * sum(map(t.count, "#$%&*")) / size)
-    out[-2] = t.isupper()
-    out[-1] = np.log1p(lines) / 3
+    length = int(np.log2(max(1.0, n))) if n >= 0 else None
+    for name, value in (("source", source), ("lang", lang), ("both", f"{source} {lang}"), ("length", length)):
+        out[zlib.crc32(f"{name}={value}".encode()) % (META_WIDTH - 2)] += 1
+    out[-2] = np.log1p(max(0.0, n)) / 4
+    out[-1] = n < 0
     return out
 
 
@@ -160,12 +152,15 @@ def score(model: dict | None, content: np.ndarray, meta: np.ndarray) -> np.ndarr
 
 def features(texts: list, metas: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     content = np.stack([content_features(t) for t in texts]) if texts else np.zeros((0, CONTENT_WIDTH), np.float32)
-    meta = np.stack([meta_features(*m, t) for m, t in zip(metas, texts, strict=True)]) if texts else np.zeros((0, META_WIDTH), np.float32)
+    meta = np.stack([meta_features(*m) for m in metas]) if texts else np.zeros((0, META_WIDTH), np.float32)
     return content, meta
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on the labelled sample and all unlabelled rows. docs: doc_id, text, source, lang, n_chars; labels: doc_id, quality."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict | None:
+    """Fit on so many labelled rows at most and all unlabelled ones.
+
+    docs: doc_id, text, source, lang, n_chars; labels: doc_id, quality.
+    """
     spark = docs.sparkSession
     cols = ["doc_id", "text", *META]
 
@@ -183,20 +178,21 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
         # Bounded by n: a broadcast of ids.
         small = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
         rows = docs.select(*cols).join(small, "doc_id", "left_semi")
-        got = rows.select("doc_id", vectors(F.struct("text", *META)).alias("v")).select("doc_id", "v.*").collect()
+        got = rows.select("doc_id", F.xxhash64(*cols).alias("row"), vectors(F.struct("text", *META)).alias("v"))
+        got = got.groupBy("doc_id").agg(F.min_by("v", "row").alias("v")).select("doc_id", "v.*").collect()
         place = {i: k for k, i in enumerate(chosen)}
-        return sorted({r.doc_id: r for r in got}.values(), key=lambda r: place[r.doc_id])
+        return sorted(got, key=lambda r: place[r.doc_id])
 
     ids = docs.select("doc_id").where("doc_id is not null")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = ids.join(known, "doc_id")
-    labelled = sample(marked, LABELLED)
-    if not labelled:
+    learned = sample(marked, labelled)
+    if not learned:
         return None
-    wanted = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in labelled], "doc_id long"))
+    wanted = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in learned], "doc_id long"))
     truth = {r.doc_id: r.quality for r in known.join(wanted, "doc_id", "left_semi").collect()}
     arrays = lambda r: (np.frombuffer(r.content, np.float32), np.frombuffer(r.meta, np.float32))
-    content, meta = (np.stack(x) for x in zip(*map(arrays, labelled), strict=True))
+    content, meta = (np.stack(x) for x in zip(*map(arrays, learned), strict=True))
 
     # Equal rows are one; rows of one id that differ are documents each.
     key = F.xxhash64("doc_id", "text", *META)
@@ -224,16 +220,17 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
             if taken[k]:
                 sure = sure.where((F.col("view") != k) | ~F.col("key").isin(list(taken[k])))
         sure = sure.groupBy("view", "key").agg(F.max("z").alias("z")).withColumn("good", F.col("z") > 0)
+        # Each partition sends its ADDED surest at most: a literal limit on a rank is applied before the shuffle.
         w = W.partitionBy("view", "good").orderBy(F.abs("z").desc(), "key")
         chosen = sure.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("good"), good).otherwise(bad)).where(f"place <= {ADDED}").collect()
         if not chosen:
             return [[], []]
-        rows = every.where(F.col("key").isin(list({r.key for r in chosen}))).select("key", vectors(F.struct("text", *META)).alias("v")).select("key", "v.*")
+        rows = every.where(F.col("key").isin(list({r.key for r in chosen}))).select("key", vectors(F.struct("text", *META)).alias("v")).groupBy("key").agg(F.first("v").alias("v")).select("key", "v.*")
         own = {r.key: arrays(r) for r in rows.collect()}
         chosen.sort(key=lambda r: (r.view, not r.good, r.place))
         return [[(r.key, float(r.good), own[r.key]) for r in chosen if r.view == k] for k in (0, 1)]
 
-    return co_train(content, meta, np.array([int(truth[r.doc_id] > 0) for r in labelled]), surest)
+    return co_train(content, meta, np.array([int(truth[r.doc_id] > 0) for r in learned]), surest)
 
 
 def score_column(docs: DataFrame, model: dict | None) -> DataFrame:
