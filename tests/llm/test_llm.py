@@ -203,10 +203,11 @@ def brute_top(rows, asks, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16_384, 60])
-def test_top_k_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+@pytest.mark.parametrize(("block", "sample"), [(16_384, 2048), (60, 30)])
+def test_top_k_equals_brute_force(spark, monkeypatch, block, sample):
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", block * 64)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4 * 64)
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", sample)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.float32(rng.standard_normal(8))]) for i in range(200)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]
@@ -227,6 +228,22 @@ def test_top_k_of_large_vectors(spark):
             topk.top_k(spark.createDataFrame([(10, [beyond]), (11, [beyond])], "vec_id long, embedding array<float>"), F.col("vec_id") == 10).collect()
 
 
+def test_top_k_of_a_repeated_query(spark):
+    """A query id on several rows is answered once, from its first vector; its rows are candidates of others."""
+    rows = [(10, [2.0, 1.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [3.0, 9.0]), (12, [1.0, 1.0]), (20, [0.0, 1.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, k=3).collect()))
+    m = 65536
+    assert got == [(10, 1, 11, 3 * m), (10, 2, 12, m), (10, 3, 20, 0), (20, 1, 11, 9 * m), (20, 2, 10, m), (20, 3, 12, m)]
+
+
+def test_top_k_floors_are_never_above_the_kth_score():
+    rng = np.random.default_rng(9)
+    v = rng.integers(-300, 300, (50, 6)).astype(float)
+    ids = np.arange(50)
+    for i, floor in enumerate(topk.floor_scores(ids, list(v.astype(int)), (ids, v), 5)):
+        assert floor <= np.sort((v @ v[i])[ids != i])[-5]
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 
@@ -300,11 +317,22 @@ def test_license_templates(spark):
 
 # 6 ----------------------------------------------------------------------------------------------------------
 
-def brute_groups(docs, k, num, den):
+def brute_links(docs, k, num, den):
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    links = []
+    for a in range(len(docs)):
+        for b in range(a):
+            inter = len(sets[a] & sets[b])
+            if inter and den * inter >= num * (len(sets[a]) + len(sets[b]) - inter):
+                links.append((a, b))
+    return sets, links
+
+
+def brute_groups(docs, k, num, den):
+    sets, links = brute_links(docs, k, num, den)
     root = list(range(len(docs)))
 
     def find(x):
@@ -312,11 +340,8 @@ def brute_groups(docs, k, num, den):
             x = root[x]
         return x
 
-    for a in range(len(docs)):
-        for b in range(a):
-            inter = len(sets[a] & sets[b])
-            if inter and den * inter >= num * (len(sets[a]) + len(sets[b]) - inter):
-                root[find(a)] = find(b)
+    for a, b in links:
+        root[find(a)] = find(b)
     low = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
@@ -331,14 +356,16 @@ def test_groups_equal_brute_force(spark, monkeypatch, block, k, similarity):
     r = random.Random(4)
     base = [f"w{r.randrange(5000)}" for _ in range(120)]
     docs = []
-    for i in range(120):
-        w = base[:]
-        for _ in range(r.choice((0, 1, 2, 4, 8, 20))):
-            w[r.randrange(120)] = f"z{r.randrange(9999)}"
+    for i in range(240):
+        w = base[: r.choice((120, 120, 110, 100))]
+        for _ in range(r.choice((0, 1, 1, 2, 2, 4, 8, 20))):
+            w[r.randrange(len(w))] = f"z{r.randrange(9999)}"
         docs.append((i, " ".join(w)))
     docs += [(300 + i, " ".join(f"q{r.randrange(9)}" for _ in range(r.choice((0, 1, 2, 3, 7))))) for i in range(30)]
     docs += [(400, None), (401, ""), (402, " \t"), (403, "a b"), (404, "A  b"), (None, "a b"), (None, None), (405, docs[0][1]), (406, docs[0][1].upper()), (407, LONG), (408, LONG + "x")]
-    got = near_duplicates.similar_groups(documents(spark, [t for _, t in docs], [i for i, _ in docs]), k, similarity)
+    assert len(brute_links(docs, k, *similarity)[1]) > 3000
+    df = documents(spark, [t for _, t in docs], [i for i, _ in docs]).withColumn("component_id", F.lit("mine"))
+    got = near_duplicates.similar_groups(df, k, similarity).select("doc_id", "n_shingles", F.col("_component_id").alias("component_id"))
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()), key=str) == brute_groups(docs, k, *similarity)
 
 

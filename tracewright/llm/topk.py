@@ -6,8 +6,11 @@ touching the vectors: |d(q, p) - d(v, p)| <= |q - v| for every pivot p, and the
 is the bound. For each query the candidates are evaluated in the order of their bounds until no bound
 left reaches the k-th score found, which makes the answer exact.
 
-Queries and candidates are dealt into blocks of a bounded number of rows; a task holds one block of
-each and returns k rows a query, and a second step ranks what the blocks return.
+Queries and candidates are dealt into blocks of bounded bytes; a task holds one block of each and returns
+k rows a query, and a second step ranks what the blocks return. A query starts with a floor, its k-th
+score among the rows the pivots were chosen from, so that no block begins without a threshold. Each pair
+of blocks meets once: with blocks of b bytes, n vectors and q queries of w bytes, n * q * w^2 * 2 / b bytes
+are shuffled. How much the bounds save is up to the data (README).
 
 Defined cases: a vector that is null, or holds a null or a component that is not finite, takes no part;
 rows with a null id take no part; vectors of different length are compared as if zeros followed; the
@@ -25,12 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries and of a block of candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16_384
+#: Bytes of a block of queries and of a block of candidates.
+QUERY_BYTES, CANDIDATE_BYTES = 16 << 20, 4 << 20
 #: Pivots, chosen from so many rows.
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 #: Candidates evaluated at once, in order of their bounds.
 STEP = 256
+#: No floor.
+LOWEST = -(2**62)
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -74,8 +79,8 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None] - 2 * x @ p.T))
 
 
-def block_search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of this block for each of these queries."""
+def block_search(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best candidates of this block for each of these queries, of those that reach the query's floor."""
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
     q_norm, v_norm = (q**2).sum(axis=1), (v**2).sum(axis=1)
@@ -94,18 +99,35 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
         best: list[tuple[int, int]] = []  # (-score, id)
         for at in range(0, len(by_bound), STEP):
             take = by_bound[at : at + STEP]
-            if len(best) == k and bound[take[0]] < -best[-1][0]:
+            least = max(floors[i], -best[-1][0] if len(best) == k else floors[i])
+            if bound[take[0]] < least:
                 break  # no candidate left can reach the k-th score
-            take = take[ids[take] != q_ids[i]]
+            take = take[(ids[take] != q_ids[i]) & (bound[take] >= least)]
             scores = (exact[take] @ own).astype(np.int64)
-            if len(best) == k:
-                take, scores = take[scores >= -best[-1][0]], scores[scores >= -best[-1][0]]
+            take, scores = take[scores >= least], scores[scores >= least]
             near = np.lexsort((ids[take], -scores))[:k]
             best = sorted([*best, *zip((-scores[near]).tolist(), ids[take[near]].tolist(), strict=True)])[:k]
         out += [(int(q_ids[i]), c, -s) for s, c in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
+def floor_scores(q_ids: np.ndarray, q: list, sample: tuple[np.ndarray, np.ndarray], k: int) -> list[int]:
+    """Each query's k-th score among the sample's rows of other ids, or the least long."""
+    ids, v = sample
+    out = []
+    for i, x in zip(q_ids, q, strict=True):
+        others = v[ids != i]
+        if is_large(x) or len(others) < k:
+            out.append(LOWEST)
+            continue
+        own = np.zeros(max(v.shape[1], len(x)))
+        own[: len(x)] = x
+        scores = others @ own[: v.shape[1]]
+        # Less what rounding can add; never above the true k-th score.
+        out.append(max(LOWEST, int(np.partition(scores, -k)[-k] - 1 - 1e-9 * np.abs(scores).max())))
+    return out
+
+
 def exact_search(q_ids: list[int], q: list, ids: list[int], v: list, k: int) -> pd.DataFrame:
     """The same for vectors of any size, pair by pair in Python's integers."""
     out: list[tuple[int, int, int]] = []
@@ -123,23 +145,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     """query_id, rank (from 1), vec_id and score of the k best other rows for each row of is_query."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector, scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and x is not null")
-    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    q_blocks, v_blocks = max(1, -(-n.q // QUERY_BLOCK)), max(1, -(-n.n // CANDIDATE_BLOCK))
-    sample = rows.select("x", F.xxhash64("id", "x").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()
-    pivots = spark.sparkContext.broadcast(spread_pivots([r.x for r in sample if not is_large(r.x)], PIVOTS))
+    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("x")).alias("width")).first()
+    wide = 8 * max(1, n.width or 0)
+    q_blocks, v_blocks = (max(1, -(-rows_of * wide // size)) for rows_of, size in ((n.q, QUERY_BYTES), (n.n, CANDIDATE_BYTES)))
+    found = rows.select("id", "x", F.xxhash64("id", "x").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()
+    found = [r for r in found if not is_large(r.x)]
+    sample = (np.array([r.id for r in found], np.int64), padded([r.x for r in found], max((len(r.x) for r in found), default=0)))
+    pivots, sample = spark.sparkContext.broadcast(spread_pivots([r.x for r in found], PIVOTS)), spark.sparkContext.broadcast(sample)
+
+    @F.pandas_udf("long")
+    def floor(ids: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(floor_scores(ids.to_numpy("int64"), list(x), sample.value, k), dtype="int64")
 
     mix = F.xxhash64(F.lit(17), "id", "x")
     asked = rows.where("asks").groupBy("id").agg(F.min("x").alias("x"))
     pairs_of = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    queries = asked.select(F.lit(True).alias("asks"), "id", "x", F.pmod(mix, F.lit(q_blocks)).cast("int").alias("qb"), pairs_of("vb", v_blocks))
-    candidates = rows.select(F.lit(False).alias("asks"), "id", "x", pairs_of("qb", q_blocks), F.pmod(mix, F.lit(v_blocks)).cast("int").alias("vb"))
+    # Not deterministic as far as the optimiser knows: else it would be worked out again for each block.
+    asked = asked.select("id", "x", floor.asNondeterministic()("id", "x").alias("floor"))
+    queries = asked.select(F.lit(True).alias("asks"), "id", "x", "floor", F.pmod(mix, F.lit(q_blocks)).cast("int").alias("qb"), pairs_of("vb", v_blocks))
+    candidates = rows.select(F.lit(False).alias("asks"), "id", "x", F.lit(0).cast("long").alias("floor"), pairs_of("qb", q_blocks), F.pmod(mix, F.lit(v_blocks)).cast("int").alias("vb"))
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         asks, large = part["asks"].to_numpy(bool), np.array([is_large(x) for x in part["x"]], bool)
         some = part["x"][~large]
         x, ids = padded(list(some), max(map(len, some), default=0)), part["id"].to_numpy("int64")
-        own, asked = ids[~large], asks[~large]
-        found = block_search(own[asked], x[asked], own[~asked], x[~asked], pivots.value, k)
+        own, asked, floors = ids[~large], asks[~large], part["floor"].to_numpy("int64")[~large]
+        found = block_search(own[asked], x[asked], floors[asked], own[~asked], x[~asked], pivots.value, k)
         if not large.any():
             return found
         rows = lambda mask: (ids[mask].tolist(), list(part["x"][mask]))
