@@ -59,11 +59,11 @@ SIZE_STEP = 1.1
 SALTS = 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
-WORD_CACHE = 100_000
+WORD_CACHE = 50_000
 #: Numbers of documents from which a shared key counts as more frequent, and the bits of the table for each of
-#: them: eight a shared key, within these bounds (16 to 64 MB for all).
+#: them: eight a shared key, within these bounds (4 to 32 MB for all, in each Python worker).
 FREQUENT = (2, 8, 64, 1024)
-LEAST_BITS, MOST_BITS = 1 << 25, 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 #: Documents whose sets a worker holds at a time.
 SLICE = 500
 
