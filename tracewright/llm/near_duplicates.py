@@ -324,7 +324,14 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
         for held in slices(batches):
             yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "s": [s.tobytes() for s in held]})
 
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+    # Texts of other ids go before the shuffle (what the table lets through wrongly finds no partner).
+    known = ranks(places.select(F.xxhash64("low_id").alias("key"), F.lit(FREQUENT[0]).alias("often")))
+
+    @F.pandas_udf("boolean")
+    def wanted(ids: pd.Series) -> pd.Series:
+        return pd.Series(known(ids.to_numpy(np.int64)) > 0)
+
+    texts = docs.where(wanted(F.xxhash64(id_col))).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     near = texts.join(places, texts["doc"].eqNullSafe(places["low_id"])).select(*[c for c in places.columns if c != "low_id"], again.asNondeterministic()("text").alias("made"))
     near = durable(near.where("made.fp = fp").select(*[c for c in places.columns if c != "low_id"], "made.s"), "near")
     for frame in (chosen, places):

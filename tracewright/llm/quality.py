@@ -33,6 +33,8 @@ from .common import spare_name
 #: Labelled rows of the training sample.
 LABELLED = 3000
 ROUNDS, ADDED = 4, 200
+#: Parts of a side's unlabelled rows that are ranked apart, before the best of each are ranked together.
+SALTS = 64
 PAIRS = 512
 STEPS = 120
 #: Documents scoring less are rejected.
@@ -220,9 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
             if taken[k]:
                 sure = sure.where((F.col("view") != k) | ~F.col("key").isin(list(taken[k])))
         sure = sure.groupBy("view", "key").agg(F.max("z").alias("z")).withColumn("good", F.col("z") > 0)
-        # Each partition sends its ADDED surest at most: a literal limit on a rank is applied before the shuffle.
-        w = W.partitionBy("view", "good").orderBy(F.abs("z").desc(), "key")
-        chosen = sure.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("good"), good).otherwise(bad)).where(f"place <= {ADDED}").collect()
+        # The surest of each of SALTS parts, then of these: no task sorts a whole side.
+        order = (F.abs("z").desc(), F.col("key"))
+        part = W.partitionBy("view", "good", F.pmod(F.col("key"), F.lit(SALTS))).orderBy(*order)
+        most = F.when(F.col("good"), good).otherwise(bad)
+        some = sure.withColumn("place", F.row_number().over(part)).where(f"place <= {ADDED}")
+        ranked = some.withColumn("place", F.row_number().over(W.partitionBy("view", "good").orderBy(*order)))
+        chosen = ranked.where(F.col("place") <= most).where(f"place <= {ADDED}").collect()
         if not chosen:
             return [[], []]
         rows = every.where(F.col("key").isin(list({r.key for r in chosen}))).select("key", vectors(F.struct("text", *META)).alias("v")).groupBy("key").agg(F.first("v").alias("v")).select("key", "v.*")
