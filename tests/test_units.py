@@ -1,7 +1,9 @@
 """Unit facts, traps and properties of the trajectory operators."""
 
+import hashlib
 import itertools
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -323,3 +325,47 @@ def test_sinks(spark, tmp_path):
 
 def test_calibration():
     assert E.pixels_per_metre((0, 0), (30, 40), 5) == 10
+
+
+def test_split_is_exact_and_needs_no_join(spark):
+    names = spark.createDataFrame([(f"n{i}",) for i in range(997)], "name string")
+    got = S.exact_split(names, "name", 0.15)
+    assert got.where("split = 'val'").count() == int(997 * 0.15) and got.count() == 997
+    rank = sorted(hashlib.md5(f"42:n{i}".encode()).hexdigest() + f"n{i}" for i in range(997))
+    assert {r.name for r in got.where("split = 'val'").collect()} == {x[32:] for x in rank[: int(997 * 0.15)]}
+    assert S.exact_split(names.where("false"), "name", 0.5).count() == 0
+
+
+def test_smoothing_of_a_long_track(spark):
+    n = 30_000
+    obs = spark.range(n).selectExpr("1L AS video_id", "7L AS track_id", "id AS frame_id", "CAST(id AS DOUBLE) AS t", "CAST(id % 13 AS DOUBLE) AS x1", "0.0D AS y1", "1.0D AS x2", "1.0D AS y2")
+    want, x = [], None
+    for i in range(n):
+        x = float(i % 13) if x is None else 0.7 * (i % 13) + (1 - 0.7) * x
+        want.append(x)
+    got = [r.x1 for r in K.smoothed_boxes(obs).orderBy("frame_id").select("x1").collect()]
+    assert got == want
+
+
+def test_tracks_stream_across_batches(spark):
+    """A video of many frames, in batches that cut frames apart, gives what its frames give one by one."""
+    r = random.Random(2)
+    rows = []
+    for video in (1, 2):
+        for frame in range(60):
+            for k in range(3):
+                x, y = 100 * k + 2 * frame, 50 * k + frame
+                rows.append((video, frame, frame * 10 + k, float(x), float(y), float(x + 40), float(y + 30), r.choice((0.9, 0.8, 0.3)), k))
+    df = spark.createDataFrame(rows, "video_id long, frame long, detection_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(map(tuple, D.track(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for video in (1, 2):
+        tracker = D.Tracker(D.TrackerParameters())
+        for frame in range(60):
+            own = np.array([row[3:9] for row in rows if row[:2] == (video, frame)], float)
+            want += D.tracked_rows(video, frame, tracker.step(frame, own[:, :4], own[:, 4], own[:, 5].astype(int)))
+    assert got == sorted(want) and len(got) > 200

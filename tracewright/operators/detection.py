@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -220,28 +221,49 @@ def tracked_rows(video: int, frame: int, tracks: list[Track]) -> list[tuple]:
     return [(video, frame, t.track_id, t.class_id, t.confidence, *t.box.tolist(), float(t.box[0] + t.box[2]) / 2, float(t.box[1] + t.box[3]) / 2, t.age, t.hits) for t in tracks]
 
 
-def run_frames(tracker: Tracker, video: int, rows: pd.DataFrame) -> list[tuple]:
-    """Step through the rows' frames in order."""
-    out = []
-    rows = rows.sort_values(["frame", "detection_id"], kind="stable")
+def frames_in(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(frame, [x1, y1, x2, y2, confidence, class]) of rows in frame order; boxes that are not finite are left out."""
     values = rows[["x1", "y1", "x2", "y2", "confidence", "class_id"]].to_numpy(float)
     frames = rows["frame"].to_numpy()
     edges = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else np.zeros(0, int)
     for lo, hi in zip(edges, [*edges[1:], len(frames)], strict=False):
         own = values[lo:hi]
-        own = own[np.isfinite(own).all(axis=1)]
-        out += tracked_rows(video, int(frames[lo]), tracker.step(int(frames[lo]), own[:, :4], own[:, 4], own[:, 5].astype(int)))
+        yield int(frames[lo]), own[np.isfinite(own).all(axis=1)]
+
+
+def run_frames(tracker: Tracker, video: int, rows: pd.DataFrame) -> list[tuple]:
+    """Step through the rows' frames in order."""
+    out = []
+    for frame, own in frames_in(rows.sort_values(["frame", "detection_id"], kind="stable")):
+        out += tracked_rows(video, frame, tracker.step(frame, own[:, :4], own[:, 4], own[:, 5].astype(int)))
     return out
 
 
 def track(detections: DataFrame, p: TrackerParameters | None = None) -> DataFrame:
     """Tracks of every video: detections (video_id, frame, detection_id, x1..y2, confidence, class_id) in frame order.
 
-    Association is sequential within a video, so a video is the unit of work; ids count from 1 in each.
+    Association is sequential within a video, so a video is the unit of work; ids count from 1 in each. A
+    partition's videos stream through in order: a worker holds the tracker and a batch, never a whole video.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        video = int(part["video_id"].iloc[0])
-        return pd.DataFrame(run_frames(Tracker(p), video, part), columns=NAMES)
-
-    return detections.groupBy("video_id").applyInPandas(run, TRACKED)
+    rows = detections.select("video_id", "frame", "detection_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "detection_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, tracker, rest = None, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            # The last frame may go on in the next batch.
+            last = (batch["video_id"] == batch["video_id"].iloc[-1]) & (batch["frame"] == batch["frame"].iloc[-1])
+            rest, out = batch[last], []
+            for name, own in batch[~last].groupby("video_id", sort=False):
+                if name != video:
+                    video, tracker = name, Tracker(p)
+                out += run_frames(tracker, int(video), own)
+            yield pd.DataFrame(out, columns=NAMES)
+        if rest is not None and len(rest):
+            name = rest["video_id"].iloc[0]
+            yield pd.DataFrame(run_frames(tracker if name == video else Tracker(p), int(name), rest), columns=NAMES)
+
+    return rows.where("video_id is not null").mapInPandas(run, TRACKED)

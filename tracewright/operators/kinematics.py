@@ -5,6 +5,9 @@ Everything is a window over (video_id, track_id) ordered by time, so one exchang
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,19 +95,23 @@ def grid_samples(obs: DataFrame, p: E.Parameters) -> DataFrame:
 def smoothed_boxes(obs: DataFrame, alpha: float = 0.7) -> DataFrame:
     """Exponentially smoothed corners in time order: alpha of the new box, the rest of the old one.
 
-    The fold depends on order; it runs over the rows of one track as an array, and gives each row its value.
+    Each row rests on the one before, so a track is read in order: partitions of whole tracks, sorted, stream
+    through with one box as their state. No track is held whole.
     """
-    box = F.array("x1", "y1", "x2", "y2")
-    rows = obs.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("t", "frame_id", box.alias("box")))).alias("rows"))
-    start = F.array().cast("array<array<double>>")
-
-    def step(acc, r):
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.when(F.size(acc) == 0, r["box"]).otherwise(F.zip_with(r["box"], last, lambda n, o: F.lit(alpha) * n + F.lit(1 - alpha) * o))
-        return F.concat(acc, F.array(new))
-
-    folded = rows.select(*TRACK, F.arrays_zip("rows", F.aggregate("rows", start, step).alias("smooth")).alias("z")).select(*TRACK, F.explode("z").alias("z"))
-    return folded.select(*TRACK, F.col("z.rows.frame_id").alias("frame_id"), F.col("z.rows.t").alias("t"), *[F.get(F.col("z.smooth"), i).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
+    corners = ["x1", "y1", "x2", "y2"]
+    rows = obs.select(*TRACK, "frame_id", "t", *corners).repartition(*TRACK).sortWithinPartitions(*TRACK, "t", "frame_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, box = None, None
+        for batch in batches:
+            new = batch[corners].to_numpy(float)
+            for i, key in enumerate(zip(*(batch[k] for k in TRACK), strict=True)):
+                if key == track:
+                    new[i] = alpha * new[i] + (1 - alpha) * box
+                track, box = key, new[i]
+            yield batch.assign(**dict(zip(corners, new.T, strict=True)))
+
+    return rows.mapInPandas(run, rows.schema)
 
 
 def filled_gaps(obs: DataFrame, most: int = 10) -> DataFrame:

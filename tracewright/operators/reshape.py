@@ -10,6 +10,7 @@ from ..functions import expr as E
 from .kinematics import TRACK
 
 WIDE = ("x", "y", "heading", "speed", "moved", "accel_linear", "accel_lateral", "dist_headway", "time_headway")
+PER_SECOND = ("cx", "cy", "speed", "cumulative_distance")
 
 
 def sample_count(samples: DataFrame) -> int:
@@ -28,7 +29,7 @@ def widened(samples: DataFrame, count: int | None = None, measures: tuple[str, .
     return pivoted(samples.where(F.col("sample_idx") < count), "sample_idx", list(range(count)), "t", measures)
 
 
-def by_second(resampled: DataFrame, seconds: list[int] | None = None, measures: tuple[str, ...] = ("cx", "cy", "speed", "cumulative_distance")) -> DataFrame:
+def by_second(resampled: DataFrame, seconds: list[int] | None = None, measures: tuple[str, ...] = PER_SECOND) -> DataFrame:
     """One row a track: s{second}_{measure} for the seconds named, or for every second that occurs."""
     if seconds is None:
         seconds = sorted(r[0] for r in resampled.select("sec").distinct().collect())
@@ -70,14 +71,26 @@ def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
 def exact_split(names: DataFrame, name: str, fraction: float, seed: int = 42) -> DataFrame:
     """split = val for exactly max(1, int(n * fraction)) rows, chosen by a seeded hash of the name; else train.
 
-    Finding the cut needs only the sorted hashes: a range exchange and a count, no single task holds all.
+    Rows are counted by the first digits of their hashes (65,536 counts at most come to the driver); the cut
+    falls into one of these parts, of which only the rows below the cut are sorted, to find the last chosen
+    one. Marking is then a map over the rows: nothing is joined. Rows of equal names share a side, so repeats
+    of the last chosen name are chosen with it.
     """
-    hashed = names.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(name))))
-    n = hashed.count()
-    k = max(1, int(n * fraction)) if n else 0
-    chosen = hashed.select(name, "h").orderBy("h", name).limit(k).select(F.col(name).alias("chosen"))
-    out = hashed.drop("h").join(chosen, F.col(name) == F.col("chosen"), "left")
-    return out.withColumn("split", F.when(F.col("chosen").isNotNull(), F.lit("val")).otherwise(F.lit("train"))).drop("chosen")
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(name), F.lit(""))))
+    part = F.substring(h, 1, 4)
+    counts = sorted((r.part, r["count"]) for r in names.groupBy(part.alias("part")).count().collect())
+    n = sum(c for _, c in counts)
+    left = max(1, int(n * fraction))
+    for cut, count in counts:
+        if left <= count:
+            break
+        left -= count
+    else:
+        return names.withColumn("split", F.lit("train"))
+    own = names.where(part == cut).select(h.alias("h"), F.coalesce(F.col(name), F.lit("")).alias("name")).orderBy("h", "name").limit(left)
+    last = own.agg(F.max(F.struct("h", "name")).alias("last")).first()["last"]
+    chosen = (h < last.h) | ((h == last.h) & (F.coalesce(F.col(name), F.lit("")) <= last["name"]))
+    return names.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))
 
 
 def progress(log: DataFrame, total_epochs: int) -> DataFrame:

@@ -56,16 +56,16 @@ def speed_quartiles(summaries: DataFrame) -> DataFrame:
 
 
 def sample_indicators(samples: DataFrame) -> DataFrame:
-    """Per track: speed variation, mean lateral and low-tail linear acceleration, mean headway, distance, samples."""
+    """Per track: speed variation, mean lateral and low-tail linear acceleration, distance, samples; mean headway if the samples have it."""
     r = ranked(samples, TRACK, "accel_linear")
     n = F.col("size")
     tail = F.when(n >= 3, F.floor(n * 0.05)).otherwise(F.lit(0))
     moving = F.when(F.col("speed") > 0, F.col("speed"))
+    way = [F.coalesce(F.avg(F.when(F.col("time_headway") > 0, F.col("time_headway"))), F.lit(999.0)).alias("headway")] if "time_headway" in samples.columns else []
     return r.groupBy(*TRACK).agg(
         F.when(F.count(moving) >= 2, F.stddev_pop(moving) / F.avg(moving)).otherwise(F.lit(0.0)).alias("speed_cv"),
         F.avg(F.abs("accel_lateral")).alias("sway"), F.coalesce(at_place("accel_linear", tail), F.lit(0.0)).alias("braking"),
-        F.coalesce(F.avg(F.when(F.col("time_headway") > 0, F.col("time_headway"))), F.lit(999.0)).alias("headway"),
-        F.sum("moved").alias("total_distance"), F.count("*").alias("n_samples"),
+        *way, F.sum("moved").alias("total_distance"), F.count("*").alias("n_samples"),
     )
 
 
@@ -73,11 +73,17 @@ def samples(obs: DataFrame, p: E.Parameters) -> DataFrame:
     return with_headway(grid_samples(obs, p), valid_tracks(obs, p.min_observations), p)
 
 
+def measured(obs: DataFrame, p: E.Parameters, of_samples: DataFrame) -> DataFrame:
+    """Summary and indicators, without behaviour: what needs no headway asks for samples without it."""
+    return track_summary(obs, p).join(sample_indicators(of_samples), list(TRACK))
+
+
 def vehicles(obs: DataFrame, p: E.Parameters, of_samples: DataFrame | None = None) -> DataFrame:
     """The vehicle table: summary, indicators and behaviour."""
-    s = track_summary(obs, p).join(sample_indicators(of_samples if of_samples is not None else samples(obs, p)), list(TRACK))
-    # A row for each video: joined by key, Spark broadcasts it where it is small.
-    s = s.join(speed_quartiles(s), "video_id")
+    s = measured(obs, p, of_samples if of_samples is not None else samples(obs, p))
+    # A row for each video: joined by key, Spark broadcasts it where it is small. Every valid track has a sample,
+    # so the summary alone gives the quartiles; they don't wait for the indicators.
+    s = s.join(speed_quartiles(track_summary(obs, p)), "video_id")
     metric = lambda k: F.col(k) / p.ppm if p.ppm else F.lit(0.0)
     kind = E.behaviour(p, F.col("avg_speed"), F.col("speed_cv"), F.col("median"), F.col("q1"), F.col("q3"), metric("sway"), metric("braking"), F.col("headway"))
     return s.withColumn("behaviour", kind).drop("median", "q1", "q3")
@@ -94,5 +100,6 @@ def formatted_vehicles(v: DataFrame, p: E.Parameters) -> DataFrame:
 def formatted_samples(s: DataFrame, p: E.Parameters) -> DataFrame:
     per = p.ppm or 1.0
     scaled = ("x", "y", "speed", "moved", "accel_linear", "accel_lateral", "dist_headway")
-    return s.withColumns({k: E.rounded(F.col(k) / per) for k in scaled} | {k: E.rounded(k) for k in ("heading", "time_headway")})
+    held = lambda names: [k for k in names if k in s.columns]
+    return s.withColumns({k: E.rounded(F.col(k) / per) for k in held(scaled)} | {k: E.rounded(k) for k in held(("heading", "time_headway"))})
 

@@ -165,11 +165,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.from_events(spark, sf_dir)
 
 
-def tables(spark: SparkSession, sf_dir: str, p: E.Parameters = P) -> tuple[DataFrame, DataFrame]:
-    """The formatted vehicle and sample tables."""
+def tables(spark: SparkSession, sf_dir: str, p: E.Parameters = P, headway: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The formatted vehicle and sample tables; without headway (nor the behaviour that rests on it) where nobody asks for it."""
     obs = observations(spark, sf_dir)
-    s = V.samples(obs, p)
-    return V.formatted_vehicles(V.vehicles(obs, p, s), p), V.formatted_samples(s, p)
+    s = V.samples(obs, p) if headway else K.grid_samples(obs, p)
+    v = V.vehicles(obs, p, s) if headway else V.measured(obs, p, s)
+    return V.formatted_vehicles(v, p), V.formatted_samples(s, p)
 
 
 @query(valid_sql(P) + f"""
@@ -292,7 +293,7 @@ def q_resampled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _name, _label in (("q_class_mix", "class_name"), ("q_direction_mix", "direction"), ("q_behaviour_mix", "behaviour")):
-    QUERIES[_name] = functools.partial(lambda label, spark, sf_dir: A.mix(tables(spark, sf_dir)[0], label), _label)
+    QUERIES[_name] = functools.partial(lambda label, spark, sf_dir: A.mix(tables(spark, sf_dir, headway=label == "behaviour")[0], label), _label)
     ORACLE[_name] = AN + f""" SELECT video_id, {_label} AS label, count(*) AS n, floor(count(*) * 100.0 / (SELECT count(*) FROM fv b WHERE b.video_id = fv.video_id) * 10.0 + 0.5) / 10.0 AS percent FROM fv GROUP BY video_id, {_label}
         UNION ALL SELECT video_id, 'TOTAL', count(*), 100.0 FROM fv GROUP BY video_id"""
 
@@ -305,7 +306,7 @@ def histogram_sql(source: str, value: str) -> str:
 
 @query(histogram_sql("fv", "avg_speed"))
 def q_speed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.histogram(tables(spark, sf_dir)[0], "avg_speed")
+    return A.histogram(tables(spark, sf_dir, headway=False)[0], "avg_speed")
 
 
 @query(histogram_sql("(SELECT * FROM fs WHERE time_headway < 60)", "time_headway"))
@@ -315,37 +316,37 @@ def q_headway_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(AN + DENSITY + "SELECT video_id, second, n FROM busy")
 def q_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.density(tables(spark, sf_dir)[0]).select("video_id", "second", "n")
+    return A.density(tables(spark, sf_dir, headway=False)[0]).select("video_id", "second", "n")
 
 
 @query(AN + DENSITY + "SELECT video_id, second, congestion FROM busy")
 def q_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.density(tables(spark, sf_dir)[0]).select("video_id", "second", "congestion")
+    return A.density(tables(spark, sf_dir, headway=False)[0]).select("video_id", "second", "congestion")
 
 
 @query(analytics_sql(P_METRIC) + """, v AS (SELECT video_id, class_name, CASE WHEN accel_linear <> 0 THEN abs(greatest(-50.0, least(50.0, accel_linear))) END AS lin, CASE WHEN accel_lateral <> 0 THEN abs(greatest(-50.0, least(50.0, accel_lateral))) END AS lat FROM fs)
 SELECT video_id, class_name, """ + ", ".join(f"{r(f'coalesce({f}({k}), 0.0)', 3)} AS {f}_{n}" for k, n in (("lin", "linear"), ("lat", "lateral")) for f in ("avg", "max")) + " FROM v GROUP BY video_id, class_name HAVING count(lin) + count(lat) > 0")
 def q_accel_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = tables(spark, sf_dir, P_METRIC)
+    v, s = tables(spark, sf_dir, P_METRIC, headway=False)
     return A.acceleration_by_class(s, v)
 
 
 @query(AN + f" SELECT video_id, class_name, {r('avg(avg_speed)')} AS avg_speed, min(avg_speed) AS min_speed, max(avg_speed) AS max_speed, count(*) AS n FROM fv WHERE fv.avg_speed > 0 GROUP BY video_id, class_name".replace("avg(avg_speed)", "avg(fv.avg_speed)").replace("min(avg_speed)", "min(fv.avg_speed)").replace("max(avg_speed)", "max(fv.avg_speed)"))
 def q_speed_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.speed_by_class(tables(spark, sf_dir)[0])
+    return A.speed_by_class(tables(spark, sf_dir, headway=False)[0])
 
 
 @query(AN + f""" SELECT video_id, class_name AS label, {r('avg(total_distance)')} AS avg_distance, {r('sum(total_distance)')} AS sum_distance, max(total_distance) AS max_distance, count(*) AS n FROM fv WHERE total_distance > 0 GROUP BY video_id, class_name
 UNION ALL SELECT video_id, 'ALL', {r('avg(total_distance) FILTER (total_distance > 0)')}, {r('sum(total_distance) FILTER (total_distance > 0)')}, max(total_distance) FILTER (total_distance > 0), count(*) FROM fv GROUP BY video_id""")
 def q_dist_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.distance_by_class(tables(spark, sf_dir)[0])
+    return A.distance_by_class(tables(spark, sf_dir, headway=False)[0])
 
 
 @query(AN + f""", l AS (SELECT video_id, 'linear' AS kind, accel_linear AS a FROM fs WHERE accel_linear <> 0 UNION ALL SELECT video_id, 'lateral', accel_lateral FROM fs WHERE accel_lateral <> 0)
 SELECT video_id, kind, {r('avg(a)')} AS mean, min(a) AS low, max(a) AS high, CASE WHEN count(*) > 20 THEN list_sort(list(a))[CAST(floor(count(*) * 0.05) AS BIGINT) + 1] ELSE min(a) END AS p5,
        CASE WHEN count(*) > 20 THEN list_sort(list(a))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] ELSE max(a) END AS p95, count(*) AS n FROM l GROUP BY video_id, kind""")
 def q_accel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.acceleration_profile(tables(spark, sf_dir)[1])
+    return A.acceleration_profile(tables(spark, sf_dir, headway=False)[1])
 
 
 @query(AN + f""", h AS (SELECT video_id, count(*) FILTER (time_headway < 1.2) AS unsafe, count(*) FILTER (time_headway >= 1.2 AND time_headway < 2) AS marginal, count(*) FILTER (time_headway >= 2) AS safe, count(*) AS n,
@@ -371,12 +372,12 @@ def top_sql(value: str, k: int, name: str) -> str:
 
 @query(top_sql("(greatest(0, n_samples - 1) * 0.5::DOUBLE)", 15, "duration"))
 def q_top_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.longest(tables(spark, sf_dir)[0])
+    return A.longest(tables(spark, sf_dir, headway=False)[0])
 
 
 @query(top_sql("avg_speed", 10, "avg_speed"))
 def q_top_fastest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.top(tables(spark, sf_dir)[0], "avg_speed", 10)
+    return A.top(tables(spark, sf_dir, headway=False)[0], "avg_speed", 10)
 
 
 @query(AN + """, p AS (SELECT video_id, track_id, sample_idx, class_name, speed, time_headway, row_number() OVER (PARTITION BY video_id ORDER BY track_id, sample_idx) - 1 AS spot, count(*) OVER (PARTITION BY video_id) AS n
@@ -413,24 +414,25 @@ def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.exact_split(names, "c_name", 0.15)
 
 
-WIDE_MEASURES = ("x", "y", "speed")
+def pivot_sql(source: str, key: str, measures: tuple[str, ...]) -> str:
+    return f""", cells AS ({source}) PIVOT cells ON {key} USING {', '.join(f'max({m}) AS {m}' for m in measures)} GROUP BY video_id, track_id"""
 
 
-@query(AN + " SELECT video_id, track_id, " + ", ".join(f"max({m}) FILTER (sample_idx = {i}) AS t{i}_{m}" for i in range(12) for m in WIDE_MEASURES) + " FROM fs WHERE sample_idx < 12 GROUP BY video_id, track_id")
+@query(AN + pivot_sql("SELECT * FROM fs", "'t' || sample_idx", S.WIDE))
 def q_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.widened(tables(spark, sf_dir)[1])
 
 
-@query(AN + " SELECT video_id, track_id, CAST(sample_idx AS INTEGER) AS sample_idx, x, y, speed FROM fs WHERE sample_idx < 12")
+@query(AN + f" SELECT video_id, track_id, CAST(sample_idx AS INTEGER) AS sample_idx, {', '.join(S.WIDE)} FROM fs")
 def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables(spark, sf_dir)[1]
     count = S.sample_count(s)
     return S.unpivoted(S.widened(s, count), count)
 
 
-@query(RESAMPLED + " SELECT video_id, track_id, " + ", ".join(f"max({r('cx')}) FILTER (sec = {i}) AS s{i}_cx" for i in range(5, 15)) + " FROM res GROUP BY video_id, track_id")
+@query(RESAMPLED + pivot_sql(f"SELECT video_id, track_id, sec, {', '.join(f'{r(m)} AS {m}' for m in S.PER_SECOND)} FROM res", "'s' || sec", S.PER_SECOND))
 def q_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.by_second(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), "cx", "cy", "speed", "cumulative_distance"))
+    return S.by_second(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), *S.PER_SECOND))
 
 
 def frames_of(obs: DataFrame) -> DataFrame:
