@@ -9,12 +9,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Settings of the jobs that write intermediate results: a query's shuffle files are removed when it ends, and what
-#: goes to a Python worker at once is bounded by bytes, for texts may be long.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Most bytes that go to a Python worker at once (Spark's own bound is by rows, and texts may be long).
+BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Whether a query's shuffle files are removed when it ends: set while intermediate results are written.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_LIMIT bytes; a smaller limit of its own stays."""
+    held = spark.conf.get(BATCH_BYTES, "")
+    if not (held.isdecimal() and 0 < int(held) <= BATCH_LIMIT):
+        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries; reading one also bounds what the session sends to Python workers."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,14 +59,13 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    before = {k: spark.conf.get(k) for k in WRITING}
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    bound_batches(spark)
     try:
-        for k, v in WRITING.items():
-            spark.conf.set(k, v)
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
