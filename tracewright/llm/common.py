@@ -17,7 +17,7 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def bound_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to BATCH_LIMIT bytes; a smaller limit of its own stays."""
-    held = spark.conf.get(BATCH_BYTES, "")
+    held = spark.conf.get(BATCH_BYTES).removesuffix("b")
     if not (held.isdecimal() and 0 < int(held) <= BATCH_LIMIT):
         spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
 
