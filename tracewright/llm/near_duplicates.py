@@ -294,7 +294,20 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
 
     # Step 1: keys that several classes publish tie these classes to the least of them. Here a class goes by
     # a 64-bit hash: should two classes share one, they are compared with each other's partners as well.
-    def published(rank: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The keys of a slice of documents, each once: what many publish shrinks before it is shuffled."""
+        for held in slices(batch["text"] for batch in batches):
+            held = [s for s in held if len(s)]
+            keys = [geometry.keys(s) for s in held]
+            key = np.concatenate([*keys, np.zeros(0, np.int64)])
+            of = np.repeat(np.array([np.frombuffer(fingerprint(s)[:8], np.int64)[0] for s in held], np.int64), [len(k) for k in keys])
+            order = np.lexsort((of, key))
+            key, of = key[order], of[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            ends = np.r_[starts[1:], len(key)] if len(key) else starts
+            yield pd.DataFrame({"key": key[starts], "low": of[starts], "high": of[ends - 1], "often": ends - starts})
+
+    def published(rank: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         @F.pandas_udf("fp binary, keys array<long>")
         def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for held in slices(batches):
@@ -304,7 +317,10 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
         made = docs.select(keys.asNondeterministic()(F.col(text)).alias("made"))
         return made.select(F.xxhash64("made.fp").alias("c"), F.explode("made.keys").alias("key"))
 
-    shared = durable(published().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("often")).where("low < high").select("key", "often"), "shared")
+    # Nearly all keys are met once: they go to their partitions first, for maps of them all would only fill memory.
+    pairs = docs.select(F.col(text).alias("text")).mapInPandas(counted, "key long, low long, high long, often long").repartition("key")
+    shared = pairs.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("often")).where("low < high")
+    shared = durable(shared.select("key", "often"), "shared")
     told = durable(published(ranks(shared)), "told")
     discard(shared)
     ties = durable(told.join(told.groupBy("key").agg(F.min("c").alias("low")), "key").where("c <> low").select("c", "low").distinct(), "ties")
