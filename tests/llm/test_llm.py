@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, components, decontaminate, html_extract, licenses, near_duplicates, quality, secrets, topk, unigram, warc
+from tracewright.llm import bpe, common, components, decontaminate, html_extract, licenses, near_duplicates, quality, secrets, topk, unigram, warc
 from tracewright.llm.common import fresh_path
 from tracewright.llm.queries import QUERIES, byte_vocabulary, piece_model
 
@@ -431,6 +431,18 @@ def test_bpe_equals_the_library():
     assert [e.decode(b) for b in got] == [t.decode(x, skip_special_tokens=False) for x in wanted] == texts
 
 
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+    make = lambda: made.append(1) or object()
+    one = common.kept("one", make)
+    assert common.kept("one", make) is one and len(made) == 1
+    common.kept("two", make)
+    assert common.kept("one", make) is not one and len(made) == 3
+    common.let_go()
+    common.kept("one", make)
+    assert len(made) == 4
+
+
 def test_bpe_caches_forget(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
     e, whole = bpe.Encoder(byte_vocabulary()), bpe.encoder(byte_vocabulary())

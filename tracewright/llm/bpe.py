@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare_name
+from .common import kept, spare_name
 
 #: Entries of a generation of a worker's caches; two generations are held, so that memory stays bounded.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 #: Answers of the pair test that a worker remembers.
 PAIR_ENTRIES = 250_000
 #: White space as Unicode defines it.
@@ -289,14 +289,8 @@ class Encoder:
         return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(f"bpe {path}", lambda: Encoder(path))
 
 
 def _slices(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,23 @@ BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What a Python worker keeps from one task to the next: tables and caches of one operator.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What this worker keeps under the name, made where it is not there; workers outlive stages, so what another operator left goes."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Forget what an operator of an earlier stage left in this worker."""
+    _kept.clear()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to BATCH_LIMIT bytes; a smaller limit of its own stays."""
     held = spark.conf.get(BATCH_BYTES).removesuffix("b")

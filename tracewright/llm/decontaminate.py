@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare_name
+from .common import let_go, spare_name
 
 #: Bytes of item text in one index; a larger benchmark is split over several indexes. An index takes 20 times its text at most
 #: (every word new: a dictionary entry of some 100 bytes, a posting and a block's maximum of 24), so 80 MB.
@@ -319,6 +319,7 @@ def halves(text: str) -> tuple[list[bytes], list[bytes]]:
 def finder(index: Broadcast):
     @F.pandas_udf(LEAKS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         for batch in batches:
             yield pd.Series(index.value.leaks(list(batch)))
 

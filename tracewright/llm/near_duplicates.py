@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, durable, spare_name
+from .common import discard, durable, let_go, spare_name
 from .components import components
 
 #: Coordinates of a point, points of a leaf, classes and shingles of a block, pivots of a cluster that has several blocks.
@@ -276,6 +276,7 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
     geometry = Geometry(num, den)
 
     def slices(batches: Iterator[pd.Series]) -> Iterator[list[np.ndarray]]:
+        let_go()
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
                 yield [shingles(t, shingle) for t in batch.iloc[lo : lo + SLICE]]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import spare_name
+from .common import let_go, spare_name
 
 #: Labelled rows of the training sample.
 LABELLED = 3000
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
 
     @F.pandas_udf("content binary, meta binary")
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             c, m = features(list(b["text"]), list(zip(*[b[x] for x in META], strict=True)))
             yield pd.DataFrame({"content": [r.tobytes() for r in c], "meta": [r.tobytes() for r in m]})
@@ -205,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
 
         @F.pandas_udf("z0 double, z1 double")
         def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            let_go()
             for b in batches:
                 parts = []
                 for lo in range(0, len(b), 1000):
@@ -245,6 +247,7 @@ def score_column(docs: DataFrame, model: dict | None) -> DataFrame:
 
     @F.pandas_udf("quality double, content_quality double, meta_quality double")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             parts = []
             for lo in range(0, len(b), 1000):

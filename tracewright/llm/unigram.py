@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Recent, _slices
-from .common import spare_name
+from .common import kept, spare_name
 
 MARK = "▁"
 #: Log-probability of one fallback byte.
@@ -103,14 +103,8 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters.clear()
-        _counters[path] = Counter(load_pieces(path))
-    return _counters[path]
+    return kept(f"unigram {path}", lambda: Counter(load_pieces(path)))
 
 
 def count_column(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
