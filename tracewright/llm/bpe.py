@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import kept, spare_name
 
 #: Entries of a generation of a worker's caches; two generations are held, so that memory stays bounded.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 60_000
 #: Answers of the pair test that a worker remembers.
-PAIR_ENTRIES = 250_000
+PAIR_ENTRIES = 150_000
 #: White space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
@@ -293,7 +293,7 @@ def encoder(path: str) -> Encoder:
     return kept(f"bpe {path}", lambda: Encoder(path))
 
 
-def _slices(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str], chars: int = 500_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters."""
     held, n = [], 0
     for t in texts:

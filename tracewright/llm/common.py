@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,13 @@ def kept(name: str, make: Callable[[], object]) -> object:
 
 
 def let_go() -> None:
-    """Forget what an operator of an earlier stage left in this worker."""
+    """Forget what an operator of an earlier stage left in this worker, and give its memory back to the system."""
     _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def bound_batches(spark: SparkSession) -> None:
