@@ -279,6 +279,30 @@ def test_frames(spark):
     assert one(O.frames(10, 3, 30.0, spark), "frame_index", "sampled_index") == [(0, 0), (3, 1), (6, 2), (9, 3)]
 
 
+def test_every_nth_frame(spark):
+    table = spark.createDataFrame([(v, i) for v in (1, 2) for i in (0, 3, 4, 6, 9, 12)], "video_id long, frame_index long")
+    rows = [tuple(r) for r in O.every_nth(table, 3, 30.0, 3).orderBy("video_id", "frame_index").collect()]
+    assert rows == [(v, i, k, t) for v in (1, 2) for i, k, t in ((0, 0, 0.0), (3, 1, 0.1), (6, 2, 0.2))]
+    assert O.every_nth(table, 0, 30.0).count() == 12 and O.every_nth(table.where("false"), 3, 30.0).count() == 0
+
+
+def test_labels_and_progress(spark):
+    counts = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "c", 1), (1, "TOTAL", 5)], "video_id long, label string, n long")
+    assert [r.label for r in A.fewest_first(counts).collect()] == ["c", "a", "b"]
+    labels = spark.createDataFrame([("2.0-3.0",), ("x-1",), ("5",), (None,)], "label string")
+    assert [r[0] for r in labels.select(E.label_middle("label")).collect()] == [2.5, None, None, None]
+    done = spark.createDataFrame([(5, 10), (12, 10), (3, 0)], "done long, total long")
+    assert [r[0] for r in done.select(E.share_done("done", "total")).collect()] == [0.5, 1.0, 0.0]
+
+
+def test_helpers_of_boxes_points_and_names(spark):
+    row = spark.createDataFrame([(10.0, 20.0, 30.0, 60.0, "[[1, 2], [3, 4]]", "no list", "a/b")], "x1 double, y1 double, x2 double, y2 double, good string, bad string, entry string")
+    assert tuple(row.select(*E.box_to_centre()).first()) == (20.0, 40.0, 20.0, 40.0)
+    assert tuple(row.select(*E.box_to_centre()).select(*E.centre_to_box("box_cx", "box_cy", "box_w", "box_h")).first()) == (10.0, 20.0, 30.0, 60.0)
+    assert row.select(E.point_list("good")).first()[0] == [[1.0, 2.0], [3.0, 4.0]] and not row.select(E.point_list("bad")).first()[0]
+    assert tuple(row.select(*E.perspective(F.col("x1"), F.col("y1"), [[1, 0, 5], [0, 2, 0], [0, 0, 2]])).first()) == (7.5, 20.0)
+
+
 def test_annotation_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"images": [{"id": 1, "file_name": "a.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}], "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [10, 10, 20, 20]}, {"id": 2, "image_id": 1, "category_id": 14, "bbox": [0, 0, 1, 1]}, {"id": 3, "image_id": 1, "category_id": 5, "bbox": [0, 0, 0, 1]}]}))
     images, boxes = files.coco(spark, str(tmp_path / "c.json"))

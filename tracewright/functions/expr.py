@@ -155,6 +155,17 @@ def parsed(x: str | Column, kind: str, default: object) -> Column:
     return F.coalesce(c(x).try_cast(kind), F.lit(default).cast(kind))
 
 
+def label_middle(label: str | Column) -> Column:
+    """The middle of a bin from its label "a-b"; null where it is no such label."""
+    ends = F.split(c(label), "-")
+    return F.when(F.size(ends) == 2, (F.get(ends, 0).try_cast("double") + F.get(ends, 1).try_cast("double")) / 2)
+
+
+def share_done(done: str | Column, total: str | Column) -> Column:
+    """Progress from 0 to 1; 0 where nothing is to do."""
+    return F.when(c(total) > 0, F.least(c(done) / c(total), F.lit(1.0))).otherwise(F.lit(0.0))
+
+
 def point_list(x: str | Column) -> Column:
     """[[x, y], ...] out of JSON; an empty list where it is no such list."""
     return F.coalesce(F.from_json(c(x), "array<array<double>>"), F.array().cast("array<array<double>>"))

@@ -24,6 +24,11 @@ def mix(vehicles: DataFrame, label: str) -> DataFrame:
     return n.unionByName(total)
 
 
+def fewest_first(counts: DataFrame) -> DataFrame:
+    """Labels by their counts, ascending, ties by label; the TOTAL row of a mix is left out."""
+    return counts.where("label <> 'TOTAL'").orderBy("video_id", "n", "label")
+
+
 def histogram(values: DataFrame, value: str) -> DataFrame:
     """Bins of width 1 from 0 to the ceiling of the greatest value, the last one closed, empty ones kept."""
     v = values.where(F.col(value) > 0).select("video_id", F.col(value).alias("v"))

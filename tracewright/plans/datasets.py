@@ -80,6 +80,11 @@ def q_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.frames(5000, 7, 30.0, spark)
 
 
+@query("WITH " + O.SQL + " SELECT video_id, frame_id AS frame_index, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS BIGINT) AS sampled_index, floor(frame_id / 30.0 * 10000 + 0.5) / 10000 AS timestamp_sec FROM obs WHERE frame_id % 7 = 0")
+def q_every_nth_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.every_nth(O.from_events(spark, sf_dir).select("video_id", F.col("frame_id").alias("frame_index")), 7, 30.0)
+
+
 @query("WITH " + O.SQL + f"""SELECT video_id, CAST(max(frame_id) + 1 AS BIGINT) AS total_frames, min(t) IS NOT NULL AS has_time, CAST(count(DISTINCT track_id) AS BIGINT) AS tracks, {r('max(t) - min(t)')} AS duration FROM obs GROUP BY video_id""")
 def q_video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = O.from_events(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -59,6 +59,15 @@ def frames(total_frames: int, interval: int, fps: float, spark: SparkSession) ->
     )
 
 
+def every_nth(frames: DataFrame, interval: int, fps: float, most: int | None = None) -> DataFrame:
+    """The frames (video_id, frame_index) of a table whose index the interval divides, counted densely in each video; the first `most` of each, if told."""
+    n, w = F.col("frame_index"), Window.partitionBy("video_id").orderBy("frame_index")
+    out = frames.where(n % max(1, interval) == 0).withColumns({
+        "sampled_index": (F.row_number().over(w) - 1).cast("long"), "timestamp_sec": F.floor(n / F.lit(float(fps)) * 10000 + 0.5) / 10000,
+    })
+    return out if most is None else out.where(F.col("sampled_index") < most)
+
+
 def parsed_detections(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """[x1, y1, x2, y2, confidence, class, ...] as strings or numbers; malformed rows go, what is beyond is ignored."""
     names = ("x1", "y1", "x2", "y2", "confidence", "class_id")
