@@ -1,23 +1,16 @@
-"""What the training-data operators share: table access and durable intermediate results."""
+"""What the training-data operators share: table access, what workers keep, keys that may be null or hot."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bytes that go to a Python worker at once (Spark's own bound is by rows, and texts may be long).
-BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-#: Whether a query's shuffle files are removed when it ends: set while intermediate results are written.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..storage import bound_batches, discard, durable, fresh_path, shared_dir  # noqa: F401  (operators take them from here)
 
 #: What a Python worker keeps from one task to the next: tables and caches of one operator.
 _kept: dict[str, object] = {}
@@ -41,69 +34,12 @@ def let_go() -> None:
         trim(0)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_LIMIT bytes; a smaller limit of its own stays."""
-    held = spark.conf.get(BATCH_BYTES).removesuffix("b")
-    if not (held.isdecimal() and 0 < int(held) <= BATCH_LIMIT):
-        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the queries; reading one also bounds what the session sends to Python workers."""
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see, from spark.checkpoint.dir.
-
-    Where a local session names none (tests) a folder of this process is made and set as the checkpoint
-    folder; on a cluster such a folder would be seen by one machine only, so that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewright-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, a lost executor costs nothing.
-
-    The shuffle files of the write go with it (nothing reads them again), not when the driver happens to
-    collect its garbage.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    bound_batches(spark)
-    try:
-        spark.conf.set(SHUFFLE_CLEANUP, "true")
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a durable() frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def null_safe_key(column: str | Column) -> Column:
     """A never-null struct standing for a nullable id, so that an equi-join also pairs nulls."""
     c = F.col(column) if isinstance(column, str) else column
