@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, licenses, near_duplicates, quality, secrets, topk, unigram, warc
+from . import bpe, conversations, decontaminate, fingerprints, html_extract, licenses, near_duplicates, quality, secrets, topk, unigram, vector_codes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,82 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_conversation_prefix_trie"] = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS root, (4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+        lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+    SELECT c.conv_id, 0 AS own, t.place, role, text FROM convs c JOIN turns t ON t.conv_id = c.root AND t.place <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1 AS own, t.place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), seqs AS (
+    SELECT c.conv_id, coalesce(list([role, text] ORDER BY own, place) FILTER (role IS NOT NULL), []) AS s FROM convs c LEFT JOIN parts p ON p.conv_id = c.conv_id GROUP BY c.conv_id
+), prefixes AS (
+    SELECT conv_id, s[1:d] AS p, d, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)
+), nodes AS (
+    SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(p[d][2]) END AS saved,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+    FROM prefixes GROUP BY p, d
+), families AS (
+    SELECT a.*, b.conv_id AS parent, count(c.d) AS children FROM nodes a LEFT JOIN nodes b ON a.d > 0 AND b.d = a.d - 1 AND b.p = a.p[1:a.d - 1]
+    LEFT JOIN nodes c ON c.d = a.d + 1 AND c.p[1:a.d] = a.p GROUP BY ALL
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, a.parent AS parent_conv_id, a.n AS n_convs, a.children AS n_children,
+       count(*) FILTER (s.children = 0) AS n_leaves, CAST(sum(s.saved) AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM families a JOIN families s ON s.d >= a.d AND s.p[1:a.d] = a.p
+GROUP BY a.conv_id, a.d, a.parent, a.n, a.children, a.ends
+"""
+
+
+@query
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(rounds: int) -> str:
+    """The rounds of op13 unrolled, every distance worked out."""
+    nearest = "SELECT rid, part, min([CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), entry]) AS near FROM parts p JOIN b{k} b USING (part) GROUP BY rid, part"
+    step = """, a{k} AS MATERIALIZED ({nearest}), b{n} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+        SELECT part, entry, list(mean ORDER BY i) AS x FROM (
+            SELECT part, near[2] AS entry, i, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS mean
+            FROM (SELECT part, near, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k} JOIN parts USING (rid, part)) GROUP BY part, near[2], i
+        ) GROUP BY part, entry
+    ) m USING (part, entry)
+)"""
+    return "".join(step.format(k=k, n=k + 1, nearest=nearest.format(k=k)) for k in range(rounds)) + f", a{rounds} AS MATERIALIZED ({nearest.format(k=rounds)})"
+
+
+ORACLE["op13_vector_code_compression"] = """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT rid, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) p(part)
+), b0 AS MATERIALIZED (
+    SELECT part, rid - 1 AS entry, x FROM parts WHERE rid <= 256
+){rounds}, coded AS (
+    SELECT rid, string_agg(lower(printf('%02x', near[2])), '' ORDER BY part) AS code, CAST(sum(near[1]) AS BIGINT) AS error FROM a4 GROUP BY rid
+), book AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (rid), book
+""".replace("{rounds}", lloyd_sql(4))
+
 ORACLE["op2_warc"] = """
 WITH h AS (
     SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages
