@@ -73,3 +73,121 @@ def test_finalising_batches(spark, tmp_path, few):
     stream = stream_of(spark, [[(1,)], [(2,), (3,)]], "x long", tmp_path)
     live.finalised(stream, lambda df, i: seen.append((i, df.count())), str(tmp_path / "c")).awaitTermination(120)
     assert [n for _, n in seen] == [1, 2]
+
+
+def timed(rows, start=0):
+    """Detections with an event time: 30 frames a second."""
+    from datetime import datetime, timedelta, timezone
+
+    return [(*r, datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=start + r[1] / 30)) for r in rows]
+
+
+TIMED = DETECTIONS + ", at timestamp"
+
+
+def boxes_of(video, frames, k=1):
+    return [(video, f, i, 10.0 + 3 * f + 300 * i, 10.0, 60.0 + 3 * f + 300 * i, 60.0, 0.9, i) for f in frames for i in range(k)]
+
+
+def state_rows(query):
+    return sum(op["numRowsTotal"] for op in query.recentProgress[-1]["stateOperators"])
+
+
+def run_timed(spark, tmp_path, batches, name, **options):
+    stream = live.tracked(stream_of(spark, batches, TIMED, tmp_path), time="at", lateness="0 seconds", **options)
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    return q, sorted(map(tuple, spark.sql(f"SELECT * FROM {name}").collect()))
+
+
+def test_a_quiet_video_leaves_no_state(spark, tmp_path, few):
+    """Video 0 ends after 12 frames with two of them waiting; video 1 goes on. What waits comes out, and the state goes."""
+    zero, one = boxes_of(0, range(12), 2), boxes_of(1, range(12))
+    later = [boxes_of(1, range(f, f + 3)) for f in (12, 90, 200, 400)]
+    batches = [timed(b) for b in (zero + one, *later)]
+    q, got = run_timed(spark, tmp_path, batches, "quiet", lateness_frames=2, forget=1)
+    want = D.track(spark.createDataFrame(zero, DETECTIONS))
+    assert [r for r in got if r[0] == 0] == sorted(map(tuple, want.collect())) and len({r[1] for r in got if r[0] == 0}) == 9
+    videos = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "video").load()
+    assert [r.key.video_id for r in videos.collect()] == [1]
+    assert {r.video_id for r in live.live_tracks(spark, str(tmp_path / "c")).collect()} <= {1}
+
+
+def test_a_video_that_resumes_keeps_its_ids(spark, tmp_path, few):
+    """Tracks go while a video is quiet, its id counter stays for longer: ids go on as in the batch."""
+    zero = boxes_of(0, range(6))
+    clock = boxes_of(1, range(0, 160, 40))
+    again = boxes_of(0, range(150, 156))
+    batches = [timed(zero), *[timed([c]) for c in clock], timed(again)]
+    _, got = run_timed(spark, tmp_path, batches, "resumed", forget=10)
+    want = D.track(spark.createDataFrame(zero + again, DETECTIONS))
+    assert [r for r in got if r[0] == 0] == sorted(map(tuple, want.collect()))
+    assert {r[2] for r in got if r[0] == 0} == {1, 2}
+
+
+def test_no_state_is_left_at_last(spark, tmp_path, few):
+    """A last row far ahead and dropped by the tracker (its confidence is too low to begin a track) moves the clock past all timers."""
+    rows = boxes_of(0, range(8), 2) + boxes_of(1, range(8))
+    ends = [timed([(9, 0, 0, 0.0, 0.0, 1.0, 1.0, 0.0, 0)], start=s) for s in (60, 120, 180)]
+    q, _ = run_timed(spark, tmp_path, [timed(rows), *ends], "ended", forget=2)
+    left = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "video").load()
+    assert {r.key.video_id for r in left.collect()} <= {9}
+    assert live.live_tracks(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_snapshot_equals_the_batch_twin(spark, tmp_path, few):
+    import numpy as np
+
+    rows = [(v, f, i, 10.0 + 3 * f + 200 * i, 10.0, 60.0 + 3 * f + 200 * i, 60.0, 0.9 if (f + i) % 4 else 0.3, i) for v in (0, 1) for f in range(12) for i in (0, 1)]
+    batches = [[x for x in rows if x[1] // 4 == k] for k in range(3)]
+    collected(live.tracked(stream_of(spark, batches, DETECTIONS, tmp_path)), "snap", tmp_path, spark)
+    for batch, upto in ((None, 12), (1, 8)):
+        got = sorted(map(tuple, live.live_tracks(spark, str(tmp_path / "c"), batch).select("video_id", "frame", "created", "track_id", "x1", "y1", "x2", "y2", "silent", "age", "hits", "history").collect()))
+        want = []
+        for v in (0, 1):
+            t = D.Tracker()
+            for f in range(upto):
+                own = np.array([r[3:9] for r in rows if r[:2] == (v, f)], float)
+                t.step(f, own[:, :4], own[:, 4], own[:, 5].astype(int))
+            want += [(v, upto - 1, t.created, k.track_id, *k.box.tolist(), k.silent, k.age, k.hits, len(k.history)) for k in t.tracks]
+        assert got == sorted(want) and len(got) >= 4
+
+
+def test_a_restart_resets_a_video(spark, tmp_path, few):
+    """Stopped and started again with a reset for video 0: its ids count from 1, those of video 1 go on; the same reset isn't done twice."""
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    got = []
+    for i, resets in enumerate((None, {0: 7}, {0: 7})):
+        # In each run the box is elsewhere, so that a new track begins.
+        rows = [(v, f, 0, 1000.0 * i + f, 10.0, 1000.0 * i + 50 + f, 60.0, 0.9, 0) for v in (0, 1) for f in range(10 * i, 10 * i + 6)]
+        spark.createDataFrame(rows, DETECTIONS).coalesce(1).write.parquet(f"{path}/b{i}")
+        q = live.tracked(stream, resets=resets).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+    ids = lambda v: [sorted({r[2] for r in got if r[0] == v and r[1] // 10 == i}) for i in range(3)]
+    assert ids(1) == [[1], [2], [3]] and ids(0) == [[1], [1], [2]]
+
+
+def test_live_progress_counts_every_batch(spark, tmp_path, few):
+    import time
+
+    from tracewright.streaming import progress
+
+    schema = "video_id long, frame long, boxes array<struct<x1:double,y1:double,x2:double,y2:double,confidence:double,class_id:int>>"
+    frames = [(0, f, [(10.0 + f + 200 * i, 10.0, 60.0 + f + 200 * i, 60.0, 0.9, 1) for i in range(0 if f == 5 else 2)]) for f in range(12)]
+    listener = progress.LiveProgress()
+    spark.streams.addListener(listener)
+    try:
+        stream = stream_of(spark, [frames[:4], frames[4:8], frames[8:]], schema, tmp_path)
+        got = collected(progress.counted_tracks(live.tracked(progress.detections_of(stream))), "counted", tmp_path, spark)
+        rows = got.count()
+        until = time.monotonic() + 30
+        while (listener.of("counted").running or listener.of("counted").batches < 3) and time.monotonic() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    end = listener.of("counted")
+    assert [(h["frames"], h["detections"], h["last_frame"]) for h in listener.history["counted"]] == [(4, 8, 3), (8, 14, 7), (12, 22, 11)]
+    assert end.rows == rows > 0 and end.greatest_id == 2 and end.share(24) == 0.5 and end.frames_per_second() > 0 and not end.running
+    assert end.seconds_left(12) == 0 and progress.Counters().share(0) == 0

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import zipfile
 
@@ -250,13 +251,21 @@ def test_pivots_hold_every_sample_second_and_measure(spark, tmp_path, monkeypatc
     queries, nowhere = T.QUERIES, str(tmp_path)
     s = {(r["track_id"], r["sample_idx"]): r for r in T.tables(spark, nowhere)[1].collect()}
     assert len(s) == 41 + 8
-    wide = {r["track_id"]: r for r in queries["q_wide"](spark, nowhere).collect()}
+    wide = {r["track_id"]: r for r in S.widened(T.sample_table(spark, nowhere)).collect()}
     assert set(wide) == {1, 2} and all(len(r) == 2 + 41 * len(S.WIDE) for r in wide.values())
     for k, r in wide.items():
         assert all(r[f"t{i}_{m}"] == (s[k, i][m] if (k, i) in s else None) for i in range(41) for m in S.WIDE)
+    # The query gives the same cells as a line, in hundredths.
+    lines = {r["track_id"]: r for r in queries["q_wide"](spark, nowhere).collect()}
+    cell = lambda v: "" if v is None else str(math.floor(v * 100 + 0.5))
+    assert set(lines) == {1, 2} and all(r["n_cells"] == 41 * len(S.WIDE) for r in lines.values())
+    for k, r in lines.items():
+        assert r["cells"].split(",") == [cell(wide[k][f"t{i}_{m}"]) for i in range(41) for m in S.WIDE]
     long = queries["q_unpivot"](spark, nowhere).collect()
     assert len(long) == len(s) and all(r[m] == s[r["track_id"], r["sample_idx"]][m] for r in long for m in S.WIDE)
-    sec = queries["q_by_second"](spark, nowhere).where("track_id = 1").first()
+    line = queries["q_by_second"](spark, nowhere).where("track_id = 1").first()
+    sec = S.by_second(T.rounded_columns(R.whole_seconds(o), *S.PER_SECOND)).where("track_id = 1").first()
+    assert line["n_cells"] == 21 * 4 and line["cells"].split(",") == [cell(x) for x in sec[2:]]
     assert len(sec) == 2 + 21 * 4 and [sec[f"s{i}_cx"] for i in range(21)] == [6.0 * i for i in range(21)]
     assert sec["s20_cy"] == 1600 and sec["s20_speed"] > 0 and sec["s20_cumulative_distance"] > 1600
     none = o.where("false").withColumns({"sec": F.col("frame_id"), "sample_idx": F.col("frame_id")})

@@ -187,10 +187,65 @@ def centre_to_box(cx: str, cy: str, w: str, h: str) -> list[Column]:
     return [(c(cx) - w / 2).alias("x1"), (c(cy) - h / 2).alias("y1"), (c(cx) + w / 2).alias("x2"), (c(cy) + h / 2).alias("y2")]
 
 
-def perspective(x: Column, y: Column, m: list[list[float]]) -> tuple[Column, Column]:
-    """A point through a 3 x 3 homography."""
-    rows = [F.lit(float(r[0])) * x + F.lit(float(r[1])) * y + F.lit(float(r[2])) for r in m]
-    return rows[0] / rows[2], rows[1] / rows[2]
+def perspective(x: Column, y: Column, m: list[list[float]] | Column) -> tuple[Column, Column]:
+    """A point through a homography: a 3 x 3 matrix of numbers, or a column with its nine numbers row by row."""
+    if isinstance(m, Column):
+        rows = [m[3 * i] * x + m[3 * i + 1] * y + m[3 * i + 2] for i in range(3)]
+    else:
+        rows = [F.lit(float(r[0])) * x + F.lit(float(r[1])) * y + F.lit(float(r[2])) for r in m]
+    return F.when(rows[2] != 0, rows[0] / rows[2]), F.when(rows[2] != 0, rows[1] / rows[2])
+
+
+def ordered_quad(points: Column) -> Column:
+    """The first four points of an array of [x, y] as an array: top left (least x + y), top right (least y - x), bottom right (greatest x + y), bottom left (greatest y - x).
+
+    Of points that tie the first is taken; null where there are fewer than four points.
+    """
+    four = F.slice(points, 1, 4)
+    numbered = F.transform(four, lambda p, i: F.struct((p[0] + p[1]).alias("sum"), (p[1] - p[0]).alias("diff"), i.alias("i"), p.alias("p")))
+    least = lambda key: F.array_min(F.transform(numbered, lambda q: F.struct(q[key].alias("k"), q["i"].alias("i"), q["p"].alias("p"))))["p"]
+    most = lambda key: F.array_min(F.transform(numbered, lambda q: F.struct((-q[key]).alias("k"), q["i"].alias("i"), q["p"].alias("p"))))["p"]
+    return F.when(F.size(points) >= 4, F.array(least("sum"), least("diff"), most("sum"), most("diff")))
+
+
+def homography(source: Column, target: list[tuple[float, float]]) -> Column:
+    """The nine numbers (row by row, the last 1) of the map that takes four points to four given ones; null where none does.
+
+    The eight unknowns solve eight linear equations, two for each point. They are eliminated in column
+    functions, a row of the system being an array, with the largest pivot of each column.
+    """
+    x = lambda i: source[i][0].cast("double")
+    y = lambda i: source[i][1].cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    system = []
+    for i, (u, v) in enumerate(target):
+        u, v = F.lit(float(u)), F.lit(float(v))
+        system.append(F.array(x(i), y(i), one, zero, zero, zero, -u * x(i), -u * y(i), u))
+        system.append(F.array(zero, zero, zero, x(i), y(i), one, -v * x(i), -v * y(i), v))
+
+    def eliminated(held: Column, k: Column) -> Column:
+        """Column k out of all rows but the pivot's, which is scaled to 1 and put at place k; null where no pivot is left."""
+        place = F.array_max(F.transform(held, lambda r, i: F.named_struct(F.lit("size"), F.when(i >= k, F.abs(r[k])).otherwise(-1.0), F.lit("i"), -i)))
+        at = -place["i"]
+        pivot = F.transform(F.element_at(held, (at + 1).cast("int")), lambda c: c / F.element_at(F.element_at(held, (at + 1).cast("int")), (k + 1).cast("int")))
+        swapped = F.transform(held, lambda r, i: F.when(i == k, pivot).when(i == at, F.element_at(held, (k + 1).cast("int"))).otherwise(r))
+        rows = F.transform(swapped, lambda r, i: F.when(i == k, r).otherwise(F.zip_with(r, pivot, lambda a, b: a - r[k] * b)))
+        return F.when(place["size"] > 1e-12, rows)
+
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.array(*system), eliminated)
+    return F.when(solved.isNotNull(), F.concat(F.transform(solved, lambda r: r[8]), F.array(one)))
+
+
+def track_colour(track: str | Column) -> Column:
+    """[blue, green, red] of a track: hues spread by the golden ratio, fixed saturation and brightness."""
+    # The ratio, half-degrees of hue, saturation and brightness.
+    ratio, half_turn, saturation, brightness = 0.618033988749895, 180, 220, 230
+    spread = c(track).cast("double") * ratio
+    hue = F.floor((spread - F.floor(spread)) * half_turn) * 2.0 / 60.0  # in sixths of a turn
+    chroma = brightness * saturation / 255.0
+    wave = lambda shift: (hue + shift) % 6
+    level = lambda shift: F.round(brightness - chroma * F.greatest(F.lit(0.0), F.least(F.least(wave(shift), 4 - wave(shift)), F.lit(1.0)))).cast("int")
+    return F.array(level(1), level(3), level(5))
 
 
 def pixels_per_metre(p: tuple[float, float], q: tuple[float, float], metres: float) -> float | None:

@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from ..functions import expr as E
+from ..storage import durable
 from .kinematics import TRACK
-from .vehicles import at_place, ranked
+from .ranks import positions
+from .selection import at_places
 
 
 def of_video() -> WindowSpec:
@@ -87,13 +89,11 @@ def distance_by_class(vehicles: DataFrame) -> DataFrame:
 def acceleration_profile(samples: DataFrame) -> DataFrame:
     """Mean, extremes and positional 5th and 95th percentiles (extremes up to 20 values) of non-zero accelerations."""
     long = samples.select("video_id", F.explode(F.create_map(F.lit("linear"), F.col("accel_linear"), F.lit("lateral"), F.col("accel_lateral"))).alias("kind", "a")).where("a <> 0")
-    r = ranked(long, ("video_id", "kind"), "a")
-    n = F.col("size")
-    place = lambda q, few: F.when(n > 20, F.floor(n * F.lit(q))).otherwise(few)
-    return r.groupBy("video_id", "kind").agg(
-        E.rounded(F.avg("a")).alias("mean"), F.min("a").alias("low"), F.max("a").alias("high"),
-        at_place("a", place(0.05, F.lit(0))).alias("p5"), at_place("a", place(0.95, n - 1)).alias("p95"), F.count("*").alias("n"),
-    )
+    place = lambda q, few: lambda n: F.when(n > 20, F.floor(n * F.lit(q))).otherwise(few(n))
+    long = durable(long, "accelerations")
+    tails = at_places(long, ["video_id", "kind"], "a", {"p5": place(0.05, lambda n: F.lit(0)), "p95": place(0.95, lambda n: n - 1)})
+    means = long.groupBy("video_id", "kind").agg(E.rounded(F.avg("a")).alias("mean"), F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("n"))
+    return means.join(tails.drop("size"), ["video_id", "kind"]).select("video_id", "kind", "mean", "low", "high", "p5", "p95", "n")
 
 
 def headway_safety(samples: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def headway_safety(samples: DataFrame) -> DataFrame:
 
 
 def kpis(vehicles: DataFrame, samples: DataFrame) -> DataFrame:
-    """Fleet figures of a video."""
+    """Fleet figures of a video. The vehicle table, which four of them read, is written once."""
+    vehicles = durable(vehicles, "vehicles")
     life = lifetimes(vehicles)
     lives = life.groupBy("video_id").agg(F.avg(F.when(F.col("te") > F.col("ts"), F.col("te") - F.col("ts"))).alias("duration"), (F.max("te") - F.min("ts")).alias("span"))
     v = vehicles.groupBy("video_id").agg(F.count("*").alias("vehicles"), F.avg(F.when(F.col("avg_speed") > 0, F.col("avg_speed"))).alias("speed"), F.max(F.when(F.col("avg_speed") > 0, F.col("avg_speed"))).alias("peak"), F.countDistinct("class_name").alias("classes"))
@@ -124,7 +125,11 @@ def kpis(vehicles: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def top(vehicles: DataFrame, by: str, k: int) -> DataFrame:
-    """The k vehicles of a video with the greatest positive value, ties by track."""
+    """The k vehicles of a video with the greatest positive value, ties by track.
+
+    Spark keeps k rows of each video in every task before the shuffle (window group limit), so the window
+    sorts k rows for each task, never a whole video.
+    """
     w = of_video().orderBy(F.col(by).desc(), "track_id")
     rows = vehicles.where(F.col(by) > 0).withColumn("place", F.row_number().over(w).cast("int")).where(F.col("place") <= k)
     return rows.select("video_id", "place", "track_id", "class_name", F.col(by))
@@ -141,16 +146,16 @@ def scatter(samples: DataFrame, vehicles: DataFrame) -> DataFrame:
 
 
 def thinned(points: DataFrame, order: list[str], most: int = 200, ceiling: bool = False) -> DataFrame:
-    """Every len//most-th point (or its ceiling) of a video that has more than `most`."""
-    n = F.count("*").over(of_video())
+    """Every len//most-th point (or its ceiling) of a video that has more than `most`; places come from sorted partitions, not from a window over the video."""
+    placed = durable(positions(points, ["video_id"], [F.col(c).asc() for c in order], "_at"), "placed")
+    sizes = placed.groupBy(F.col("video_id").alias("_of")).agg(F.count("*").alias("_n"))
+    n, at = F.col("_n"), F.col("_at") - 1
     step = F.greatest(F.lit(1), F.ceil(n / most) if ceiling else F.floor(n / most))
-    rows = points.withColumns({"at": F.row_number().over(of_video().orderBy(*order)) - 1, "stride": F.when(n > most, step).otherwise(F.lit(1))})
-    return rows.where(F.col("at") % F.col("stride") == 0).drop("at", "stride")
+    rows = placed.join(sizes, F.col("video_id").eqNullSafe(F.col("_of")))
+    return rows.where(at % F.when(n > most, step).otherwise(F.lit(1)) == 0).drop("_at", "_of", "_n")
 
 
 def axis_limit(points: DataFrame, value: str, least: float = 2.0) -> DataFrame:
     """1.3 times the positional 95th percentile (the maximum up to 5 values), at least `least`."""
-    r = ranked(points.select("video_id", value), ("video_id",), value)
-    n = F.col("size")
-    place = F.when(n > 5, F.floor(n * 0.95)).otherwise(n - 1)
-    return r.groupBy("video_id").agg(E.rounded(F.greatest(F.lit(least), at_place(value, place) * 1.3)).alias("limit"))
+    r = at_places(points, ["video_id"], value, {"_tail": lambda n: F.when(n > 5, F.floor(n * 0.95)).otherwise(n - 1)})
+    return r.select("video_id", E.rounded(F.greatest(F.lit(least), F.col("_tail") * 1.3)).alias("limit"))

@@ -75,3 +75,29 @@ def safe_name(prefix: str, entry: str | Column) -> Column:
 def counts(boxes: DataFrame, by: str = "split") -> DataFrame:
     """Boxes of each class and split, with totals (split TOTAL, class -1)."""
     return boxes.rollup(by, "class_id").agg(F.count("*").alias("n")).select(F.coalesce(by, F.lit("TOTAL")).alias(by), F.coalesce("class_id", F.lit(-1)).alias("class_id"), "n")
+
+
+def merged_listing(images: list[DataFrame], labels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(files of a merged dataset, images linked by source and split) from the listings of several datasets.
+
+    A listing has split, name (a file's name) and path; images and labels are given source by source. Where a
+    name is in several sources the first one's file stays, for images and for labels separately: an image's
+    label is that of the first source that has both an image of the stem in the split and a label file for it,
+    which may be another source than the image's. Every image of a source counts as linked, taken or not.
+    The files are (split, kind, name, path, source_no); an image without any label has no label row.
+    """
+
+    def listed(frames: list[DataFrame]) -> DataFrame:
+        out = [f.select("split", "name", "path", F.lit(i).alias("source_no")) for i, f in enumerate(frames)]
+        rows = out[0]
+        for f in out[1:]:
+            rows = rows.unionByName(f)
+        return rows.withColumn("stem", F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""))
+
+    pictures, texts = listed(images), listed(labels).where(F.col("name").endswith(".txt"))
+    # An image asks its own source for a label of its stem: an equi-join on source, split and stem.
+    asked = pictures.select("split", "stem", "source_no").distinct()
+    met = texts.join(asked, ["split", "stem", "source_no"], "left_semi")
+    first = lambda rows, kind: rows.groupBy("split", "name").agg(F.min(F.struct("source_no", "path")).alias("first")).select("split", F.lit(kind).alias("kind"), "name", "first.path", "first.source_no")
+    linked = pictures.groupBy("source_no", "split").agg(F.count("*").alias("linked"))
+    return first(pictures, "image").unionByName(first(met, "label")), linked

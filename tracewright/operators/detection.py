@@ -30,6 +30,31 @@ def clamped_to(detections: DataFrame, roi: tuple[float, float, float, float]) ->
     return detections.withColumns(cut).where("x2 > x1 and y2 > y1")
 
 
+def suppressed(detections: DataFrame, confidence: float = 0.25, overlap: float = 0.45, across_classes: bool = False) -> DataFrame:
+    """What a detector passes on: boxes of at least this confidence, less those that overlap a better one of their frame and class by more than `overlap`.
+
+    Greedy: boxes are taken in order of confidence (ties by detection_id), each is kept unless a kept one
+    overlaps it. A frame's boxes of a class come together as one array, folded in column functions: what a
+    camera's frame holds bounds it. Other columns are kept. Null confidences are below any threshold.
+    """
+    key = ["video_id", "frame", *([] if across_classes else ["class_id"])]
+    others = [c for c in detections.columns if c not in key]
+    box = ("x1", "y1", "x2", "y2")
+    area = lambda a: (a["x2"] - a["x1"]) * (a["y2"] - a["y1"])
+
+    def meets(a: F.Column, b: F.Column) -> F.Column:
+        zero = F.lit(0.0)
+        inter = F.greatest(zero, F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) * F.greatest(zero, F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+        union = area(a) + area(b) - inter
+        return F.coalesce((union > 0) & (inter / union > overlap), F.lit(False))
+
+    ranked = F.struct((-F.col("confidence")).alias("_rank"), F.col("detection_id").alias("_id"), *box, F.struct(*others).alias("_row"))
+    grouped = detections.where(F.col("confidence") >= confidence).groupBy(*key).agg(F.array_sort(F.collect_list(ranked), lambda a, b: F.when(a["_rank"] != b["_rank"], F.signum(a["_rank"] - b["_rank"])).otherwise(F.signum((a["_id"] - b["_id"]).cast("double"))).cast("int")).alias("boxes"))
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda held, b: F.when(F.exists(held, lambda a: meets(a, b)), held).otherwise(F.concat(held, F.array(b))))
+    rows = grouped.select(*key, F.explode(kept).alias("b")).select(*key, "b._row.*")
+    return rows.select(*detections.columns)
+
+
 def overlap_pairs(detections: DataFrame, tracks: DataFrame, least: float = 0.0) -> DataFrame:
     """Overlap of each detection with each track of the same frame; an equi-join on (video, frame)."""
     d = detections.select("video_id", "frame", F.col("detection_id"), *[F.col(k).alias(f"d_{k}") for k in ("x1", "y1", "x2", "y2")])
@@ -175,6 +200,7 @@ class Tracker:
         self.p = p or TrackerParameters()
         self.tracks: list[Track] = []
         self.created = 0
+        self.last: int | None = None
 
     def _round(self, boxes: np.ndarray, chosen: list[int], tracks: list[Track], confidence: np.ndarray, classes: np.ndarray, frame: int) -> tuple[list[int], list[Track]]:
         """One association round; what stays unmatched of both."""
@@ -188,7 +214,23 @@ class Tracker:
         return [chosen[i] for i in free], [tracks[i] for i in alone]
 
     def step(self, frame: int, boxes: np.ndarray, confidence: np.ndarray, classes: np.ndarray) -> list[Track]:
-        """Take one frame's detections; the confirmed tracks that were seen in it."""
+        """Take one frame's detections; the confirmed tracks that were seen in it.
+
+        Frames left out since the last one had no detections: the tracks move and age through them.
+        """
+        if self.last is not None:
+            self.pass_by(frame - self.last - 1)
+        self.last = frame
+        return self._take(frame, boxes, confidence, classes)
+
+    def pass_by(self, frames: int) -> None:
+        """So many frames without detections; after `buffer` of them no track is left."""
+        for k in range(min(frames, self.p.buffer + 1)):
+            if not self.tracks:
+                break
+            self._take(self.last + 1 + k, np.zeros((0, 4)), np.zeros(0), np.zeros(0, int))
+
+    def _take(self, frame: int, boxes: np.ndarray, confidence: np.ndarray, classes: np.ndarray) -> list[Track]:
         p, boxes = self.p, np.asarray(boxes, float).reshape(-1, 4)
         high = [i for i in range(len(boxes)) if confidence[i] >= p.high]
         low = [i for i in range(len(boxes)) if p.low <= confidence[i] < p.high]

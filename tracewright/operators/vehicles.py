@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import expr as E
+from ..storage import durable
 from .kinematics import TRACK, grid_samples, neighbours_in_time, valid_tracks
 from .neighbours import with_headway
+from .selection import at_places
 
 
 def track_summary(obs: DataFrame, p: E.Parameters) -> DataFrame:
@@ -44,13 +46,12 @@ def at_place(value: str, place: F.Column) -> F.Column:
 
 def speed_quartiles(summaries: DataFrame) -> DataFrame:
     """Positional quartiles of the vehicles' speeds in a video: element n div 4 and so on, upper-biased."""
-    n = F.col("size")
-    r = ranked(summaries.select("video_id", "avg_speed"), ("video_id",), "avg_speed")
-    q = r.groupBy("video_id", "size").agg(
-        at_place("avg_speed", F.floor(n / 4)).alias("a"), at_place("avg_speed", F.floor(n / 2)).alias("b"), at_place("avg_speed", F.floor(3 * n / 4)).alias("d"),
-        F.min("avg_speed").alias("low"), F.max("avg_speed").alias("high"), F.avg("avg_speed").alias("mean"),
+    places = {name: lambda n, share=share: F.floor(n * share) for name, share in (("a", 0.25), ("b", 0.5), ("d", 0.75))}
+    q = at_places(summaries, ["video_id"], "avg_speed", places).join(
+        summaries.groupBy(F.col("video_id").alias("of")).agg(F.min("avg_speed").alias("low"), F.max("avg_speed").alias("high"), F.avg("avg_speed").alias("mean")),
+        F.col("video_id").eqNullSafe(F.col("of")),
     )
-    few = n < 4
+    few = F.col("size") < 4
     pick = lambda small, big: F.when(few, F.col(small)).otherwise(F.col(big))
     return q.select("video_id", pick("low", "a").alias("q1"), pick("mean", "b").alias("median"), pick("high", "d").alias("q3"))
 
@@ -73,17 +74,18 @@ def samples(obs: DataFrame, p: E.Parameters) -> DataFrame:
     return with_headway(grid_samples(obs, p), valid_tracks(obs, p.min_observations), p)
 
 
-def measured(obs: DataFrame, p: E.Parameters, of_samples: DataFrame) -> DataFrame:
+def measured(obs: DataFrame, p: E.Parameters, of_samples: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Summary and indicators, without behaviour: what needs no headway asks for samples without it."""
-    return track_summary(obs, p).join(sample_indicators(of_samples), list(TRACK))
+    return (summary if summary is not None else track_summary(obs, p)).join(sample_indicators(of_samples), list(TRACK))
 
 
 def vehicles(obs: DataFrame, p: E.Parameters, of_samples: DataFrame | None = None) -> DataFrame:
     """The vehicle table: summary, indicators and behaviour."""
-    s = measured(obs, p, of_samples if of_samples is not None else samples(obs, p))
+    summary = durable(track_summary(obs, p), "summary")
+    s = measured(obs, p, of_samples if of_samples is not None else samples(obs, p), summary)
     # A row for each video: joined by key, Spark broadcasts it where it is small. Every valid track has a sample,
     # so the summary alone gives the quartiles; they don't wait for the indicators.
-    s = s.join(speed_quartiles(track_summary(obs, p)), "video_id")
+    s = s.join(speed_quartiles(summary), "video_id")
     metric = lambda k: F.col(k) / p.ppm if p.ppm else F.lit(0.0)
     kind = E.behaviour(p, F.col("avg_speed"), F.col("speed_cv"), F.col("median"), F.col("q1"), F.col("q3"), metric("sway"), metric("braking"), F.col("headway"))
     return s.withColumn("behaviour", kind).drop("median", "q1", "q3")

@@ -47,19 +47,60 @@ def q_skipped_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.kept_and_skipped(boxes(spark, sf_dir), "category_id", AN.NUMBERED)[1]
 
 
-@query(BOXES_SQL + """SELECT o.frame_id AS image_id, CAST(coalesce(count(k.image_id), 0) AS BIGINT) AS lines FROM obs o LEFT JOIN k ON k.image_id = o.frame_id GROUP BY ALL""")
+@query(BOXES_SQL + """, lines AS (SELECT image_id // 4 AS image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, ncx, ncy, nw, nh), chr(10) ORDER BY image_id % 4) AS content FROM k GROUP BY image_id // 4)
+SELECT i.image_id, coalesce(content, '') AS content FROM (SELECT DISTINCT frame_id // 4 AS image_id FROM obs) i LEFT JOIN lines l ON l.image_id = i.image_id""")
 def q_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four boxes make an image here."""
     b = boxes(spark, sf_dir)
     kept, _ = AN.kept_and_skipped(b, "category_id", AN.NUMBERED)
-    files = AN.label_files(b.select("image_id"), AN.from_sides(kept))
-    return files.select("image_id", F.size(F.filter(F.split("content", "\n"), lambda x: x != "")).cast("long").alias("lines"))
+    four = AN.from_sides(kept).withColumns({"line_no": F.col("image_id") % 4, "image_id": F.floor(F.col("image_id") / 4)})
+    return AN.label_files(b.select(F.floor(F.col("image_id") / 4).alias("image_id")).distinct(), four)
 
 
-@query("""SELECT c_custkey AS image_id, 'annotation' AS lacks FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
+@query("""WITH a AS (SELECT o_custkey FROM orders WHERE o_totalprice > 400000), i AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+SELECT c_custkey AS image_id, 'annotation' AS lacks FROM customer WHERE c_custkey NOT IN (FROM a) UNION ALL SELECT c_custkey, 'image' FROM customer WHERE c_custkey NOT IN (FROM i)
+UNION ALL SELECT c_custkey, 'nothing' FROM customer WHERE c_custkey IN (FROM a) AND c_custkey IN (FROM i)""")
 def q_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("image_id"))
-    annotated = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 400000").select(F.col("o_custkey").alias("image_id"))
-    return AN.listed_with_files(entries, annotated, entries)[1]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    annotated = orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("image_id"))
+    images = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("image_id"))
+    found, lacking = AN.listed_with_files(entries, annotated, images)
+    return lacking.unionByName(found.withColumn("lacks", F.lit("nothing")))
+
+
+#: Two datasets with clashing names: customers with orders as labels, parts with line items as labels (and some of other names).
+LISTINGS_SQL = """images AS (
+    SELECT 0 AS source_no, CASE WHEN c_custkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'img' || c_custkey || '.jpg' AS name, '/a/' || c_custkey AS path FROM customer
+    UNION ALL SELECT 1, CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END, 'img' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '.png' ELSE '.jpg' END, '/b/' || p_partkey FROM part
+), labels AS (
+    SELECT DISTINCT 0 AS source_no, CASE WHEN o_custkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'img' || o_custkey || '.txt' AS name, '/la/' || o_custkey AS path FROM orders WHERE o_totalprice > 300000
+    UNION ALL SELECT DISTINCT 1, CASE WHEN l_partkey % 5 = 0 THEN 'val' ELSE 'train' END, 'img' || l_partkey || CASE WHEN l_partkey % 11 = 0 THEN '.json' ELSE '.txt' END, '/lb/' || l_partkey FROM lineitem WHERE l_quantity > 45
+)"""
+
+
+def listings(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    def listing(table: str, key: str, path: str, ending: F.Column, where: str = "true") -> DataFrame:
+        k = F.col(key)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(where).select(key).distinct()
+        return rows.select(F.when(k % 5 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("img"), k.cast("string"), ending).alias("name"), F.concat(F.lit(path), k.cast("string")).alias("path"))
+
+    ending = lambda key, n, odd, usual: F.when(F.col(key) % n == 0, odd).otherwise(usual)
+    images = [listing("customer", "c_custkey", "/a/", F.lit(".jpg")), listing("part", "p_partkey", "/b/", ending("p_partkey", 7, ".png", ".jpg"))]
+    labels = [listing("orders", "o_custkey", "/la/", F.lit(".txt"), "o_totalprice > 300000"), listing("lineitem", "l_partkey", "/lb/", ending("l_partkey", 11, ".json", ".txt"), "l_quantity > 45")]
+    return images, labels
+
+
+@query("WITH " + LISTINGS_SQL + """, met AS (SELECT * FROM labels l WHERE name LIKE '%.txt' AND EXISTS (FROM images i WHERE i.source_no = l.source_no AND i.split = l.split AND i.name[:-5] = l.name[:-5]))
+SELECT split, 'image' AS kind, name, arg_min(path, source_no) AS path, CAST(min(source_no) AS INTEGER) AS source_no FROM images GROUP BY split, name
+UNION ALL SELECT split, 'label', name, arg_min(path, source_no), CAST(min(source_no) AS INTEGER) FROM met GROUP BY split, name""")
+def q_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AN.merged_listing(*listings(spark, sf_dir))[0]
+
+
+@query("WITH " + LISTINGS_SQL + " SELECT CAST(source_no AS INTEGER) AS source_no, split, count(*) AS linked FROM images GROUP BY ALL")
+def q_merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AN.merged_listing(*listings(spark, sf_dir))[1]
 
 
 @query("WITH " + O.SQL + " SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(TRY_CAST(event_type AS BIGINT), -1) AS kind FROM events")
@@ -85,7 +126,21 @@ def q_every_nth_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.every_nth(O.from_events(spark, sf_dir).select("video_id", F.col("frame_id").alias("frame_index")), 7, 30.0)
 
 
-@query("WITH " + O.SQL + f"""SELECT video_id, CAST(max(frame_id) + 1 AS BIGINT) AS total_frames, min(t) IS NOT NULL AS has_time, CAST(count(DISTINCT track_id) AS BIGINT) AS tracks, {r('max(t) - min(t)')} AS duration FROM obs GROUP BY video_id""")
+#: The table of videos as the observations tell it: extent, frames, and frames in a unit of time.
+VIDEOS_SQL = """, videos AS (
+    SELECT video_id, 'video' || video_id || '.mp4' AS file, CAST(ceil(max(x2)) AS INTEGER) AS width, CAST(ceil(max(y2)) AS INTEGER) AS height,
+           CASE WHEN max(t) > min(t) THEN (count(*) - 1) / (max(t) - min(t)) ELSE 0.0 END AS fps, count(*) AS total_frames FROM obs GROUP BY video_id
+)"""
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, life = F.count("*"), F.max("t") - F.min("t")
+    return O.from_events(spark, sf_dir).groupBy("video_id").agg(
+        F.ceil(F.max("x2")).cast("int").alias("width"), F.ceil(F.max("y2")).cast("int").alias("height"), F.when(life > 0, (n - 1) / life).otherwise(F.lit(0.0)).alias("fps"), n.alias("total_frames")
+    ).withColumn("file", F.concat(F.lit("video"), F.col("video_id").cast("string"), F.lit(".mp4")))
+
+
+@query("WITH " + O.SQL + VIDEOS_SQL + f""" SELECT video_id, file, width, height, {r('fps', 4)} AS fps, total_frames, {r('CASE WHEN fps > 0 THEN total_frames / fps ELSE 0.0 END')} AS duration_sec,
+       CAST(3 AS INTEGER) AS sample_interval, {r('fps / 3')} AS effective_fps, total_frames // 3 AS expected_sampled_frames FROM videos""")
 def q_video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = O.from_events(spark, sf_dir)
-    return o.groupBy("video_id").agg((F.max("frame_id") + 1).alias("total_frames"), F.min("t").isNotNull().alias("has_time"), F.countDistinct("track_id").alias("tracks"), E.rounded(F.max("t") - F.min("t")).alias("duration"))
+    return rounded_columns(O.video_info(videos(spark, sf_dir), 3), "fps", digits=4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -16,6 +16,7 @@ from ..operators import resample as R
 from ..operators import reshape as S
 from ..operators import vehicles as V
 from ..sources import observations as O
+from ..storage import durable
 from .registry import ORACLE, QUERIES
 
 P = E.Parameters()
@@ -165,11 +166,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.from_events(spark, sf_dir)
 
 
-def tables(spark: SparkSession, sf_dir: str, p: E.Parameters = P, headway: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The formatted vehicle and sample tables; without headway (nor the behaviour that rests on it) where nobody asks for it."""
+def sample_table(spark: SparkSession, sf_dir: str, p: E.Parameters = P, headway: bool = True) -> DataFrame:
+    """The formatted sample table; without headway where nobody asks for it."""
     obs = observations(spark, sf_dir)
-    s = V.samples(obs, p) if headway else K.grid_samples(obs, p)
-    v = V.vehicles(obs, p, s) if headway else V.measured(obs, p, s)
+    return V.formatted_samples(V.samples(obs, p) if headway else K.grid_samples(obs, p), p)
+
+
+def tables(spark: SparkSession, sf_dir: str, p: E.Parameters = P, headway: bool = True, behaviour: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """The formatted vehicle and sample tables; headway, and the behaviour that rests on it, only where they are asked for.
+
+    Headway is dear and both tables rest on it: the samples are then written once.
+    """
+    obs = observations(spark, sf_dir)
+    s = durable(V.samples(obs, p), "samples") if headway else K.grid_samples(obs, p)
+    v = V.vehicles(obs, p, s) if (headway if behaviour is None else behaviour) else V.measured(obs, p, s)
     return V.formatted_vehicles(v, p), V.formatted_samples(s, p)
 
 
@@ -311,7 +321,7 @@ def q_speed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(histogram_sql("(SELECT * FROM fs WHERE time_headway < 60)", "time_headway"))
 def q_headway_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.histogram(tables(spark, sf_dir)[1].where("time_headway < 60"), "time_headway")
+    return A.histogram(sample_table(spark, sf_dir).where("time_headway < 60"), "time_headway")
 
 
 @query(AN + DENSITY + "SELECT video_id, second, n FROM busy")
@@ -346,14 +356,14 @@ def q_dist_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT video_id, kind, {r('avg(a)')} AS mean, min(a) AS low, max(a) AS high, CASE WHEN count(*) > 20 THEN list_sort(list(a))[CAST(floor(count(*) * 0.05) AS BIGINT) + 1] ELSE min(a) END AS p5,
        CASE WHEN count(*) > 20 THEN list_sort(list(a))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] ELSE max(a) END AS p95, count(*) AS n FROM l GROUP BY video_id, kind""")
 def q_accel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.acceleration_profile(tables(spark, sf_dir, headway=False)[1])
+    return A.acceleration_profile(sample_table(spark, sf_dir, headway=False))
 
 
 @query(AN + f""", h AS (SELECT video_id, count(*) FILTER (time_headway < 1.2) AS unsafe, count(*) FILTER (time_headway >= 1.2 AND time_headway < 2) AS marginal, count(*) FILTER (time_headway >= 2) AS safe, count(*) AS n,
        {r('avg(time_headway)')} AS mean_headway, min(time_headway) AS min_headway FROM fs WHERE time_headway > 0 AND time_headway < 120 GROUP BY video_id)
 SELECT *, {r('unsafe * 100.0 / n', 1)} AS unsafe_percent, {r('marginal * 100.0 / n', 1)} AS marginal_percent, {r('safe * 100.0 / n', 1)} AS safe_percent FROM h""")
 def q_headway_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.headway_safety(tables(spark, sf_dir)[1])
+    return A.headway_safety(sample_table(spark, sf_dir))
 
 
 @query(AN + DENSITY + f"""SELECT v.video_id, vehicles, classes, {r('speed', 1)} AS avg_speed, peak AS peak_speed, {r('coalesce(duration, 0.0)', 1)} AS avg_duration, CASE WHEN span > 0 THEN {r('vehicles / (span / 60)', 1)} ELSE 0.0 END AS vehicles_per_minute,
@@ -363,7 +373,7 @@ JOIN (SELECT video_id, avg(te - ts) FILTER (te > ts) AS duration, max(te) - min(
 JOIN (SELECT video_id, avg(congestion) AS c, max(congestion) AS pc FROM busy GROUP BY video_id) b USING (video_id)
 LEFT JOIN (SELECT video_id, avg(time_headway) AS h FROM fs WHERE time_headway > 0 AND time_headway < 120 GROUP BY video_id) w USING (video_id)""")
 def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.kpis(*tables(spark, sf_dir))
+    return A.kpis(*tables(spark, sf_dir, behaviour=False))
 
 
 def top_sql(value: str, k: int, name: str) -> str:
@@ -384,14 +394,14 @@ def q_top_fastest(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM fs WHERE speed > 0 AND time_headway > 0 AND time_headway < 60)
 SELECT video_id, track_id, sample_idx, class_name, speed, time_headway FROM p WHERE n <= 200 OR spot % greatest(1, n // 200) = 0""")
 def q_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = tables(spark, sf_dir)
+    v, s = tables(spark, sf_dir, behaviour=False)
     return A.thinned(A.scatter(s, v), ["track_id", "sample_idx"]).withColumn("sample_idx", F.col("sample_idx").cast("long"))
 
 
 @query(AN + f""" SELECT video_id, {r('greatest(2.0, 1.3 * CASE WHEN count(*) > 5 THEN list_sort(list(time_headway))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] ELSE max(time_headway) END)')} AS "limit"
 FROM fs WHERE speed > 0 AND time_headway > 0 AND time_headway < 60 GROUP BY video_id""")
 def q_axis_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = tables(spark, sf_dir)
+    v, s = tables(spark, sf_dir, behaviour=False)
     return A.axis_limit(A.scatter(s, v), "time_headway")
 
 
@@ -414,25 +424,38 @@ def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.exact_split(names, "c_name", 0.15)
 
 
-def pivot_sql(source: str, key: str, measures: tuple[str, ...]) -> str:
-    return f""", cells AS ({source}) PIVOT cells ON {key} USING {', '.join(f'max({m}) AS {m}' for m in measures)} GROUP BY video_id, track_id"""
+def cells(df: DataFrame, names: list[str]) -> Column:
+    """The named columns as one comma-separated line, in hundredths; an empty place where there is nothing."""
+    return F.concat_ws(",", *[F.coalesce(F.floor(F.col(k) * 100 + 0.5).cast("long").cast("string"), F.lit("")) for k in names])
+
 
+def line_sql(source: str, key: str, keys: str, measures: tuple[str, ...]) -> str:
+    """The wide row as a line: every track beside every key, the cells in order."""
+    cell = " || ',' || ".join(f"coalesce(CAST(CAST(floor({m} * 100 + 0.5) AS BIGINT) AS VARCHAR), '')" for m in measures)
+    return f""", src AS MATERIALIZED ({source}), ks AS ({keys}), tr AS (SELECT DISTINCT video_id, track_id FROM src)
+SELECT video_id, track_id, count(*) * {len(measures)} AS n_cells, string_agg({cell}, ',' ORDER BY k) AS cells FROM (SELECT tr.video_id, tr.track_id, ks.k, src.* EXCLUDE (video_id, track_id) FROM tr CROSS JOIN ks LEFT JOIN src ON src.video_id = tr.video_id AND src.track_id = tr.track_id AND src.{key} = ks.k) GROUP BY video_id, track_id"""
 
-@query(AN + pivot_sql("SELECT * FROM fs", "'t' || sample_idx", S.WIDE))
+
+def as_line(wide: DataFrame) -> DataFrame:
+    names = [c for c in wide.columns if c not in K.TRACK]
+    return wide.select(*K.TRACK, F.lit(len(names)).cast("long").alias("n_cells"), cells(wide, names).alias("cells"))
+
+
+@query(AN + line_sql("SELECT * FROM fs", "sample_idx", "SELECT unnest(range(max(sample_idx) + 1)) AS k FROM src", S.WIDE))
 def q_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.widened(tables(spark, sf_dir)[1])
+    return as_line(S.widened(durable(sample_table(spark, sf_dir), "samples")))
 
 
 @query(AN + f" SELECT video_id, track_id, CAST(sample_idx AS INTEGER) AS sample_idx, {', '.join(S.WIDE)} FROM fs")
 def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tables(spark, sf_dir)[1]
+    s = durable(sample_table(spark, sf_dir), "samples")
     count = S.sample_count(s)
     return S.unpivoted(S.widened(s, count), count)
 
 
-@query(RESAMPLED + pivot_sql(f"SELECT video_id, track_id, sec, {', '.join(f'{r(m)} AS {m}' for m in S.PER_SECOND)} FROM res", "'s' || sec", S.PER_SECOND))
+@query(RESAMPLED + line_sql(f"SELECT video_id, track_id, sec, {', '.join(f'{r(m)} AS {m}' for m in S.PER_SECOND)} FROM res", "sec", "SELECT DISTINCT sec AS k FROM src", S.PER_SECOND))
 def q_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.by_second(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), *S.PER_SECOND))
+    return as_line(S.by_second(durable(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), *S.PER_SECOND), "seconds")))
 
 
 def frames_of(obs: DataFrame) -> DataFrame:
@@ -466,12 +489,80 @@ def q_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_columns(K.smoothed_boxes(observations(spark, sf_dir)).select("video_id", "track_id", "frame_id", "x1", "y1"), "x1", "y1", digits=1)
 
 
-@query("WITH " + O.SQL + " SELECT video_id, frame_id, least(120, row_number() OVER (PARTITION BY video_id, track_id ORDER BY t, frame_id)) AS kept FROM obs")
+@query("WITH " + O.SQL + """, c AS (SELECT video_id, frame_id, CAST(list(CAST(floor(cx * 100 + 0.5) AS BIGINT) || ':' || CAST(floor(cy * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY video_id, track_id ORDER BY t, frame_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS VARCHAR[]) AS h FROM obs)
+SELECT video_id, frame_id, CAST(len(h) AS BIGINT) AS kept, array_to_string(h, ' ') AS centroids FROM c""")
 def q_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.recent_history(observations(spark, sf_dir)).select("video_id", "frame_id", F.size("history").cast("long").alias("kept"))
+    hundredths = lambda x: F.floor(x * 100 + 0.5).cast("long").cast("string")
+    points = F.transform("history", lambda p: F.concat(hundredths(p["cx"]), F.lit(":"), hundredths(p["cy"])))
+    return K.recent_history(observations(spark, sf_dir)).select("video_id", "frame_id", F.size("history").cast("long").alias("kept"), F.array_join(points, " ").alias("centroids"))
 
 
 @query()
 def q_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = frames_of(observations(spark, sf_dir)).withColumnRenamed("frame_id", "detection_id").drop("track_id")
     return D.track(d.select("video_id", "frame", "detection_id", "x1", "y1", "x2", "y2", "confidence", "class_id"), D.TrackerParameters(match=0.95, new=0.3, high=0.3, min_hits=1))
+
+
+NMS_FRAME = "WITH RECURSIVE " + O.SQL + """, d AS (
+    SELECT video_id, CAST(floor(t / 2) AS BIGINT) AS frame, class_id, frame_id AS detection_id, confidence, x1, y1, x2, y2,
+           row_number() OVER (PARTITION BY video_id, CAST(floor(t / 2) AS BIGINT), class_id ORDER BY confidence DESC, frame_id) AS k
+    FROM obs WHERE confidence >= 0.25
+), step AS (
+    SELECT video_id, frame, class_id, k, [detection_id] AS kept, [[x1, y1, x2, y2]] AS boxes FROM d WHERE k = 1
+    UNION ALL
+    SELECT d.video_id, d.frame, d.class_id, d.k, CASE WHEN hit THEN kept ELSE list_append(kept, d.detection_id) END, CASE WHEN hit THEN boxes ELSE list_append(boxes, [d.x1, d.y1, d.x2, d.y2]) END
+    FROM (SELECT d.*, step.kept, step.boxes, len(list_filter(step.boxes, lambda b: (
+              greatest(0.0, least(d.x2, b[3]) - greatest(d.x1, b[1])) * greatest(0.0, least(d.y2, b[4]) - greatest(d.y1, b[2]))
+          ) / ((b[3] - b[1]) * (b[4] - b[2]) + (d.x2 - d.x1) * (d.y2 - d.y1) - greatest(0.0, least(d.x2, b[3]) - greatest(d.x1, b[1])) * greatest(0.0, least(d.y2, b[4]) - greatest(d.y1, b[2]))) > 0.05)) > 0 AS hit
+          FROM step JOIN d ON d.video_id = step.video_id AND d.frame = step.frame AND d.class_id = step.class_id AND d.k = step.k + 1) d
+)"""
+
+
+@query(NMS_FRAME + " SELECT video_id, frame, class_id, unnest(kept) AS detection_id FROM (SELECT *, max(k) OVER (PARTITION BY video_id, frame, class_id) AS last FROM step) WHERE k = last")
+def q_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = observations(spark, sf_dir).withColumn("frame", F.floor(F.col("t") / 2).cast("long")).withColumnRenamed("frame_id", "detection_id").drop("track_id")
+    return D.suppressed(d, confidence=0.25, overlap=0.05).select("video_id", "frame", "class_id", "detection_id")
+
+
+#: A video's region: its outermost points by sum and difference of coordinates, widened so that they make a quadrilateral.
+QUAD_SQL = "WITH " + O.SQL + """, e AS (
+    SELECT video_id, min(cx) - 40.0 AS x0, max(cx) + 60.0 AS x1, min(cy) - 30.0 AS y0, max(cy) + 50.0 AS y1, min(cx + cy) AS s0 FROM obs GROUP BY video_id
+), q AS (
+    SELECT video_id, x0 + 0.25 * (x1 - x0) AS ax, y0 AS ay, x1 - 0.25 * (x1 - x0) AS bx, y0 + 0.02 * (y1 - y0) AS by_, x1 AS cx_, y1 AS cy_, x0 AS dx, y1 - 0.05 * (y1 - y0) AS dy FROM e
+), u AS (
+    -- The map of the unit square onto a quadrilateral (closed form), and its adjugate: the map back.
+    SELECT *, ax - bx + cx_ - dx AS px, ay - by_ + cy_ - dy AS py, bx - cx_ AS d1x, by_ - cy_ AS d1y, dx - cx_ AS d2x, dy - cy_ AS d2y FROM q
+), g AS (
+    SELECT *, (px * d2y - d2x * py) / (d1x * d2y - d2x * d1y) AS g, (d1x * py - px * d1y) / (d1x * d2y - d2x * d1y) AS h FROM u
+), m AS (
+    SELECT *, bx - ax + g * bx AS a, dx - ax + h * dx AS b, ax AS c, by_ - ay + g * by_ AS d, dy - ay + h * dy AS e, ay AS f FROM g
+), i AS (
+    SELECT video_id, e - f * h AS i0, c * h - b AS i1, b * f - c * e AS i2, f * g - d AS i3, a - c * g AS i4, c * d - a * f AS i5, d * h - e * g AS i6, b * g - a * h AS i7, a * e - b * d AS i8 FROM m
+)"""
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = observations(spark, sf_dir).groupBy("video_id").agg((F.min("cx") - 40).alias("x0"), (F.max("cx") + 60).alias("x1"), (F.min("cy") - 30).alias("y0"), (F.max("cy") + 50).alias("y1"))
+    x0, x1, y0, y1 = (F.col(k) for k in ("x0", "x1", "y0", "y1"))
+    corner = lambda x, y: F.array(x, y)
+    # The corners come in no order, as people click them.
+    return e.select("video_id", F.array(
+        corner(x1, y1), corner(x0 + 0.25 * (x1 - x0), y0), corner(x0, y1 - 0.05 * (y1 - y0)), corner(x1 - 0.25 * (x1 - x0), y0 + 0.02 * (y1 - y0)),
+    ).alias("points"))
+
+
+@query(QUAD_SQL + f" SELECT obs.video_id, frame_id, {r('(i0 * cx + i1 * cy + i2) / (i6 * cx + i7 * cy + i8) * 1000', 1)} AS rx, {r('(i3 * cx + i4 * cy + i5) / (i6 * cx + i7 * cy + i8) * 1000', 1)} AS ry FROM obs JOIN i ON i.video_id = obs.video_id")
+def q_rectified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.rectified(observations(spark, sf_dir), quads(spark, sf_dir))
+    return rounded_columns(out.select("video_id", "frame_id", "rx", "ry"), "rx", "ry", digits=1)
+
+
+def hue_sql(shift: int) -> str:
+    wave = f"(hue + {shift} - 6 * floor((hue + {shift}) / 6))"
+    return f"CAST(floor(230 - 230 * 220 / 255.0 * greatest(0.0, least(least({wave}, 4 - {wave}), 1.0)) + 0.5) AS INTEGER)"
+
+
+@query("WITH " + O.SQL + f", h AS (SELECT DISTINCT video_id, track_id, floor((track_id * 0.618033988749895::DOUBLE - floor(track_id * 0.618033988749895::DOUBLE)) * 180) / 30 AS hue FROM obs) SELECT video_id, track_id, {hue_sql(1)} AS blue, {hue_sql(3)} AS green, {hue_sql(5)} AS red FROM h")
+def q_track_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = observations(spark, sf_dir).select("video_id", "track_id").distinct().withColumn("bgr", E.track_colour("track_id"))
+    return own.select("video_id", "track_id", *[F.get("bgr", i).alias(k) for i, k in enumerate(("blue", "green", "red"))])

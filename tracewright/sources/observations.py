@@ -77,3 +77,21 @@ def parsed_detections(rows: DataFrame, raw: str = "raw") -> DataFrame:
     for k in names:
         whole = whole & F.col(k).isNotNull()
     return out.where(whole).withColumn("class_id", F.col("class_id").cast("int")).drop(raw)
+
+
+VIDEOS = "video_id long, file string, width int, height int, fps double, total_frames long"
+
+
+def video_info(videos: DataFrame, interval: int = 3) -> DataFrame:
+    """What is told of each video of a table (VIDEOS): duration, and what sampling every interval-th frame gives of it.
+
+    Without a frame rate the duration is 0 and no frames come in a second.
+    """
+    step, fps = max(1, interval), F.coalesce("fps", F.lit(0.0))
+    two = lambda x: F.floor(x * 100 + 0.5) / 100
+    return videos.select(
+        "video_id", "file", "width", "height", "fps", "total_frames",
+        two(F.when(fps > 0, F.col("total_frames") / fps).otherwise(F.lit(0.0))).alias("duration_sec"),
+        F.lit(step).alias("sample_interval"), two(fps / step).alias("effective_fps"),
+        F.floor(F.col("total_frames") / step).cast("long").alias("expected_sampled_frames"),
+    )

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import math
+import re
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators.kinematics import frame_kinematics
+from .label_files import LabelFiles
 
 #: Rows that a sheet may hold; a workbook is a report, not a store.
 SHEET_ROWS = 1_048_576
@@ -65,9 +70,11 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_labels(files: DataFrame, path: str) -> None:
-    """Label text of each image, as a folder for each image with its lines."""
-    files.select("image_id", F.col("content").alias("value")).repartition("image_id").write.mode("overwrite").partitionBy("image_id").text(path)
+def write_labels(files: DataFrame, path: str, overwrite: bool = True) -> None:
+    """Label text of each image as one file named after it, {image_id}.txt, empty ones too; path is a folder that all machines see."""
+    files.sparkSession.dataSource.register(LabelFiles)
+    named = files.select(F.translate(F.col("image_id").cast("string"), "/\\", "__").alias("image_id"), F.coalesce("content", F.lit("")).alias("content"))
+    named.write.format(LabelFiles.name()).mode("overwrite" if overwrite else "append").save(path)
 
 
 def data_yaml(path: str, root: str) -> None:
@@ -90,34 +97,82 @@ def column_letters(n: int) -> str:
     return out
 
 
-def sheet_xml(rows: Iterable[Sequence]) -> str:
-    parts = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>']
-    for r, row in enumerate(rows, 1):
-        cells = []
-        for c, v in enumerate(row):
-            ref = f"{column_letters(c)}{r}"
-            if v is None:
-                continue
-            if isinstance(v, bool) or not isinstance(v, int | float):
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
-            else:
-                cells.append(f'<c r="{ref}"><v>{v!r}</v></c>')
-        parts.append(f'<row r="{r}">{"".join(cells)}</row>')
-    return "".join(parts) + "</sheetData></worksheet>"
+#: Rows of a sheet that one text holds on its way to the workbook.
+SHEET_PACK = 500
+SHEET_OPEN = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+SHEET_CLOSE = "</sheetData></worksheet>"
+#: What XML 1.0 cannot hold.
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def row_xml(row: Sequence, number: int | None = None) -> str:
+    """A sheet's row; without a number it stands below the one before, and its cells stand one beside the other."""
+    cells = []
+    for c, v in enumerate(row):
+        ref = f' r="{column_letters(c)}{number}"' if number else ""
+        if isinstance(v, float) and not math.isfinite(v):
+            v = str(v)
+        if v is None:
+            cells.append("" if number else "<c/>")
+        elif isinstance(v, bool) or not isinstance(v, int | float):
+            cells.append(f'<c{ref} t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", str(v)))}</t></is></c>')
+        else:
+            cells.append(f"<c{ref}><v>{v!r}</v></c>")
+    return f'<row{f" r={chr(34)}{number}{chr(34)}" if number else ""}>{"".join(cells)}</row>'
+
+
+def sheet_parts(df: DataFrame) -> DataFrame:
+    """The frame's rows as pieces of a sheet (n rows, xml), made where the rows are, in their order."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), SHEET_PACK):
+                part = batch.slice(start, SHEET_PACK)
+                rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
+                yield pa.RecordBatch.from_pydict({"n": [len(part)], "xml": ["".join(map(row_xml, rows))]})
+
+    # Nested values and the like are written as text; numbers stay numbers.
+    plain = [F.col(f"`{c}`") if t in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string") else F.col(f"`{c}`").cast("string").alias(c) for c, t in df.dtypes]
+    return df.select(*plain).mapInArrow(packed, "n long, xml string")
+
+
+def sheet_xml(held: DataFrame | Iterable[Sequence], name: str) -> Iterator[str]:
+    """A sheet's text piece by piece; of a frame no more than one partition's pieces are with the driver."""
+    yield SHEET_OPEN
+    if isinstance(held, DataFrame):
+        yield row_xml(held.columns, 1)
+        count = 1
+        for part in sheet_parts(held).toLocalIterator():
+            count += part.n
+            if count > SHEET_ROWS:
+                raise ValueError(f"{name} has more rows than a sheet can hold")
+            yield part.xml
+    else:
+        for r, row in enumerate(held, 1):
+            yield row_xml(row, r)
+    yield SHEET_CLOSE
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame | list[Sequence]]) -> None:
-    """A workbook with the standard library. Frames are read row by row; a sheet beyond the format's limit is refused."""
+    """A workbook of frames and lists of rows: executors write the sheets' pieces, the driver passes them on into the archive.
+
+    The driver holds one partition's pieces at a time, whatever the number of rows. A sheet beyond the format's
+    limit is refused, and no workbook is left.
+    """
+    with contextlib.ExitStack() as undo:
+        undo.callback(lambda: Path(path).unlink(missing_ok=True))
+        _write_workbook(path, sheets)
+        undo.pop_all()
+
+
+def _write_workbook(path: str, sheets: dict[str, DataFrame | list[Sequence]]) -> None:
     kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         names = list(sheets)
         for i, name in enumerate(names, 1):
-            held = sheets[name]
-            if isinstance(held, DataFrame):
-                if held.limit(SHEET_ROWS).count() >= SHEET_ROWS:
-                    raise ValueError(f"{name} has more rows than a sheet can hold")
-                held = [held.columns, *(tuple(row) for row in held.toLocalIterator())]
-            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet_xml(held))
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as sheet:
+                for piece in sheet_xml(sheets[name], name):
+                    sheet.write(piece.encode("utf-8", "replace"))
         own = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{own}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{kind}/officeDocument" Target="xl/workbook.xml"/></Relationships>')

@@ -1,38 +1,174 @@
-"""Structured Streaming: the tracker with state by video, running metrics, event-time windows, finalising batches."""
+"""Structured Streaming: the tracker with typed state and timers, its snapshots, running metrics, event-time windows, finalising batches."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators.detection import NAMES, TRACKED, Tracker, TrackerParameters, run_frames
+from ..operators.detection import NAMES, TRACKED, Track, Tracker, TrackerParameters, run_frames
 
 
-def tracked(detections: DataFrame, p: TrackerParameters | None = None, lateness_frames: int = 0) -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A live track as state; matrices row by row, history and filled boxes flat.
+TRACK_STATE = (
+    "track_id long, class_id int, confidence double, mean array<float>, spread array<float>, box array<double>, seen long, status int, "
+    "streak int, silent int, age int, hits int, filled array<double>, history array<double>"
+)
+WAITING = "frame long, detection_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
+WAITING_NAMES = [c.split()[0] for c in WAITING.split(", ")]
+#: created: ids given so far; last: the newest frame tracked; due: when the timer is; reset_at: the reset that was done.
+VIDEO_STATE = "created long, last long, due long, reset_at long"
+
+
+def as_state(t: Track) -> tuple:
+    flat = lambda rows: [float(x) for row in rows for x in row]
+    return (
+        t.track_id, t.class_id, t.confidence, t.mean.tolist(), t.spread.ravel().tolist(), t.box.tolist(), t.seen, t.status,
+        t.streak, t.silent, t.age, t.hits, flat((f, *box) for f, box in t.filled.items()), flat(t.history),
+    )
+
+
+def from_state(s: tuple) -> Track:
+    filled, history = s[12] or [], s[13] or []
+    return Track(
+        s[0], s[1], s[2], np.array(s[3], np.float32), np.array(s[4], np.float32).reshape(8, 8), np.array(s[5], float), s[6], s[7], s[8], s[9], s[10], s[11],
+        {int(filled[i]): list(filled[i + 1 : i + 5]) for i in range(0, len(filled), 5)}, [list(history[i : i + 2]) for i in range(0, len(history), 2)],
+    )
+
+
+class VideoTracker(StatefulProcessor):
+    """The tracker of one video over micro-batches.
+
+    State: a value (VIDEO_STATE), a list with one row for each live track, and a list of the detections that wait
+    for late frames. With event time, a timer follows the newest detection: when a video has been quiet for as
+    long as the tracker keeps a lost track, what waits is tracked and put out, and all tracks go; when it has
+    been quiet for `forget` times as long, the video's id counter goes too and nothing of it is left.
+    """
+
+    def __init__(self, p: TrackerParameters | None, lateness_frames: int, time: str | None, fps: float, forget: int, resets: dict[int, int]):
+        self.p, self.lateness, self.time = p or TrackerParameters(), lateness_frames, time
+        self.quiet_ms = int((self.p.buffer + 1) / fps * 1000)
+        self.forget_ms, self.resets = self.quiet_ms * max(0, forget - 1), resets
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.video = handle.getValueState("video", VIDEO_STATE)
+        self.tracks = handle.getListState("tracks", TRACK_STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def _tracker(self, video: int) -> tuple[Tracker, int | None, int | None]:
+        """The tracker as the state has it, its timer, and the reset that was done; a new reset is done here."""
+        created, last, due, reset_at = self.video.get() if self.video.exists() else (0, None, None, None)
+        tracker = Tracker(self.p)
+        asked = self.resets.get(video)
+        if asked is not None and asked != reset_at:
+            self.tracks.clear()
+            self.waiting.clear()
+            return tracker, due, asked
+        tracker.created, tracker.last = created, last
+        tracker.tracks = [from_state(s) for s in self.tracks.get()] if self.tracks.exists() else []
+        return tracker, due, reset_at
+
+    def _keep(self, tracker: Tracker, due: int | None, reset_at: int | None) -> None:
+        self.video.update((tracker.created, tracker.last, due, reset_at))
+        if tracker.tracks:
+            self.tracks.put([as_state(t) for t in tracker.tracks])
+        elif self.tracks.exists():
+            self.tracks.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        video = int(key[0])
+        tracker, due, reset_at = self._tracker(video)
+        parts = [part for part in rows if len(part)]
+        newest = max((int(part[self.time].max().value // 1_000_000) for part in parts), default=None) if self.time else None
+        if self.waiting.exists():
+            parts.append(pd.DataFrame(list(self.waiting.get()), columns=WAITING_NAMES))
+        held = pd.concat([part[WAITING_NAMES] for part in parts], ignore_index=True)
+        if tracker.last is not None:
+            held = held[held["frame"] > tracker.last]
+        ready = held["frame"].max() - self.lateness if len(held) else -1
+        now, later = held[held["frame"] <= ready], held[held["frame"] > ready]
+        out = run_frames(tracker, video, now)
+        if len(later):
+            self.waiting.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in later.itertuples(index=False)])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if newest is not None and (due is None or newest + self.quiet_ms > due):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = newest + self.quiet_ms
+            self.handle.registerTimer(due)
+        self._keep(tracker, due, reset_at)
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        video = int(key[0])
+        if not self.tracks.exists() and not self.waiting.exists() and (not self.video.exists() or self.forget_ms and self.video.get()[2] is None):
+            self.video.clear()
+            return
+        tracker, _, reset_at = self._tracker(video)
+        left = pd.DataFrame(list(self.waiting.get()), columns=WAITING_NAMES) if self.waiting.exists() else None
+        out = run_frames(tracker, video, left) if left is not None else []
+        self.waiting.clear()
+        self.tracks.clear()
+        if self.forget_ms:
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
+            self.video.update((tracker.created, tracker.last, None, reset_at))
+        else:
+            self.video.clear()
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def tracked(
+    detections: DataFrame, p: TrackerParameters | None = None, lateness_frames: int = 0, time: str | None = None, lateness: str = "10 seconds",
+    fps: float = 30.0, forget: int = 10, resets: dict[int, int] | None = None,
+) -> DataFrame:
     """The tracker over a stream of detections (as operators.detection.track), state kept by video.
 
     Frames may come late by up to lateness_frames: rows wait in state until a frame so far ahead is seen,
     then go through the tracker in frame order. A frame older than one already tracked is dropped.
-    With lateness 0 a frame must arrive whole in one micro-batch.
+    With lateness_frames 0 a frame must arrive whole in one micro-batch.
+
+    time names a timestamp column: then rows may be late by `lateness`, and the state of a quiet video goes (see
+    VideoTracker; forget=1 drops the id counter with the tracks). Without it nothing expires. resets maps a video
+    to any number: a query started again from its checkpoint with a number not given before forgets the
+    video's tracks and counts ids from 1. The session's state store is set to RocksDB, which timers and typed state need.
     """
+    detections.sparkSession.conf.set(PROVIDER, ROCKS)
+    columns = ["video_id", *WAITING_NAMES, *([time] if time else [])]
+    rows = (detections.withWatermark(time, lateness) if time else detections).select(*columns)
+    processor = VideoTracker(p, lateness_frames, time, fps, forget, resets or {})
+    return rows.groupBy("video_id").transformWithStateInPandas(processor, TRACKED, "append", "eventTime" if time else "none")
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, waiting, done = pickle.loads(state.get[0]) if state.exists else (Tracker(p), None, -1)
-        rows = pd.concat([x for x in ([waiting] if waiting is not None else []) + list(parts) if len(x)], ignore_index=True)
-        rows = rows[rows["frame"] > done]
-        ready = rows["frame"].max() - lateness_frames if len(rows) else done
-        now, later = rows[rows["frame"] <= ready], rows[rows["frame"] > ready]
-        out = run_frames(tracker, int(key[0]), now)
-        done = max(done, int(now["frame"].max())) if len(now) else done
-        state.update((pickle.dumps((tracker, later if len(later) else None, done)),))
-        yield pd.DataFrame(out, columns=NAMES)
 
-    return detections.groupBy("video_id").applyInPandasWithState(run, TRACKED, "state binary", "append", GroupStateTimeout.NoTimeout)
+def live_tracks(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """The live tracks of every video as a running or stopped query of tracked() has them in its state.
+
+    It reads the state's own files, so the query isn't held up; batch chooses an older micro-batch. A row
+    carries the video's id counter and the newest frame tracked; a video without live tracks has none.
+    """
+
+    def state(name: str) -> DataFrame:
+        reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+        return (reader if batch is None else reader.option("batchId", batch)).load()
+
+    value = state("video").select(F.col("key.video_id").alias("video_id"), F.col("value.created").alias("created"), F.col("value.last").alias("frame"))
+    own = state("tracks").select(F.col("key.video_id").alias("video_id"), "list_element.*")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("tentative", "confirmed", "lost")]), F.col("status") + 1)
+    return own.join(value, "video_id").select(
+        "video_id", "frame", "created", "track_id", "class_id", "confidence", *[F.get("box", i).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))],
+        status.alias("status"), "silent", "age", "hits", (F.size("history") / 2).cast("int").alias("history"),
+    )
 
 
 RUNNING = "video_id long, track_id long, frame_id long, speed double, cumulative_distance double"
