@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import bpe, decontaminate, near_duplicates, quality, secrets
-from tracewright.llm.common import durable, table
+from tracewright.llm.common import discard, durable, table
 from tracewright.llm.queries import byte_vocabulary
 
 #: No SQL states the trained stages.
@@ -50,8 +50,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each one's result written to the shared folder and read again, and deleted once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -31,7 +31,7 @@ import math
 from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, spare_name
+from .common import discard, durable, let_go, spare_name
 
 #: Bytes of item text in one index; a larger benchmark is split over several indexes. An index takes 20 times its text at most
 #: (every word new: a dictionary entry of some 100 bytes, a posting and a block's maximum of 24), so 80 MB.
@@ -327,45 +327,74 @@ def finder(index: Broadcast):
     return find.asNondeterministic()
 
 
-def leak_column(text: Column, benchmark: DataFrame) -> Column:
-    """An array of the items whose question and answer both stand in the text.
+class Passes:
+    """A benchmark as indexes of bounded size, built and sent to the executors one at a time.
 
-    benchmark has item_id and either text or question and answer. Its size is measured first; each
-    index holds INDEX_BYTES at most, and a larger benchmark takes several passes over the text.
+    benchmark has item_id and either text or question and answer. Its size is measured first; each index holds
+    INDEX_BYTES at most, and a larger benchmark takes several passes over the texts. A pass ends before the next
+    index is sent: a task has one Python worker with one index, and the driver one index at a time.
     """
-    spark = benchmark.sparkSession
-    parts = ("question", "answer") if {"question", "answer"} <= set(benchmark.columns) else ("text",)
-    whole = F.concat_ws(" ", *[F.col(c) for c in parts])
-    items = benchmark.where(F.col("item_id").isNotNull() & (whole != "")).select(F.col("item_id").cast("long"), *parts)
-    size = items.agg(F.sum(F.octet_length(whole))).first()[0] or 0
-    turns = -(-size // INDEX_BYTES)
-    split = (lambda r: (words_of(r[1]), words_of(r[2]))) if len(parts) == 2 else (lambda r: halves(r[1]))
-
-    def part_of(k: int) -> list[tuple[int, list[bytes], list[bytes]]]:
-        part = items.where(F.pmod(F.xxhash64("item_id", *parts), F.lit(turns)) == k) if turns > 1 else items
+
+    def __init__(self, benchmark: DataFrame):
+        self.spark = benchmark.sparkSession
+        self.parts = ("question", "answer") if {"question", "answer"} <= set(benchmark.columns) else ("text",)
+        whole = F.concat_ws(" ", *[F.col(c) for c in self.parts])
+        self.items = benchmark.where(F.col("item_id").isNotNull() & (whole != "")).select(F.col("item_id").cast("long"), *self.parts)
+        size = self.items.agg(F.sum(F.octet_length(whole))).first()[0] or 0
+        self.turns = -(-size // INDEX_BYTES)
+        self.whole: Statistics | None = None
+        if self.turns > 1:
+            # The statistics are those of all items, so that an item's score doesn't depend on the number of indexes.
+            self.whole = Statistics()
+            for k in range(self.turns):
+                self.whole.add(self.part(k))
+
+    def part(self, k: int) -> list[tuple[int, list[bytes], list[bytes]]]:
+        part = self.items.where(F.pmod(F.xxhash64("item_id", *self.parts), F.lit(self.turns)) == k) if self.turns > 1 else self.items
+        split = (lambda r: (words_of(r[1]), words_of(r[2]))) if len(self.parts) == 2 else (lambda r: halves(r[1]))
         return [(r[0], *split(r)) for r in part.distinct().collect()]
 
-    # The statistics are those of all items, so that an item's score doesn't depend on the number of indexes.
-    whole = Statistics()
-    if turns > 1:
-        for k in range(turns):
-            whole.add(part_of(k))
-    columns = [finder(spark.sparkContext.broadcast(Index(part_of(k), whole=whole if turns > 1 else None)))(text) for k in range(turns)]
-    if not columns:
-        return F.array().cast(LEAKS)
-    return F.array_sort(F.concat(*columns)) if turns > 1 else columns[0]
+    def over(self, take: Callable[[int, Callable[[Column], Column]], DataFrame], what: str) -> Iterator[DataFrame]:
+        """What `take` makes of each pass and its find function; of several passes each is written, and its index released, before the next."""
+        for k in range(self.turns):
+            index = self.spark.sparkContext.broadcast(Index(self.part(k), whole=self.whole))
+            made = take(k, finder(index))
+            if self.turns == 1:
+                yield made
+            else:
+                made = durable(made, what)
+                index.destroy()
+                yield made
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """A row for each document and item found in it: the documents' columns but the text, then the find."""
     held = spare_name(docs, "leak")
-    out = docs.withColumn(held, leak_column(F.col(text), benchmark)).withColumn(held, F.explode(held)).drop(text)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+
+    def found(_: int, find: Callable[[Column], Column]) -> DataFrame:
+        return docs.withColumn(held, find(F.col(text))).select(*rest, F.explode(held).alias(held))
+
+    out = None
+    for each in Passes(benchmark).over(found, "leaks"):
+        out = each if out is None else out.unionByName(each)
+    if out is None:
+        out = docs.select(*rest, F.explode(F.array().cast(LEAKS)).alias(held))
     for c in ("item_id", "score", "question_overlap", "answer_overlap", "passage_start"):
         out = out.withColumn(spare_name(docs, c), F.col(f"{held}.{c}"))
     return out.drop(held)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents, unchanged, in which no item was found."""
+    """The documents, unchanged, in which no item was found. With several passes each reads what the one before kept."""
     held = spare_name(docs, "leak")
-    return docs.withColumn(held, leak_column(F.col(text), benchmark)).where(F.size(held) == 0).drop(held)
+    kept = docs
+
+    def clean(_: int, find: Callable[[Column], Column]) -> DataFrame:
+        return kept.withColumn(held, find(F.col(text))).where(F.size(held) == 0).drop(held)
+
+    for after in Passes(benchmark).over(clean, "clean"):
+        if kept is not docs:
+            discard(kept)
+        kept = after
+    return kept

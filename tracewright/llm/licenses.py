@@ -2,10 +2,15 @@
 
 Every rolling word pair of every text is joined, by its hash, to the positions of that pair in the license
 templates (a fixed, small table). A match at word p of the text and word t of a template votes for the
-diagonal p - t. The votes of a diagonal are a bit set over the template's pairs. Neighbouring diagonals
-(a few words inserted or left out) are merged, and the merged span is verified by the share of the
-template's pairs that it covers. The join compares the words themselves beside the hash, so every vote is
-exact, and a short phrase whose every pair voted for one diagonal stands there word for word.
+diagonal p - t; a diagonal's votes are the list of the template's pairs that stand on it. Neighbouring
+diagonals (a few words inserted or left out) are merged: each diagonal that has votes is looked at with those
+up to DRIFT to either side, so a span's drift is bounded, however long the chain of diagonals is. The merged
+span is verified by alignment: the longest sequence of its votes in which both the place in the text and
+the place in the template grow is the share of the template that stands there, in order. Pairs in another order
+or from another place of the text don't add up. A span of a short template (and of the base phrases) is a
+match only where every pair stands on one diagonal, which is word for word.
+
+The join compares the words themselves beside the hash, so every vote is exact. Templates may have any length.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
 
@@ -25,7 +30,7 @@ from .common import null_safe_key, spare_name
 
 #: Phrases whose places are counted: words and label (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Longer templates: label and the opening of the license or of its usual notice (fixed values, at most 63 words).
+#: Longer templates: label and a license's usual notice, its opening or its whole text (fixed values).
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
@@ -42,10 +47,13 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
 )
-#: Share of a template's pairs that a span must cover, and how far merged diagonals may lie apart.
-COVER, DRIFT = 0.75, 3
-#: Templates of so few pairs count only if every pair is there.
+#: Share of a template's pairs that must stand in a span in order, and how far to either side its diagonals may lie.
+COVER, DRIFT = 0.75, 4
+#: Templates of so few pairs count only where every pair is there on one diagonal.
 SHORT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,18 +68,17 @@ def pair_hash(a: Column, b: Column) -> Column:
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
-    """(template, phrase, label, pairs, bit, mask, ta, tb, h): a row for each word pair of each template."""
+    """(template, phrase, label, pairs, place, ta, tb, h): a row for each word pair of each template."""
     rows = []
     for k, (phrase, label, text) in enumerate([*((True, n, p) for p, n in PHRASES), *((False, n, p) for n, p in TEMPLATES)]):
         words = text.split()
-        assert len(words) <= 63, "a template's votes are the bits of a long"
-        rows += [(k, phrase, label, len(words) - 1, i, 1 << i, words[i], words[i + 1]) for i in range(len(words) - 1)]
-    out = spark.createDataFrame(rows, "template int, phrase boolean, label string, pairs int, bit int, mask long, ta string, tb string")
+        rows += [(k, phrase, label, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
+    out = spark.createDataFrame(rows, "template int, phrase boolean, label string, pairs int, place int, ta string, tb string")
     return out.withColumn("h", pair_hash(F.col("ta"), F.col("tb")))
 
 
 def votes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A row for each document, template and diagonal with votes: a bit for each pair of the template."""
+    """A row for each document, template and diagonal with votes: the template's pairs that stand there (no more than it has)."""
     spark = docs.sparkSession
     words = F.col("words")
     rows = docs.select(null_safe_key(id_col).alias("key"), F.xxhash64(text).alias("xh"), words_of(F.col(text)).alias("words")).where(F.size("words") > 1)
@@ -81,21 +88,38 @@ def votes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     templates = F.broadcast(template_pairs(spark))
     hit = (pair_hash(F.col("a"), F.col("b")) == F.col("h")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb"))
     found = pairs.join(templates, hit)
-    return found.groupBy("key", "xh", "template", "phrase", "label", "pairs", (F.col("at") - F.col("bit")).cast("long").alias("diagonal")).agg(
-        F.bit_or("mask").alias("bits")
+    return found.groupBy("key", "xh", "template", "phrase", "label", "pairs", (F.col("at") - F.col("place")).cast("long").alias("diagonal")).agg(
+        F.collect_list("place").alias("places")
     )
 
 
+def in_order(votes: Column) -> Column:
+    """Length of the longest sequence of votes (at, place) in which both grow.
+
+    The votes come by place, those of one place by falling `at`, so that no two of them follow one another; then
+    it is the longest growing sequence of `at`. The state holds, for each length, the least last `at` of such a sequence.
+    """
+    ordered = F.array_sort(F.transform(votes, lambda v: F.struct(v["place"].alias("place"), (-v["at"]).alias("back"))))
+    ends = F.aggregate(ordered, F.array().cast("array<bigint>"), lambda held, v: F.concat(
+        F.filter(held, lambda x: x < -v["back"]), F.array(-v["back"]),
+        F.slice(F.filter(held, lambda x: x >= -v["back"]), F.lit(2), F.greatest(F.lit(1), F.size(held))),
+    ))
+    return F.size(ends)
+
+
 def spans(voted: DataFrame) -> DataFrame:
-    """Merge neighbouring diagonals and keep what covers enough of its template: key, xh, ..., cover."""
-    own = W.partitionBy("key", "xh", "template").orderBy("diagonal")
-    far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT).cast("int"), F.lit(1))
-    # A phrase is a phrase only word for word: its diagonals are never merged.
-    first = F.when(F.col("phrase"), F.lit(1)).otherwise(far)
-    group = voted.withColumn("first", first).withColumn("span", F.sum("first").over(own))
-    cover = (F.bit_count(F.bit_or("bits")) / F.col("pairs")).alias("cover")
-    merged = group.groupBy("key", "xh", "template", "phrase", "label", "pairs", "span").agg(F.min("diagonal").alias("diagonal"), cover)
-    return merged.where((F.col("cover") >= F.when(F.col("pairs") <= SHORT, F.lit(1.0)).otherwise(F.lit(COVER))))
+    """Merge neighbouring diagonals and keep what stands in order for enough of its template: key, xh, ..., cover."""
+    near = W.partitionBy("key", "xh", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    strict = F.col("phrase") | (F.col("pairs") <= SHORT)
+    count = F.size("places")
+    # What has too few votes in all goes before anything is gathered.
+    enough = F.when(strict, count == F.col("pairs")).otherwise(F.sum(count).over(near) >= F.col("pairs") * COVER)
+    votes_of = F.transform("places", lambda p: F.struct((F.col("diagonal") + p).alias("at"), p.alias("place")))
+    marked = voted.withColumn("enough", enough)
+    # Only what lies beside such a diagonal is gathered.
+    marked = marked.withColumn("beside", F.max("enough").over(near)).where("beside").withColumn("band", F.flatten(F.collect_list(votes_of).over(near)))
+    cover = F.when(strict, F.lit(1.0)).otherwise(in_order(F.col("band")) / F.col("pairs"))
+    return marked.where("enough").withColumn("cover", cover).where(F.col("cover") >= COVER).select("key", "xh", "template", "phrase", "label", "pairs", "diagonal", "cover")
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

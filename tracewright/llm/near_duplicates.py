@@ -257,6 +257,11 @@ def salted(rows: DataFrame, about: DataFrame, *keys: str, how: str = "inner") ->
     return own.join(about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
 
 
+def hash_of(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def size_class(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
 
@@ -288,10 +293,12 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
 
     mark = spare_name(docs, "shingled")
     rest = [c for c in docs.columns if c != text]
-    rows = durable(docs.withColumn(mark, sets(F.col(text))).select(*[F.col(f"`{c}`") for c in rest], mark), "shingled")
+    # A text is known by a hash of 128 bits; any text of a class stands for it. Ids may be null or repeat.
+    made = docs.withColumn(mark, sets(F.col(text))).withColumn(mark, F.struct(f"{mark}.*", hash_of(F.col(text)).alias("of")))
+    rows = durable(made.select(*[F.col(f"`{c}`") for c in rest], mark), "shingled")
     n, fp = F.col(f"{mark}.n"), F.col(f"{mark}.fp")
     # Classes of equal sets.
-    classes = durable(rows.where(n > 0).groupBy(fp.alias("fp")).agg(F.min(id_col).alias("low_id"), F.max(n).alias("n")), "classes")
+    classes = durable(rows.where(n > 0).groupBy(fp.alias("fp")).agg(F.min(id_col).alias("low_id"), F.min(f"{mark}.of").alias("of"), F.max(n).alias("n")), "classes")
 
     # Step 1: keys that several classes publish tie these classes to the least of them. Here a class goes by
     # a 64-bit hash: should two classes share one, they are compared with each other's partners as well.
@@ -330,27 +337,28 @@ def rooted_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], id
     discard(ties)
 
     # The classes that have someone to meet, and where they are compared: slim rows.
-    chosen = durable(clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "low_id", "n"), "chosen")
+    chosen = durable(clusters.join(classes, clusters["node"] == F.xxhash64(classes["fp"])).select("fp", "cluster", "of", "n"), "chosen")
     discard(clusters)
     places, boxes = seats(chosen, num, den)
 
-    # Their sets, made again from the text of one row each. Rows that repeat an id and a text give a class
-    # several equal members.
+    # Their sets, made again from one text each.
     @F.pandas_udf("fp binary, s binary")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for held in slices(batches):
             yield pd.DataFrame({"fp": [fingerprint(s) for s in held], "s": [s.tobytes() for s in held]})
 
-    # Texts of other ids go before the shuffle (what the table lets through wrongly finds no partner).
-    known = ranks(places.select(F.xxhash64("low_id").alias("key"), F.lit(FREQUENT[0]).alias("often")))
+    # Other texts go before the shuffle (what the table lets through wrongly finds no partner), and rows that
+    # repeat a text are one before they are joined: the join meets each class with one row.
+    known = ranks(places.select(F.col("of.a").alias("key"), F.lit(FREQUENT[0]).alias("often")))
 
     @F.pandas_udf("boolean")
-    def wanted(ids: pd.Series) -> pd.Series:
-        return pd.Series(known(ids.to_numpy(np.int64)) > 0)
+    def wanted(hashes: pd.Series) -> pd.Series:
+        return pd.Series(known(hashes.to_numpy(np.int64)) > 0)
 
-    texts = docs.where(wanted(F.xxhash64(id_col))).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    near = texts.join(places, texts["doc"].eqNullSafe(places["low_id"])).select(*[c for c in places.columns if c != "low_id"], again.asNondeterministic()("text").alias("made"))
-    near = durable(near.where("made.fp = fp").select(*[c for c in places.columns if c != "low_id"], "made.s"), "near")
+    texts = docs.select(hash_of(F.col(text)).alias("of"), F.col(text).alias("text")).where(wanted(F.col("of.a"))).groupBy("of").agg(F.first("text").alias("text"))
+    slim = [c for c in places.columns if c != "of"]
+    near = texts.join(places, "of").select(*slim, again.asNondeterministic()("text").alias("made"))
+    near = durable(near.where("made.fp = fp").select(*slim, "made.s"), "near")
     for frame in (chosen, places):
         discard(frame)
     links = compare(near, boxes, num, den)
@@ -399,7 +407,7 @@ def targets(of: DataFrame, to: DataFrame) -> DataFrame:
 
 
 def seats(chosen: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """chosen (fp, cluster, low_id, n) with z (size class), large, block and pivot, and the boxes of large clusters."""
+    """chosen (fp, cluster, of, n) with z (size class), large, block and pivot, and the boxes of large clusters."""
     total = chosen.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = total.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster", F.lit(True).alias("large"))
     marked = salted(chosen, large, "cluster", how="left").withColumns({"large": F.coalesce("large", F.lit(False)), "z": size_class(F.col("n"))})

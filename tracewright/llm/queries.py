@@ -239,16 +239,19 @@ WITH t AS (
 ), dp AS (
     SELECT doc_id, w[i] AS a, w[i + 1] AS b, i FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)
 ), votes AS (
-    SELECT doc_id, template, phrase, label, pairs, dp.i - tp.i AS diagonal, bit_or(CAST(1 AS BIGINT) << CAST(tp.i - 1 AS INTEGER)) AS bits
+    SELECT doc_id, template, phrase, label, pairs, dp.i - tp.i AS diagonal, list(tp.i) AS places, list([tp.i, dp.i]) AS votes
     FROM dp JOIN tp ON dp.a = tp.words[tp.i] AND dp.b = tp.words[tp.i + 1] GROUP BY ALL
-), starts AS (
-    SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER w > {drift}, true) THEN 1 ELSE 0 END AS fresh FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)
-), numbered AS (
-    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM starts
-), spans AS (
-    SELECT doc_id, template, phrase, label, pairs, span, min(diagonal) AS diagonal, bit_count(bit_or(bits)) / pairs AS cover FROM numbered GROUP BY doc_id, template, phrase, label, pairs, span
+), bands AS (
+    SELECT *, list_sort(flatten(list(votes) OVER near)) AS band, sum(len(places)) OVER near AS n FROM votes
+    WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {drift} PRECEDING AND {drift} FOLLOWING)
+), aligned AS (
+    -- The longest path of votes in which both places grow: for each vote, one more than the best before it.
+    SELECT *, list_max(list_reduce(list_prepend([]::BIGINT[], list_transform(range(len(band)), lambda k: [k])), lambda held, k:
+        list_append(held, 1 + coalesce(list_max(list_transform(list_filter(range(k[1]), lambda j: band[j + 1][1] < band[k[1] + 1][1] AND band[j + 1][2] < band[k[1] + 1][2]), lambda j: held[j + 1])), 0)))) AS longest
+    FROM bands WHERE NOT phrase AND pairs > {short} AND n >= pairs * {cover}
 ), good AS (
-    SELECT * FROM spans WHERE cover >= CASE WHEN pairs <= {short} THEN 1.0 ELSE {cover} END
+    SELECT doc_id, phrase, label, diagonal, 1.0::DOUBLE AS cover FROM votes WHERE (phrase OR pairs <= {short}) AND len(places) = pairs
+    UNION ALL SELECT doc_id, phrase, label, diagonal, longest / pairs FROM aligned WHERE longest / pairs >= {cover}
 ), found AS (
     SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word,
            array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score

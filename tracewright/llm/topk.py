@@ -17,8 +17,8 @@ rows with a null id take no part; vectors of different length are compared as if
 empty vector scores 0 with every other. Ties go to the smaller id. Rows that repeat an id are candidates
 each, and never of a query with their own id; a query id that is repeated is answered once, from its
 first vector in order of components. No candidates, no rows. Every finite vector takes part: those with
-components beyond 2^31 / sqrt(length) are compared in Python's integers. A component or a score that
-doesn't fit a long is an error. Other columns are ignored.
+components beyond 2^31 / sqrt(length) are compared in Python's integers, whatever their size. Only a score
+among a query's k best that doesn't fit a long is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +34,18 @@ QUERY_BYTES, CANDIDATE_BYTES = 16 << 20, 4 << 20
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 #: Candidates evaluated at once, in order of their bounds.
 STEP = 256
-#: No floor.
-LOWEST = -(2**62)
+#: No floor; a score too low for a long, which is an error only where it is among a query's k best.
+LOWEST, BELOW = -(2**62), -(2**63)
 HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: str, scale: int) -> Column:
-    """floor(scale * x) of each component; null where the vector takes no part."""
+    """floor(scale * x) of each component, whole numbers held by doubles (scale is a power of two); null where the vector takes no part."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     scaled = lambda v: v * F.lit(float(scale))
-    whole = lambda v: F.when(F.abs(scaled(v)) < 2.0**63, F.floor(scaled(v))).otherwise(F.raise_error(F.lit("a component doesn't fit a long")).cast("long"))
+    # Doubles from 2^52 on are whole.
+    whole = lambda v: F.when(F.abs(scaled(v)) < 2.0**52, F.floor(scaled(v)).cast("double")).otherwise(scaled(v))
     return F.when(F.col(vector).isNotNull() & finite, F.transform(x, whole))
 
 
@@ -135,9 +136,11 @@ def exact_search(q_ids: list[int], q: list, ids: list[int], v: list, k: int) ->
     for query, x in zip(q_ids, q, strict=True):
         x = [int(y) for y in x]
         scores = [(-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in zip(ids, v, strict=True) if i != query]
-        if any(abs(s) >= 2**63 for s, _ in scores):
+        best = sorted(scores)[:k]
+        # Of the scores that are too high for a long one is certainly among the k best of all.
+        if any(-s >= 2**63 for s, _ in best):
             raise OverflowError(f"a score of vector {query} doesn't fit a long")
-        out += [(query, i, -s) for s, i in sorted(scores)[:k]]
+        out += [(query, i, max(-s, BELOW)) for s, i in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
@@ -179,6 +182,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     hits = queries.unionByName(candidates.select(queries.columns)).repartition(q_blocks * v_blocks, "qb", "vb").groupBy("qb", "vb").applyInPandas(search, HITS)
     # k rows a query and block of candidates: keep k as they come together.
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-(F.col("score") + 1)).alias("r"), F.col("vec_id").alias("v"), F.col("score").alias("s")))), 1, k)
+    score = F.when(F.col("hit.s") == BELOW, F.raise_error(F.lit("a score doesn't fit a long")).cast("long")).otherwise(F.col("hit.s"))
     ranked = hits.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.v").alias("vec_id"), score.alias("score"))
