@@ -528,7 +528,7 @@ def q_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUAD_SQL = "WITH " + O.SQL + """, e AS (
     SELECT video_id, min(cx) - 40.0 AS x0, max(cx) + 60.0 AS x1, min(cy) - 30.0 AS y0, max(cy) + 50.0 AS y1, min(cx + cy) AS s0 FROM obs GROUP BY video_id
 ), q AS (
-    SELECT video_id, x0 + 0.25 * (x1 - x0) AS ax, y0 AS ay, x1 - 0.25 * (x1 - x0) AS bx, y0 + 0.02 * (y1 - y0) AS by_, x1 AS cx_, y1 AS cy_, x0 AS dx, y1 - 0.05 * (y1 - y0) AS dy FROM e
+    SELECT video_id, x0 + 0.05 * (x1 - x0) AS ax, y0 AS ay, x1 - 0.05 * (x1 - x0) AS bx, y0 + 0.02 * (y1 - y0) AS by_, x1 AS cx_, y1 AS cy_, x0 AS dx, y1 - 0.05 * (y1 - y0) AS dy FROM e
 ), u AS (
     -- The map of the unit square onto a quadrilateral (closed form), and its adjugate: the map back.
     SELECT *, ax - bx + cx_ - dx AS px, ay - by_ + cy_ - dy AS py, bx - cx_ AS d1x, by_ - cy_ AS d1y, dx - cx_ AS d2x, dy - cy_ AS d2y FROM q
@@ -547,7 +547,7 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: F.array(x, y)
     # The corners come in no order, as people click them.
     return e.select("video_id", F.array(
-        corner(x1, y1), corner(x0 + 0.25 * (x1 - x0), y0), corner(x0, y1 - 0.05 * (y1 - y0)), corner(x1 - 0.25 * (x1 - x0), y0 + 0.02 * (y1 - y0)),
+        corner(x1, y1), corner(x0 + 0.05 * (x1 - x0), y0), corner(x0, y1 - 0.05 * (y1 - y0)), corner(x1 - 0.05 * (x1 - x0), y0 + 0.02 * (y1 - y0)),
     ).alias("points"))
 
 
