@@ -326,7 +326,12 @@ YES, NO = "\ue000", "\ue001"
 
 
 def invented_page(r: random.Random) -> str:
-    """A page of some layout; each block's text begins with the marker of its label."""
+    """A page of some layout; each block's text begins with the marker of its label.
+
+    Some pages name nothing: there only tags, links, words and the order of blocks tell what is what. Some wrap
+    everything in plain containers, some lay the page out as a table.
+    """
+    bare, layout = r.random() < 0.25, r.random()
     word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
 
     def say(n: int) -> str:
@@ -343,8 +348,12 @@ def invented_page(r: random.Random) -> str:
         tag = r.choice(NOISE_TAGS[kind])
         name = r.choice(NOISE_NAMES[kind].split())
         attribute = r.choice((f' class="{name}"', f' id="{name}"', f' class="{word()} {name}"', f' class="{name}"', ""))
+        if r.random() < 0.15:
+            attribute = r.choice((f' class="{name}-{word()}"', f' class="{word()}-{name}"', f' id="{word()}_{name}"'))
         if attribute == "" and tag in ("div", "section", "ul", "ol"):
             attribute = f' class="{name}"'
+        if bare:
+            attribute = ""
         if kind in ("nav", "share") or kind == "side" and r.random() < 0.6 or kind == "foot" and r.random() < 0.3:
             items = "".join(f'<li><a href="/{word()}">{NO}{word()}</a></li>' for _ in range(r.randint(2, 9)))
             inner = items if tag in ("ul", "ol") else r.choice((f"<ul>{items}</ul>", f"<h3>{NO}{say(2)}</h3><ul>{items}</ul>"))
@@ -379,14 +388,23 @@ def invented_page(r: random.Random) -> str:
                 out.append(noise(r.choice(("ad", "side", "share", "note", "form"))))
         tag = r.choice(("article", "article", "main", "div", "section"))
         name = r.choice(BODY_NAMES)
-        open_tag = f"<{tag}>" if tag in ("article", "main") and r.random() < 0.6 else f'<{tag} class="{name}">'
+        open_tag = f"<{tag}>" if bare or tag in ("article", "main") and r.random() < 0.6 else f'<{tag} class="{name}">'
         text = f"{open_tag}{''.join(out)}</{tag}>"
         return r.choice((text, text, f"<main>{text}</main>", f'<div class="container">{text}</div>', f'<div id="wrapper"><div class="row">{text}</div></div>'))
 
     before = [noise(k) for k in ("note", "head", "nav", "ad", "form", "side") if r.random() < 0.5]
     after = [noise(k) for k in ("share", "talk", "ad", "side", "nav", "note", "foot", "form") if r.random() < 0.45]
     r.shuffle(before)
-    return f"<html><head><title>{word()}</title></head><body>{''.join(before)}{body()}{''.join(after)}</body></html>"
+    wrapped = lambda x: "<div>" * (n := r.randint(1, 4)) + x + "</div>" * n
+    if layout < 0.1:
+        links = "<br>".join(f'<a href="/{word()}">{NO}{word()}</a>' for _ in range(r.randint(2, 6)))
+        last = f'<tr><td><small>{NO}{say(r.randint(2, 6))} <a href="/{word()}">{word()}</a></small></td></tr>' if r.random() < 0.5 else ""
+        whole = f"<table><tr><td>{links}</td><td>{body()}</td></tr>{last}</table>"
+    elif layout < 0.3:
+        whole = wrapped("".join(map(wrapped, [*before, body(), *after])))
+    else:
+        whole = "".join([*before, body(), *after])
+    return f"<html><head><title>{word()}</title></head><body>{whole}</body></html>"
 
 
 def train(seed: int = SEED, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
