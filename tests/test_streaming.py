@@ -191,3 +191,20 @@ def test_live_progress_counts_every_batch(spark, tmp_path, few):
     assert [(h["frames"], h["detections"], h["last_frame"]) for h in listener.history["counted"]] == [(4, 8, 3), (8, 14, 7), (12, 22, 11)]
     assert end.rows == rows > 0 and end.greatest_id == 2 and end.share(24) == 0.5 and end.frames_per_second() > 0 and not end.running
     assert end.seconds_left(12) == 0 and progress.Counters().share(0) == 0
+
+
+def test_running_state_of_quiet_tracks_goes(spark, tmp_path, few):
+    """Track 1 ends early, track 2 goes on: the figures are the batch's, and only track 2 is left in the state."""
+    from datetime import datetime, timedelta, timezone
+
+    at = lambda t: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)
+    row = lambda k, f: (0, k, f, float(f), 0, 0.9, 0.0, 0.0, 1.0, 1.0, float(f * k), float(f * f), at(f))
+    batches = [[row(k, f) for k in (1, 2) for f in range(3)], [row(2, f) for f in range(3, 9)], [row(2, f) for f in range(9, 30)], [row(2, 30)]]
+    stream = stream_of(spark, batches, O.SCHEMA + ", at timestamp", tmp_path)
+    got = collected(live.running_metrics(stream, time="at", lateness="0 seconds"), "running_timed", tmp_path, spark)
+    want = frame_kinematics(spark.createDataFrame([r[:-1] for b in batches for r in b], O.SCHEMA))
+    cols = ("track_id", "frame_id", "speed", "cumulative_distance")
+    a, b = (sorted(map(tuple, x.select(*cols).collect())) for x in (got, want))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and all(x == pytest.approx(y) for x, y in zip(a, b, strict=True))
+    left = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "track").load()
+    assert [r.key.track_id for r in left.collect()] == [2]

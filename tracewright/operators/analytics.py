@@ -32,11 +32,15 @@ def fewest_first(counts: DataFrame) -> DataFrame:
 
 
 def histogram(values: DataFrame, value: str) -> DataFrame:
-    """Bins of width 1 from 0 to the ceiling of the greatest value, the last one closed, empty ones kept."""
+    """Bins of width 1 from 0 to the ceiling of the greatest value, the last one closed, empty ones kept.
+
+    Values are counted by whole number before anything else, so what windows see is a row for each bin.
+    """
     v = values.where(F.col(value) > 0).select("video_id", F.col(value).alias("v"))
-    v = v.withColumn("bins", F.greatest(F.lit(1), F.ceil(F.max("v").over(of_video()))).cast("long"))
-    counts = v.groupBy("video_id", "bins", F.least(F.floor("v").cast("long"), F.col("bins") - 1).alias("bin")).agg(F.count("*").alias("n"))
-    spine = v.select("video_id", "bins").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
+    counted = v.groupBy("video_id", F.floor("v").cast("long").alias("whole")).agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    counted = counted.withColumn("bins", F.greatest(F.lit(1), F.ceil(F.max("top").over(of_video()))).cast("long"))
+    counts = counted.groupBy("video_id", "bins", F.least(F.col("whole"), F.col("bins") - 1).alias("bin")).agg(F.sum("n").alias("n"))
+    spine = counted.select("video_id", "bins").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
     out = spine.join(counts, ["video_id", "bins", "bin"], "left")
     label = F.concat(F.col("bin").cast("string"), F.lit(".0-"), (F.col("bin") + 1).cast("string"), F.lit(".0"))
     return out.select("video_id", "bin", label.alias("label"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -50,14 +54,15 @@ def lifetimes(vehicles: DataFrame, step: float = 0.5) -> DataFrame:
 def density(vehicles: DataFrame) -> DataFrame:
     """Vehicles present in each whole second (closed at both ends), with the congestion index (share of the peak).
 
-    Each lifetime unfolds the seconds it touches; they are counted and laid on the spine of all seconds.
+    Each lifetime unfolds the seconds it touches; they are counted and laid on the spine of all seconds, which
+    the video's first and last instant bound. No window sees the vehicles of a video.
     """
     life = lifetimes(vehicles)
-    life = life.withColumns({"lo": F.min("ts").over(of_video()).cast("long"), "hi": F.max("te").over(of_video()).cast("long") + 1})
-    first, last = F.greatest(F.ceil(F.col("ts") - 1), F.col("lo")), F.least(F.floor("te"), F.col("hi"))
+    ends = life.groupBy("video_id").agg(F.min("ts").cast("long").alias("lo"), (F.max("te").cast("long") + 1).alias("hi"))
+    first, last = F.ceil(F.col("ts") - 1), F.floor("te")
     touched = life.select("video_id", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("second"))
     counts = touched.groupBy("video_id", "second").agg(F.count("*").alias("n"))
-    spine = life.select("video_id", "lo", "hi").distinct().select("video_id", F.explode(F.sequence("lo", "hi")).alias("second"))
+    spine = ends.select("video_id", F.explode(F.sequence("lo", "hi")).alias("second"))
     out = spine.join(counts, ["video_id", "second"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return out.withColumn("congestion", E.rounded(F.col("n") * 100.0 / F.greatest(F.max("n").over(of_video()), F.lit(1)), 1))
 

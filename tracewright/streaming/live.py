@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.detection import NAMES, TRACKED, Track, Tracker, TrackerParameters, run_frames
@@ -172,26 +171,56 @@ def live_tracks(spark: SparkSession, checkpoint: str, batch: int | None = None)
 
 
 RUNNING = "video_id long, track_id long, frame_id long, speed double, cumulative_distance double"
+RUNNING_STATE = "t double, x double, y double, total double, due long"
 
 
-def running_metrics(obs: DataFrame) -> DataFrame:
-    """Backward speed and running distance of each observation as it arrives, state kept by track."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0, x0, y0, total = state.get if state.exists else (None, None, None, 0.0)
-        out = []
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["t", "frame_id"], kind="stable")
-        for r in rows.itertuples(index=False):
-            hop = 0.0 if t0 is None else ((r.cx - x0) ** 2 + (r.cy - y0) ** 2) ** 0.5
-            speed = hop / (r.t - t0) if t0 is not None and r.t > t0 else 0.0
-            total += hop
-            t0, x0, y0 = float(r.t), float(r.cx), float(r.cy)
-            out.append((int(key[0]), int(key[1]), int(r.frame_id), speed, total))
-        state.update((t0, x0, y0, total))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RUNNING.split(", ")])
-
-    keyed = obs.select("video_id", "track_id", "frame_id", "t", "cx", "cy").groupBy("video_id", "track_id")
-    return keyed.applyInPandasWithState(run, RUNNING, "t double, x double, y double, total double", "append", GroupStateTimeout.NoTimeout)
+class RunningTrack(StatefulProcessor):
+    """Last place and distance so far of one track; with event time they go when the track has been quiet for long enough."""
+
+    def __init__(self, time: str | None, quiet_seconds: float):
+        self.time, self.quiet_ms = time, int(quiet_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.track = handle.getValueState("track", RUNNING_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["t", "frame_id"], kind="stable")
+        t, x, y = (new[c].to_numpy(float) for c in ("t", "cx", "cy"))
+        t0, x0, y0, total, due = self.track.get() if self.track.exists() else (t[0], x[0], y[0], 0.0, None)
+        # Each row beside the one before it, the first beside what the state holds.
+        dt, dx, dy = (np.diff(c, prepend=c0) for c, c0 in ((t, t0), (x, x0), (y, y0)))
+        hop = np.sqrt(dx**2 + dy**2)
+        speed = np.divide(hop, dt, out=np.zeros(len(hop)), where=dt > 0)
+        so_far = np.cumsum(np.concatenate([[total], hop]))[1:]
+        if self.time:
+            quiet = int(new[self.time].max().value // 1_000_000) + self.quiet_ms
+            if due is None or quiet > due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = quiet
+                self.handle.registerTimer(due)
+        self.track.update((float(t[-1]), float(x[-1]), float(y[-1]), float(so_far[-1]), due))
+        yield pd.DataFrame({"video_id": int(key[0]), "track_id": int(key[1]), "frame_id": new["frame_id"].to_numpy(), "speed": speed, "cumulative_distance": so_far})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.track.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def running_metrics(obs: DataFrame, time: str | None = None, lateness: str = "10 seconds", quiet_seconds: float = 2.0) -> DataFrame:
+    """Backward speed and running distance of each observation as it arrives, state kept by track.
+
+    time names a timestamp column: then a track's state goes once it has been quiet for quiet_seconds beyond the
+    watermark (a track that comes back begins anew, as the tracker gives it a new id). Without it nothing expires.
+    """
+    obs.sparkSession.conf.set(PROVIDER, ROCKS)
+    columns = ["video_id", "track_id", "frame_id", "t", "cx", "cy", *([time] if time else [])]
+    rows = (obs.withWatermark(time, lateness) if time else obs).select(*columns)
+    return rows.groupBy("video_id", "track_id").transformWithStateInPandas(RunningTrack(time, quiet_seconds), RUNNING, "append", "eventTime" if time else "none")
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
