@@ -726,7 +726,7 @@ def test_quality_without_labels(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
