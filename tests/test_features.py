@@ -286,3 +286,34 @@ def test_small_writers(spark, tmp_path):
     assert spark.range(1).select(AN.safe_name("idd", F.lit("a/b\\c"))).first()[0] == "idd_a_b_c"
     x, y = E.perspective(F.lit(2.0), F.lit(4.0), [[1, 0, 1], [0, 1, 0], [0, 0, 2]])
     assert tuple(spark.range(1).select(x, y).first()) == (1.5, 2.0)
+
+
+def test_key_union(spark):
+    from tracewright.operators import reshape as S
+
+    a, b = spark.createDataFrame([(1,), (1,), (None,)], "k long"), spark.createDataFrame([(2,), (1,), (None,)], "k long")
+    assert sorted((r.k for r in S.key_union([a, b], "k").collect()), key=str) == [1, 2, None]
+
+
+FILE_QUERIES = ("q_frame_file", "q_coco_file", "q_voc_file", "q_label_round_trip", "q_split_list", "q_guarded_detections", "q_rectified_scale")
+
+
+@pytest.mark.parametrize("name", FILE_QUERIES)
+def test_file_queries_equal_their_sql(spark, name):
+    """What went through files is what the tables hold, at the smallest size."""
+    import glob
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    from tracewright.plans import formats, registry  # noqa: F401
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f).removesuffix('.parquet')} AS FROM '{f}'")
+    got = registry.QUERIES[name](spark, folder)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({registry.ORACLE[name]})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want)) and want

@@ -68,6 +68,14 @@ def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
     return rows.withColumns({"at": F.row_number().over(w.orderBy("source_no")), "linked": F.count("*").over(w)}).where("at = 1").drop("at")
 
 
+def key_union(sources: list[DataFrame], key: str) -> DataFrame:
+    """Every value of the key that occurs in any of the sources, once; each source is made distinct before they meet."""
+    out = sources[0].select(key).distinct()
+    for s in sources[1:]:
+        out = out.unionByName(s.select(key).distinct())
+    return out.distinct()
+
+
 def exact_split(names: DataFrame, name: str, fraction: float, seed: int = 42) -> DataFrame:
     """split = val for exactly max(1, int(n * fraction)) rows, chosen by a seeded hash of the name; else train.
 
