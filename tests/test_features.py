@@ -317,3 +317,14 @@ def test_file_queries_equal_their_sql(spark, name):
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({registry.ORACLE[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want)) and want
+
+
+def test_association_of_groups_equals_the_whole_matrix():
+    rng = np.random.default_rng(21)
+    for _ in range(300):
+        n, m = rng.integers(0, 9, 2)
+        overlap = np.where(rng.random((n, m)) < rng.choice([0.1, 0.3, 0.9]), rng.random((n, m)), 0.0)
+        pairs, rows, columns = D.associate(overlap, 0.3)
+        want = [(r, c) for r, c in D.assignment(1.0 - overlap) if overlap[r, c] >= 0.3]
+        assert pairs == sorted(want)
+        assert rows == sorted(set(range(n)) - {r for r, _ in want}) and columns == sorted(set(range(m)) - {c for _, c in want})

@@ -106,9 +106,45 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
 
 
+def meeting(overlap: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns that overlap, directly or through others: groups that nothing ties to each other."""
+    rows, columns = np.nonzero(overlap > 0)
+    beside: dict[int, list[int]] = {}
+    for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
+        beside.setdefault(r, []).append(~c)
+        beside.setdefault(~c, []).append(r)
+    out, seen = [], set()
+    for start in beside:
+        if start in seen:
+            continue
+        seen.add(start)
+        group = [start]
+        for x in group:
+            new = [y for y in beside[x] if y not in seen]
+            seen.update(new)
+            group += new
+        out.append((sorted(x for x in group if x >= 0), sorted(~x for x in group if x < 0)))
+    return out
+
+
 def associate(overlap: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Optimal pairs whose overlap reaches `least` (asked after solving), and what is left on both sides."""
-    pairs = [(r, c) for r, c in assignment(1.0 - overlap) if overlap[r, c] >= least]
+    """Optimal pairs whose overlap reaches `least` (asked after solving), and what is left on both sides.
+
+    Pairs without overlap add nothing to the sum, so the best matching is that of each group of boxes that
+    meet; most groups are a detection and its track.
+    """
+    found: list[tuple[int, int]] = []
+    if least <= 0:
+        found = assignment(1.0 - overlap)
+    else:
+        for rows, columns in meeting(overlap):
+            if len(rows) == 1:
+                found.append((rows[0], columns[int(np.argmax(overlap[rows[0], columns]))]))
+            elif len(columns) == 1:
+                found.append((rows[int(np.argmax(overlap[rows, columns[0]]))], columns[0]))
+            else:
+                found += [(rows[r], columns[c]) for r, c in assignment(1.0 - overlap[np.ix_(rows, columns)])]
+    pairs = sorted((r, c) for r, c in found if overlap[r, c] >= least)
     left = lambda n, k: sorted(set(range(n)) - {p[k] for p in pairs})
     return pairs, left(overlap.shape[0], 0), left(overlap.shape[1], 1)
 
@@ -152,19 +188,6 @@ class Track:
     filled: dict[int, list[float]] = field(default_factory=dict)
     history: list[list[float]] = field(default_factory=list)
 
-    def move(self) -> None:
-        self.mean = MOVE @ self.mean
-        self.spread = MOVE @ self.spread @ MOVE.T + PROCESS_NOISE
-        self.age += 1
-        if self.silent:
-            self.streak = 0
-        self.silent += 1
-
-    def expected(self) -> np.ndarray:
-        cx, cy, w, h = self.mean[:4].astype(float)
-        w, h = max(w, 1.0), max(h, 1.0)
-        return np.array([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2])
-
     def meet(self, box: np.ndarray, confidence: float, class_id: int, frame: int, p: TrackerParameters) -> None:
         """Correct the state with a matched box; fill a short gap; smooth; confirm."""
         gap = frame - self.seen
@@ -188,6 +211,27 @@ class Track:
             self.status = CONFIRMED
 
 
+def move_all(tracks: list[Track]) -> None:
+    """All tracks one frame on: their states move together, as stacked matrices."""
+    if not tracks:
+        return
+    means = np.stack([t.mean for t in tracks]) @ MOVE.T
+    spreads = MOVE @ np.stack([t.spread for t in tracks]) @ MOVE.T + PROCESS_NOISE
+    for t, mean, spread in zip(tracks, means, spreads, strict=True):
+        t.mean, t.spread = mean, spread
+        t.age += 1
+        if t.silent:
+            t.streak = 0
+        t.silent += 1
+
+
+def expected_boxes(tracks: list[Track]) -> np.ndarray:
+    """Where the tracks are expected; a box has a pixel a side at least."""
+    state = np.stack([t.mean for t in tracks]).astype(float)
+    centre, half = state[:, :2], np.maximum(state[:, 2:4], 1.0) / 2
+    return np.concatenate([centre - half, centre + half], axis=1)
+
+
 def measured(box: np.ndarray) -> np.ndarray:
     w, h = box[2] - box[0], box[3] - box[1]
     return np.array([box[0] + w / 2, box[1] + h / 2, w, h], np.float32)
@@ -206,7 +250,7 @@ class Tracker:
         """One association round; what stays unmatched of both."""
         if not chosen or not tracks:
             return chosen, tracks
-        overlap = iou_matrix(boxes[chosen], np.array([t.expected() for t in tracks]))
+        overlap = iou_matrix(boxes[chosen], expected_boxes(tracks))
         pairs, free, alone = associate(overlap, 1 - self.p.match)
         for d, t in pairs:
             i = chosen[d]
@@ -234,8 +278,7 @@ class Tracker:
         p, boxes = self.p, np.asarray(boxes, float).reshape(-1, 4)
         high = [i for i in range(len(boxes)) if confidence[i] >= p.high]
         low = [i for i in range(len(boxes)) if p.low <= confidence[i] < p.high]
-        for t in self.tracks:
-            t.move()
+        move_all(self.tracks)
         active, lost = [t for t in self.tracks if t.status != LOST], [t for t in self.tracks if t.status == LOST]
         high, alone = self._round(boxes, high, active, confidence, classes, frame)
         _, alone = self._round(boxes, low, alone, confidence, classes, frame)
