@@ -149,6 +149,25 @@ def associate(overlap: np.ndarray, least: float) -> tuple[list[tuple[int, int]],
     return pairs, left(overlap.shape[0], 0), left(overlap.shape[1], 1)
 
 
+def assigned(detections: DataFrame, tracks: DataFrame, least: float = 0.2) -> DataFrame:
+    """The optimal one-to-one pairs of each frame's detections and tracks, by summed overlap; pairs below `least` are left out after solving.
+
+    Only pairs that overlap are gathered, by frame: what a camera's frame holds bounds them.
+    """
+    pairs = overlap_pairs(detections, tracks)
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        rows, row = np.unique(part["detection_id"].to_numpy(), return_inverse=True)
+        columns, column = np.unique(part["track_id"].to_numpy(), return_inverse=True)
+        overlap = np.zeros((len(rows), len(columns)))
+        overlap[row, column] = part["iou"]
+        found, _, _ = associate(overlap, least)
+        out = [(rows[r], columns[c], overlap[r, c]) for r, c in found]
+        return pd.DataFrame(out, columns=["detection_id", "track_id", "iou"]).assign(video_id=part["video_id"].iloc[0], frame=part["frame"].iloc[0])
+
+    return pairs.groupBy("video_id", "frame").applyInPandas(solve, "video_id long, frame long, detection_id long, track_id long, iou double")
+
+
 @dataclass(frozen=True)
 class TrackerParameters:
     # The defaults of the tracker.

@@ -474,6 +474,26 @@ def q_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_columns(D.overlap_pairs(d.withColumnRenamed("frame_id", "detection_id").drop("track_id"), before), "iou", digits=4)
 
 
+@query("WITH RECURSIVE " + O.SQL + f""", d AS (SELECT *, CAST(floor(t) AS BIGINT) AS frame FROM obs), o AS (
+    SELECT a.video_id, a.frame, a.frame_id AS det, b.frame_id AS trk, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+           (a.x2-a.x1)*(a.y2-a.y1) AS sa, (b.x2-b.x1)*(b.y2-b.y1) AS sb FROM d a JOIN d b ON a.video_id = b.video_id AND b.frame = a.frame - 1
+), p AS (SELECT video_id, frame, det, trk, i / (sa + sb - i) AS iou FROM o WHERE sa + sb - i > 0 AND i > 0
+), g AS (SELECT video_id, frame, det, row_number() OVER (PARTITION BY video_id, frame ORDER BY det) AS k, count(*) OVER (PARTITION BY video_id, frame) AS n FROM (SELECT DISTINCT video_id, frame, det FROM p)
+), choices AS (SELECT video_id, frame, det, trk, iou FROM p UNION ALL SELECT video_id, frame, det, NULL, 0.0 FROM g
+), walk AS (
+    -- Every way of giving each detection one of its tracks, or none, no track twice.
+    SELECT DISTINCT video_id, frame, CAST(0 AS BIGINT) AS k, n, []::BIGINT[] AS dets, []::BIGINT[] AS trks, []::DOUBLE[] AS ious FROM g
+    UNION ALL
+    SELECT w.video_id, w.frame, g.k, w.n, CASE WHEN c.trk IS NULL THEN dets ELSE list_append(dets, c.det) END, CASE WHEN c.trk IS NULL THEN trks ELSE list_append(trks, c.trk) END, CASE WHEN c.trk IS NULL THEN ious ELSE list_append(ious, c.iou) END
+    FROM walk w JOIN g ON g.video_id = w.video_id AND g.frame = w.frame AND g.k = w.k + 1 JOIN choices c ON c.video_id = g.video_id AND c.frame = g.frame AND c.det = g.det AND (c.trk IS NULL OR NOT list_contains(trks, c.trk))
+), best AS (SELECT video_id, frame, unnest(pairs) AS pair FROM (SELECT video_id, frame, arg_max(list_zip(dets, trks, ious), coalesce(list_sum(ious), 0.0)) AS pairs FROM walk WHERE k = n GROUP BY video_id, frame))
+SELECT video_id, frame, pair[1] AS detection_id, pair[2] AS track_id, {r('pair[3]', 4)} AS iou FROM best WHERE pair[3] >= 0.1""")
+def q_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames_of(observations(spark, sf_dir))
+    before = d.select("video_id", (F.col("frame") + 1).alias("frame"), F.col("frame_id").alias("track_id"), "x1", "y1", "x2", "y2")
+    return rounded_columns(D.assigned(d.withColumnRenamed("frame_id", "detection_id").drop("track_id"), before, 0.1), "iou", digits=4)
+
+
 @query("WITH " + O.SQL + f""", n AS (SELECT *, lead(frame_id) OVER w AS nf, lead(x1) OVER w AS nx1, lead(y2) OVER w AS ny2 FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_id)),
 g AS (SELECT *, unnest(range(1, nf - frame_id)) AS i FROM n WHERE nf - frame_id > 1 AND nf - frame_id <= 10)
 SELECT video_id, track_id, frame_id + i AS frame_id, {r('x1 + (nx1 - x1) * (i / (nf - frame_id))')} AS x1, {r('y2 + (ny2 - y2) * (i / (nf - frame_id))')} AS y2 FROM g""")
