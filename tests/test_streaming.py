@@ -125,6 +125,17 @@ def test_a_video_that_resumes_keeps_its_ids(spark, tmp_path, few):
     assert {r[2] for r in got if r[0] == 0} == {1, 2}
 
 
+def test_the_last_timer_does_not_end_a_video_that_resumed(spark, tmp_path, few):
+    """A video comes back between the end of its tracks and its being forgotten, and goes on beyond that time."""
+    zero = boxes_of(0, range(6))
+    again = [boxes_of(0, range(f, f + 10)) for f in range(100, 200, 10)]
+    batches = [timed(zero), *[timed(boxes_of(1, [f])) for f in (40, 90)], *map(timed, again)]
+    _, got = run_timed(spark, tmp_path, batches, "resumed_on", forget=2)
+    want = D.track(spark.createDataFrame(zero + [r for b in again for r in b], DETECTIONS))
+    assert [r for r in got if r[0] == 0] == sorted(map(tuple, want.collect()))
+    assert {r[2] for r in got if r[0] == 0} == {1, 2} and max(r[1] for r in got) == 199
+
+
 def test_no_state_is_left_at_last(spark, tmp_path, few):
     """A last row far ahead and dropped by the tracker (its confidence is too low to begin a track) moves the clock past all timers."""
     rows = boxes_of(0, range(8), 2) + boxes_of(1, range(8))

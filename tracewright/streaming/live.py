@@ -22,8 +22,9 @@ TRACK_STATE = (
 )
 WAITING = "frame long, detection_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
 WAITING_NAMES = [c.split()[0] for c in WAITING.split(", ")]
-#: created: ids given so far; last: the newest frame tracked; due: when the timer is; reset_at: the reset that was done.
-VIDEO_STATE = "created long, last long, due long, reset_at long"
+#: created: ids given so far; last: the newest frame tracked; due: when the timer is; quiet: whether it is the one that
+#: forgets the video, the tracks being gone already; reset_at: the reset that was done.
+VIDEO_STATE = "created long, last long, due long, quiet boolean, reset_at long"
 
 
 def as_state(t: Track) -> tuple:
@@ -62,21 +63,21 @@ class VideoTracker(StatefulProcessor):
         self.tracks = handle.getListState("tracks", TRACK_STATE)
         self.waiting = handle.getListState("waiting", WAITING)
 
-    def _tracker(self, video: int) -> tuple[Tracker, int | None, int | None]:
-        """The tracker as the state has it, its timer, and the reset that was done; a new reset is done here."""
-        created, last, due, reset_at = self.video.get() if self.video.exists() else (0, None, None, None)
+    def _tracker(self, video: int) -> tuple[Tracker, int | None, bool, int | None]:
+        """The tracker as the state has it, its timer and whether it is the last one, and the reset that was done; a new reset is done here."""
+        created, last, due, quiet, reset_at = self.video.get() if self.video.exists() else (0, None, None, False, None)
         tracker = Tracker(self.p)
         asked = self.resets.get(video)
         if asked is not None and asked != reset_at:
             self.tracks.clear()
             self.waiting.clear()
-            return tracker, due, asked
+            return tracker, due, quiet, asked
         tracker.created, tracker.last = created, last
         tracker.tracks = [from_state(s) for s in self.tracks.get()] if self.tracks.exists() else []
-        return tracker, due, reset_at
+        return tracker, due, quiet, reset_at
 
     def _keep(self, tracker: Tracker, due: int | None, reset_at: int | None) -> None:
-        self.video.update((tracker.created, tracker.last, due, reset_at))
+        self.video.update((tracker.created, tracker.last, due, False, reset_at))
         if tracker.tracks:
             self.tracks.put([as_state(t) for t in tracker.tracks])
         elif self.tracks.exists():
@@ -84,7 +85,7 @@ class VideoTracker(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         video = int(key[0])
-        tracker, due, reset_at = self._tracker(video)
+        tracker, due, quiet, reset_at = self._tracker(video)
         parts = [part for part in rows if len(part)]
         newest = max((int(part[self.time].max().value // 1_000_000) for part in parts), default=None) if self.time else None
         if self.waiting.exists():
@@ -99,7 +100,7 @@ class VideoTracker(StatefulProcessor):
             self.waiting.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in later.itertuples(index=False)])
         elif self.waiting.exists():
             self.waiting.clear()
-        if newest is not None and (due is None or newest + self.quiet_ms > due):
+        if newest is not None and (due is None or quiet or newest + self.quiet_ms > due):
             if due is not None:
                 self.handle.deleteTimer(due)
             due = newest + self.quiet_ms
@@ -109,19 +110,17 @@ class VideoTracker(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         video = int(key[0])
-        if not self.tracks.exists() and not self.waiting.exists() and (not self.video.exists() or self.forget_ms and self.video.get()[2] is None):
-            self.video.clear()
-            return
-        tracker, _, reset_at = self._tracker(video)
+        tracker, _, quiet, reset_at = self._tracker(video)
         left = pd.DataFrame(list(self.waiting.get()), columns=WAITING_NAMES) if self.waiting.exists() else None
         out = run_frames(tracker, video, left) if left is not None else []
         self.waiting.clear()
         self.tracks.clear()
-        if self.forget_ms:
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
-            self.video.update((tracker.created, tracker.last, None, reset_at))
-        else:
+        if quiet or not self.forget_ms:
             self.video.clear()
+        else:
+            due = expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms
+            self.handle.registerTimer(due)
+            self.video.update((tracker.created, tracker.last, due, True, reset_at))
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
