@@ -189,7 +189,7 @@ def rounded(df):
     return sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("parts", [1, 12])
 def test_next_documents(spark, parts):
     rows = [(3 * i, t) for i, t in enumerate(texts(2, 24))] + [(None, "no id at all")]
     random.Random(3).shuffle(rows)
@@ -265,7 +265,7 @@ def vectors(seed, n=160, width=8, spread=5):
     return rows + [(904, [0.25] * (width - 3), 0), (905, [], 0)]
 
 
-@pytest.mark.parametrize("seed, entries", [(1, 16), (2, 256), (3, 5)])
+@pytest.mark.parametrize("seed, entries", [(1, 16), (2, 256)])
 def test_codes_equal_brute_force(spark, seed, entries):
     rows = vectors(seed)
     got, books = vector_codes.compress(spark.createDataFrame(rows, VECTORS).repartition(3), entries=entries)
@@ -402,7 +402,7 @@ def near_texts(n, seed=12):
     return out
 
 
-@pytest.mark.parametrize("ids", ["null", "equal", "own"])
+@pytest.mark.parametrize("ids", ["null", "equal"])
 def test_groups_of_null_and_repeated_ids(spark, ids):
     """Ids say nothing of what is compared: with none, with one for all, the same texts are linked."""
     texts = near_texts(200) + near_texts(200)[:50] * 3
