@@ -436,14 +436,21 @@ def line_sql(source: str, key: str, keys: str, measures: tuple[str, ...]) -> str
 SELECT video_id, track_id, count(*) * {len(measures)} AS n_cells, string_agg({cell}, ',' ORDER BY k) AS cells FROM (SELECT tr.video_id, tr.track_id, ks.k, src.* EXCLUDE (video_id, track_id) FROM tr CROSS JOIN ks LEFT JOIN src ON src.video_id = tr.video_id AND src.track_id = tr.track_id AND src.{key} = ks.k) GROUP BY video_id, track_id"""
 
 
-def as_line(wide: DataFrame) -> DataFrame:
+def with_cells(rows: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """The rows with their measures as one text: then the pivot has a column a sample, not a column a cell."""
+    return rows.withColumn("cell", cells(rows, list(measures)))
+
+
+def as_line(wide: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     names = [c for c in wide.columns if c not in K.TRACK]
-    return wide.select(*K.TRACK, F.lit(len(names)).cast("long").alias("n_cells"), cells(wide, names).alias("cells"))
+    nothing = F.lit("," * (len(measures) - 1))
+    line = F.concat_ws(",", *[F.coalesce(F.col(k), nothing) for k in names])
+    return wide.select(*K.TRACK, F.lit(len(names) * len(measures)).cast("long").alias("n_cells"), line.alias("cells"))
 
 
 @query(AN + line_sql("SELECT * FROM fs", "sample_idx", "SELECT unnest(range(max(sample_idx) + 1)) AS k FROM src", S.WIDE))
 def q_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_line(S.widened(durable(sample_table(spark, sf_dir), "samples")))
+    return as_line(S.widened(durable(with_cells(sample_table(spark, sf_dir), S.WIDE), "samples"), measures=("cell",)), S.WIDE)
 
 
 @query(AN + f" SELECT video_id, track_id, CAST(sample_idx AS INTEGER) AS sample_idx, {', '.join(S.WIDE)} FROM fs")
@@ -455,7 +462,8 @@ def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RESAMPLED + line_sql(f"SELECT video_id, track_id, sec, {', '.join(f'{r(m)} AS {m}' for m in S.PER_SECOND)} FROM res", "sec", "SELECT DISTINCT sec AS k FROM src", S.PER_SECOND))
 def q_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_line(S.by_second(durable(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), *S.PER_SECOND), "seconds")))
+    seconds = with_cells(rounded_columns(R.whole_seconds(observations(spark, sf_dir)), *S.PER_SECOND), S.PER_SECOND)
+    return as_line(S.by_second(durable(seconds, "seconds"), measures=("cell",)), S.PER_SECOND)
 
 
 def frames_of(obs: DataFrame) -> DataFrame:
