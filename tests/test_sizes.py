@@ -2,9 +2,13 @@
 
 import glob
 import os
+import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
+
+from tracewright.functions import expr as E
 
 def events(columns: str, n: int) -> str:
     """A folder with n events made by an SQL select list over i."""
@@ -37,3 +41,19 @@ def test_smoothing_in_sql_leaves_the_rest_of_the_same_alpha(spark):
     """1 - 0.7 is a decimal in SQL, and its double another number than the rest of 0.7: ties fell to the other side."""
     folder = events("TIMESTAMP '2024-01-01' + to_hours(i) AS ts, i // 3 AS user_id, 'view' AS event_type, (i * 7919 % 50000) / 100.0 AS value, '{\"k\": 5}' AS props", 6000)
     assert differing(spark, folder, "q_ema") == ([], [])
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_measures_are_printed_as_python_prints_them(spark, digits):
+    r = random.Random(digits)
+    values = [0.0, -0.0, 0.125, -0.125, 0.375, 1.005, 2.675, 0.05, 0.25, 0.5, -0.001, 9.9999999, 99.995, 1e-300, 1e15, 1e20, 4503599627370495.5]
+    values += [k / 10 ** (digits + 1) for k in range(5, 60_000, 10)] + [r.uniform(-1000, 1000) for _ in range(2000)] + [k / 64 for k in range(-200, 200)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", E.formatted("x", digits).alias("s")).collect()
+    assert [(x, s) for x, s in got if s != f"{x:.{digits}f}"] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(E.formatted("x", digits), F.format_string(f"%.{digits}f", "x")).collect()
+    assert all(a == b for a, b in odd)
+
+
+def test_frame_file_prints_ties_as_its_sql_does(spark):
+    folder = events("TIMESTAMP '2024-01-01' + to_microseconds(i * 432000) AS ts, i % 40 AS user_id, 'view' AS event_type, 5.0::DOUBLE AS value, '{\"k\": 5}' AS props", 4000)
+    assert differing(spark, folder, "q_frame_file") == ([], [])
