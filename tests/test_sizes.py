@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr as E
+from tracewright.operators import neighbours as N
 
 def events(columns: str, n: int) -> str:
     """A folder with n events made by an SQL select list over i."""
@@ -57,3 +58,22 @@ def test_measures_are_printed_as_python_prints_them(spark, digits):
 def test_frame_file_prints_ties_as_its_sql_does(spark):
     folder = events("TIMESTAMP '2024-01-01' + to_microseconds(i * 432000) AS ts, i % 40 AS user_id, 'view' AS event_type, 5.0::DOUBLE AS value, '{\"k\": 5}' AS props", 4000)
     assert differing(spark, folder, "q_frame_file") == ([], [])
+
+
+def test_headway_sorts_no_pairs_of_observations(spark, monkeypatch):
+    """The join's rows are a probe and a track each, whatever the observations of the track; the nearest are those of a plain loop."""
+    r = random.Random(5)
+    rows = [(v, k, 1000 * k + f, r.choice([r.uniform(-9, 9), r.randrange(-8, 9) / 2.0]), r.uniform(0, 99), r.uniform(0, 99)) for v in (0, 1) for k in range(4) for f in range(60)]
+    obs = spark.createDataFrame(rows, "video_id long, track_id long, frame_id long, t double, cx double, cy double")
+    probe = obs.where("frame_id % 3 = 0").withColumns({"heading": F.lit(30.0), "speed": F.lit(2.0)})
+    near = N.nearest_in_time(probe, obs, 0.5)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+    got = {(x.video_id, x.frame_id, x.o_track): (x.o.o_t, x.o.o_frame) for x in near.collect()}
+    want = {}
+    for v, k, f, t, _, _ in rows:
+        for o in range(4):
+            at = [(abs(b[3] - t), b[3], b[2]) for b in rows if b[0] == v and b[1] == o and abs(b[3] - t) <= 0.5]
+            if f % 3 == 0 and o != k and at:
+                want[v, f, o] = min(at)[1:]
+    assert got == want
