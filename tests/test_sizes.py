@@ -3,12 +3,15 @@
 import glob
 import os
 import random
+import re
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr as E
+from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
 
 def events(columns: str, n: int) -> str:
@@ -77,3 +80,23 @@ def test_headway_sorts_no_pairs_of_observations(spark, monkeypatch):
             if f % 3 == 0 and o != k and at:
                 want[v, f, o] = min(at)[1:]
     assert got == want
+
+
+def test_frames_are_assigned_many_at_a_call(spark):
+    r = random.Random(19)
+    box = lambda: (lambda x, y: (x, y, x + 20.0, y + 20.0))(r.uniform(0, 60), r.uniform(0, 60))
+    rows = [(v, f, 10 * f + k, *box()) for v in (0, 1) for f in range(-70, 70) for k in range(r.randrange(5))]
+    names = "x1 double, y1 double, x2 double, y2 double"
+    d = spark.createDataFrame(rows, f"video_id long, frame long, detection_id long, {names}")
+    seen = [(v, f, 7 * i, *box()) for i, (v, f, *_) in enumerate(rows)]
+    t = spark.createDataFrame(seen, f"video_id long, frame long, track_id long, {names}")
+    out = D.assigned(d, t, 0.1)
+    keys = re.search(r"FlatMapGroupsInPandas \[([^\]]*)\]", out._jdf.queryExecution().analyzed().toString()).group(1)
+    assert "stretch" in keys and "frame" not in keys
+    want = set()
+    for v, f in {x[:2] for x in rows}:
+        a, b = ([x[2:] for x in xs if x[:2] == (v, f)] for xs in (rows, seen))
+        a, b = sorted(a), sorted(b)
+        overlap = D.iou_matrix(np.array([x[1:] for x in a]), np.array([x[1:] for x in b]))
+        want |= {(v, f, a[i][0], b[j][0]) for i, j in D.associate(overlap, 0.1)[0]}
+    assert {tuple(x)[:4] for x in out.collect()} == want and len(want) > 100
