@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import expr as E
 from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
+from tracewright.sources import annotations as files
 
 def events(columns: str, n: int) -> str:
     """A folder with n events made by an SQL select list over i."""
@@ -100,3 +101,23 @@ def test_frames_are_assigned_many_at_a_call(spark):
         overlap = D.iou_matrix(np.array([x[1:] for x in a]), np.array([x[1:] for x in b]))
         want |= {(v, f, a[i][0], b[j][0]) for i, j in D.associate(overlap, 0.1)[0]}
     assert {tuple(x)[:4] for x in out.collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("name, kind", [("q_voc_file", "voc"), ("q_label_round_trip", "label-lines")])
+def test_small_files_are_opened_once_and_many_to_a_task(spark, tmp_path, monkeypatch, name, kind):
+    """The query's own plan reads what the files held, which one pass over the listed folder brought in few tasks."""
+    from tracewright.plans import formats, registry  # noqa: F401
+
+    made, write = {}, files.durable
+
+    def watched(df, what, **options):
+        made[what] = (len(df.inputFiles()), options)
+        return write(df, what, **options)
+
+    monkeypatch.setattr(files, "durable", watched)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    folder = events("TIMESTAMP '2024-01-01' + to_hours(i) AS ts, i // 30 AS user_id, 'view' AS event_type, 40.0 + i % 7 AS value, '{\"k\": 5}' AS props", 3200)
+    plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert made[kind][0] == 200 and made[kind][1] == {"small_files": True} and "xml" not in plan and " text" not in plan
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert differing(spark, folder, name) == ([], [])

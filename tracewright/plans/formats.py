@@ -120,7 +120,7 @@ def q_voc_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("<annotation><size><width>1920</width><height>560</height></size>"), F.col("xml"), F.lit("</annotation>"))
     path = fresh_path(spark, "voc")
     sinks.write_labels(things.select(F.col("image").alias("image_id"), text.alias("content")), path)
-    images, back = files.voc(spark, path + "/*.txt")
+    images, back = files.voc(spark, path, "txt")
     kept, _ = AN.kept_and_skipped(back.join(images, "image_id"), "name", AN.NAMED)
     return rounded_columns(AN.from_corners(kept).select("image_id", "line_no", "name", "class_id", "ncx", "nw"), "ncx", "nw", digits=4)
 
@@ -134,7 +134,7 @@ def q_label_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = AN.from_sides(kept).withColumns({"line_no": F.col("image_id") % IMAGE, "image_id": F.floor(F.col("image_id") / IMAGE)})
     path = fresh_path(spark, "labels")
     sinks.write_labels(AN.label_files(b.select(F.floor(F.col("image_id") / IMAGE).alias("image_id")).distinct(), several), path)
-    return files.yolo_labels(spark, path + "/*.txt").select("image_id", "line_no", "class_id", "cx", "w")
+    return files.yolo_labels(spark, path, "txt").select("image_id", "line_no", "class_id", "cx", "w")
 
 
 @query("SELECT trim(c_name) AS entry FROM customer WHERE c_custkey % 7 <> 0")

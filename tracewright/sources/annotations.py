@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import durable
+
 COCO = (
     "images array<struct<id:long,file_name:string,width:int,height:int>>, "
     "annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>>>"
@@ -25,10 +27,14 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return images, boxes
 
 
-def voc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, boxes) of VOC files; an image is named by its file's stem."""
-    raw = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(path).select("*", F.col("_metadata.file_path").alias("file"))
-    raw = raw.withColumn("image_id", stem("file"))
+def voc(spark: SparkSession, path: str, ending: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, boxes) of VOC files; an image is named by its file's stem. path is a pattern, or a folder where an ending is told.
+
+    Every image is a file: they are opened once, many to a task, for both tables.
+    """
+    reader = spark.read.format("xml").option("rowTag", "annotation").schema(VOC)
+    raw = (reader.option("pathGlobFilter", f"*.{ending}") if ending else reader).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+    raw = durable(raw.withColumn("image_id", stem("file")), "voc", small_files=True)
     images = raw.select("image_id", F.col("size.width").alias("width"), F.col("size.height").alias("height"))
     boxes = raw.select("image_id", F.posexplode("object").alias("line_no", "o")).select("image_id", "line_no", F.lower(F.trim("o.name")).alias("name"), "o.bndbox.*")
     return images, boxes
@@ -38,9 +44,14 @@ def stem(path: str) -> F.Column:
     return F.regexp_extract(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), r"([^/\\]+?)(\.[^./\\]*)?$", 1)
 
 
-def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, line_no, class_id, cx, cy, w, h) of label files; lines whose first token is no integer are left out."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+def yolo_labels(spark: SparkSession, path: str, ending: str | None = None) -> DataFrame:
+    """(image_id, line_no, class_id, cx, cy, w, h) of label files; lines whose first token is no integer are left out.
+
+    path is a pattern, or a folder where an ending is told: a folder is listed as one, a pattern's files each by itself.
+    """
+    reader = spark.read.option("pathGlobFilter", f"*.{ending}") if ending else spark.read
+    lines = reader.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    lines = durable(lines, "label-lines", small_files=True)
     parts = F.split("line", r"\s+")
     out = lines.select(stem("file").alias("image_id"), "at", F.get(parts, 0).try_cast("int").alias("class_id"), *[F.get(parts, i + 1).try_cast("double").alias(k) for i, k in enumerate(("cx", "cy", "w", "h"))])
     return out.where("class_id is not null").withColumn("line_no", F.row_number().over(W.partitionBy("image_id").orderBy("at")) - 1).drop("at")
