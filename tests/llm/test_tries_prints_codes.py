@@ -443,3 +443,39 @@ def test_a_large_benchmark_takes_passes_one_at_a_time(spark, monkeypatch):
     assert "ArrowEvalPython" not in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, many.collect()), key=str) == one and len(one) == 61
     assert sorted(map(tuple, decontaminate.without_leaks(docs, bench).collect()), key=str) == clean and len(clean) == 31
+
+
+def test_words_are_hashed_without_a_call_for_each():
+    import sys
+
+    calls = 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    text = " ".join(f"word{i}" for i in range(5000))
+    near_duplicates.shingles(text, 3)
+    other = text.replace("word", "term")
+    sys.setprofile(seen)
+    try:
+        got = near_duplicates.shingles(other, 3)
+    finally:
+        sys.setprofile(None)
+    assert len(got) == 4998 and calls < 500
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 18])
+def test_hashed_words_are_those_of_a_plain_split(monkeypatch, piece):
+    monkeypatch.setattr(near_duplicates, "PIECE", piece)
+    spaces, r = " \t\n\r\x0b\x0c", random.Random(piece)
+    words = ["a", "b", "ab", "ba", "aab", "é", "日本", "\x1c", "\xa0", "x" * 63, "x" * 64, "x" * 65, "y" + "x" * 64, "x" * 64 + "y", "z" * 500]
+    texts = ["", " ", "\n\t ", "a", " a", "a ", "x" * 65, *("".join(r.choice(words) + r.choice(spaces) * r.randrange(1, 4) for _ in range(r.randrange(60))) for _ in range(60))]
+    hashes = {}
+    for text in texts:
+        plain = text.encode().split()
+        for word, h in zip(plain, near_duplicates.word_hashes(text.encode()).tolist(), strict=True):
+            assert hashes.setdefault(word, h) == h
+        w = text.lower().encode().split()
+        assert len(near_duplicates.shingles(text, 3)) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else ())
+    assert len(set(hashes.values())) == len(hashes) == len(words)

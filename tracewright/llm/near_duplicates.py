@@ -40,6 +40,7 @@ needed. Nothing but rows that end a loop and the bits that mark shared keys come
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,7 +60,8 @@ SIZE_STEP = 1.1
 SALTS = 16
 #: Ratio of the bounds of a band of set sizes.
 BAND = 1.5
-WORD_CACHE = 50_000
+#: Bytes of a text whose words are hashed at a time, and bytes of the longest word that the table of places holds.
+PIECE, LONGEST = 1 << 18, 64
 #: Numbers of documents from which a shared key counts as more frequent, and the bits of the table for each of
 #: them: eight a shared key, within these bounds (4 to 32 MB for all, in each Python worker).
 FREQUENT = (2, 8, 64, 1024)
@@ -68,21 +70,6 @@ LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 SLICE = 500
 
 
-class WordHashes(dict):
-    """64-bit hash of each word met lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
-
-
-_hashes = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (fixed multipliers of a public one)."""
     x = x ^ (x >> np.uint64(30))
@@ -92,17 +79,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SPACES = b" \t\n\r\x0b\x0c"
+BREAK = re.compile(b"[%s]" % SPACES)
+#: Whether a byte belongs to a word.
+IN_WORD = ~np.isin(np.arange(256), list(SPACES))
+#: A number for each byte at each place of a word.
+PLACES = mixed(np.arange(1, 256 * LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def hashes_of_words(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a piece of text, in order: the sum of what each byte counts at its place."""
+    held = np.frombuffer(text, np.uint8)
+    word = np.zeros(len(held) + 2, bool)
+    word[1:-1] = IN_WORD[held]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes, out = ends - starts, np.zeros(len(starts), np.uint64)
+    short = sizes <= LONGEST
+    for i in np.flatnonzero(~short).tolist():
+        import xxhash
+
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+        word[starts[i] + 1 : ends[i] + 1] = False
+    sizes = sizes[short]
+    if len(sizes):
+        first = np.cumsum(sizes) - sizes
+        held = held[word[1:-1]]
+        place = np.arange(len(held)) - np.repeat(first, sizes)
+        out[short] = np.add.reduceat(PLACES[(place << 8) + held], first)
+    return out
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """hashes_of_words of a whole text, a piece at a time, cut before white space."""
+    out, low = [np.zeros(0, np.uint64)], 0
+    while low < len(text):
+        cut = BREAK.search(text, low + PIECE) if len(text) - low > PIECE else None
+        high = cut.start() if cut else len(text)
+        out.append(hashes_of_words(text[low:high]))
+        low = high
+    return np.concatenate(out)
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted set of hashed k-word shingles. Words: runs without ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes((text or "").encode("utf-8", "replace").lower())
+    if not len(h):
+        return h
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(k, len(h)), np.uint64)
     for i in range(min(k, len(h))):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -146,10 +175,10 @@ class Geometry:
             d = self.differ(n + most)
             if not d:
                 continue  # only an equal set is similar
-            g = (mixed(s + np.uint64(b)) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(g, kind="stable")
-            g, x = g[order], mixed(s[order])
-            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            g = mixed(s + np.uint64(b)) % np.uint64(m)
+            order = np.argsort(g.astype(np.uint16 if m <= 1 << 16 else np.int64), kind="stable")  # two bytes are sorted by radix
+            g, x = g[order].astype(np.int64), mixed(s[order])
+            edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
             held, own = g[edges], self.named(np.add.reduceat(x, edges), g[edges], b)
             empty = np.zeros(0, np.int64)
             if len(held) <= d:  # an equal group need not have content
