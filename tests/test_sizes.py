@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr as E
+from tracewright.operators import analytics as A
 from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
 from tracewright.sources import annotations as files
@@ -121,3 +122,11 @@ def test_small_files_are_opened_once_and_many_to_a_task(spark, tmp_path, monkeyp
     assert made[kind][0] == 200 and made[kind][1] == {"small_files": True} and "xml" not in plan and " text" not in plan
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
     assert differing(spark, folder, name) == ([], [])
+
+
+def test_a_histogram_works_its_values_out_once(spark):
+    values = spark.range(300).select((F.col("id") % 3).alias("video_id"), (F.col("id") / 40).alias("v"))
+    got = A.histogram(values, "v")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 1
+    want = {(i, b): sum(j % 3 == i and 0 < j / 40 and b <= j / 40 < b + 1 for j in range(300)) for i in range(3) for b in range(8)}
+    assert {(r.video_id, r.bin): r.n for r in got.collect()} == want
