@@ -14,6 +14,7 @@ from tracewright.functions import expr as E
 from tracewright.operators import analytics as A
 from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
+from tracewright.operators import reshape as S
 from tracewright.sources import annotations as files
 
 def events(columns: str, n: int) -> str:
@@ -130,3 +131,15 @@ def test_a_histogram_works_its_values_out_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 1
     want = {(i, b): sum(j % 3 == i and 0 < j / 40 and b <= j / 40 < b + 1 for j in range(300)) for i in range(3) for b in range(8)}
     assert {(r.video_id, r.bin): r.n for r in got.collect()} == want
+
+
+def test_a_pivot_shuffles_narrow_rows_only(spark):
+    """Rows as wide as the result, one of a track in each partition, went through the shuffle, and their samples through a sort."""
+    rows = [(0, k, i, None if (k, i) == (7, 5) else k + i / 8, float(i)) for k in range(30) for i in range(k + 1)]
+    samples = spark.createDataFrame(rows, "video_id long, track_id long, sample_idx int, x double, y double").repartition(4)
+    wide = S.widened(samples, 30, ("x", "y"))
+    long = S.unpivoted(wide, 30, ("x", "y"))
+    for out in (wide, long):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    assert sorted(map(tuple, long.collect())) == sorted(r for r in rows if r[1] != 7 or r[2] < 5)
