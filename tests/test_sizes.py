@@ -143,3 +143,13 @@ def test_a_pivot_shuffles_narrow_rows_only(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
     assert sorted(map(tuple, long.collect())) == sorted(r for r in rows if r[1] != 7 or r[2] < 5)
+
+
+def test_samples_are_written_with_their_measures_only(spark):
+    """Boxes, neighbours and raw speeds that nothing reads again were written with them."""
+    from tracewright.plans import trajectory as T
+
+    folder = events("TIMESTAMP '2024-01-01' + to_hours(i) AS ts, i % 4 AS user_id, 'view' AS event_type, (i * 7919 % 50000) / 100.0 AS value, '{\"k\": 5}' AS props", 200)
+    _, samples = T.tables(spark, folder)
+    written = spark.read.parquet(*samples.inputFiles()).columns
+    assert sorted(written) == sorted(["video_id", "track_id", "sample_idx", *S.WIDE])
