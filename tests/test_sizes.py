@@ -16,6 +16,7 @@ from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
 from tracewright.operators import reshape as S
 from tracewright.sources import annotations as files
+from tracewright.sources import sinks
 
 def events(columns: str, n: int) -> str:
     """A folder with n events made by an SQL select list over i."""
@@ -153,3 +154,37 @@ def test_samples_are_written_with_their_measures_only(spark):
     _, samples = T.tables(spark, folder)
     written = spark.read.parquet(*samples.inputFiles()).columns
     assert sorted(written) == sorted(["video_id", "track_id", "sample_idx", *S.WIDE])
+
+
+@pytest.mark.parametrize("form", ["numbers", "texts"])
+def test_the_plan_of_a_wide_file_does_not_print_each_column(spark, form):
+    """Each of some thousand columns had the whole printing expression, hundreds of copies of its number, and the driver ran out of memory."""
+    rows = [(0, k, i, *(k + i / 8 + m / 1000 if (k + i + m) % 5 else None for m in range(9))) for k in range(3) for i in range(0, 12, k + 1)]
+    samples = spark.createDataFrame(rows, "video_id long, track_id long, sample_idx int, " + ", ".join(f"{m} double" for m in S.WIDE))
+    v = spark.createDataFrame([(0, k, 0.5, k, 0, "Car", 0.5, 2.5, "Eastbound", "Slow", 10.0) for k in range(4)], "video_id long, track_id long, first_t double, first_frame long, class_id int, class_name string, avg_confidence double, avg_speed double, direction string, behaviour string, total_distance double")
+    made = lambda n: sinks.vehicle_rows(v, S.widened(samples, n) if form == "numbers" else S.gathered(sinks.printed_samples(samples)), False, n)
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    try:
+        spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+        printed = [made(n)._jdf.queryExecution().optimizedPlan().toString().count("134217729") for n in (12, 24)]
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert printed[0] == printed[1] < 400
+    held = {r[1:3]: r[3:] for r in rows}
+    got = {r.track_id: r for r in made(13).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(len(r) == 11 + 13 * 9 for r in got.values())
+    text = lambda x: None if x is None else f"{x:.2f}"
+    for k, r in got.items():
+        assert list(r[11:]) == [text(x) for i in range(13) for x in held.get((k, i), (None,) * 9)]
+
+
+def test_vehicle_file_of_many_samples_equals_its_sql(spark):
+    folder = events("TIMESTAMP '2024-01-01' + to_minutes(i * 150) AS ts, i % 4 AS user_id, 'view' AS event_type, (i * 7919 % 50000) / 100.0 AS value, '{\"k\": 5}' AS props", 280)
+    assert differing(spark, folder, "q_vehicle_file") == ([], [])
+
+
+def test_a_file_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,x\n1,2\n")
+    assert files.delimited(spark, str(tmp_path), ["n", "x"]).collect() == files.delimited(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="header"):
+        files.delimited(spark, str(tmp_path), ["n", "y"]).collect()

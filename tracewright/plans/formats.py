@@ -53,12 +53,13 @@ SELECT c.video_id, CAST(c.track_id AS VARCHAR) AS track_id, printf('%.2f', fv.fi
 FROM c JOIN fv ON fv.video_id = c.video_id AND fv.track_id = c.track_id JOIN vehicles v ON v.video_id = c.video_id AND v.track_id = c.track_id""")
 def q_vehicle_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, s = tables(spark, sf_dir)
-    s = durable(s, "samples")
+    s = durable(sinks.printed_samples(s), "samples")
     count = S.sample_count(s)
     path = fresh_path(spark, "vehicles-csv")
-    sinks.write_csv(sinks.vehicle_rows(v, S.widened(s, count), False, count), path, ["track_id"])
-    back = files.delimited(spark, path)
-    cells = F.concat_ws(",", *[F.coalesce(F.col(name), F.lit("")) for _, name in sinks.vehicle_columns(False, count)])
+    rows = sinks.vehicle_rows(v, S.gathered(s), False, count)
+    sinks.write_csv(rows, path, ["track_id"])
+    back = files.delimited(spark, path, rows.columns)
+    cells = F.array_join(F.array(*[name for _, name in sinks.vehicle_columns(False, count)]), ",", "")
     return back.select(F.col("video_id").cast("long").alias("video_id"), "track_id", *STATIC, cells.alias("cells"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import durable
 
@@ -69,9 +70,14 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(stem("path").alias("image_id"), "path", rank.alias("rank")).where("rank > 0").groupBy("image_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
-def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every column a string; parse with functions.expr.parsed."""
-    return spark.read.csv(path, header=True)
+def delimited(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file with a header, every column a string; parse with functions.expr.parsed.
+
+    Where the columns are told, no pass over the files finds them, and a file with another header is refused.
+    """
+    if columns is None:
+        return spark.read.csv(path, header=True)
+    return spark.read.schema(StructType([StructField(c, StringType()) for c in columns])).csv(path, header=True, enforceSchema=False)
 
 
 def distinct_ids(rows: DataFrame, column: str = "track_id") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators.kinematics import frame_kinematics
+from ..operators.kinematics import TRACK, frame_kinematics
+from ..operators.reshape import WIDE
 from .label_files import LabelFiles
 
 #: Rows that a sheet may hold; a workbook is a report, not a store.
@@ -54,16 +55,31 @@ def vehicle_columns(calibrated: bool, samples: int) -> list[tuple[str, str]]:
     return [(f"t{i}_{k}", f"t{i}_{v}") for i in range(samples) for k, v in names.items()]
 
 
+def printed_samples(samples: DataFrame) -> DataFrame:
+    """The sample table with its measures as they stand in a wide row, null where there is nothing.
+
+    Printing takes many steps. It is stated once for each measure here, not once for each column of the wide table.
+    """
+    return samples.select(*TRACK, "sample_idx", *[F.when(F.col(k).isNotNull(), E.formatted(k, 2)).alias(k) for k in WIDE])
+
+
 def vehicle_rows(vehicles: DataFrame, wide: DataFrame, calibrated: bool, samples: int) -> DataFrame:
-    """One row a vehicle: ten static columns and nine for each sample, blanks where a track has ended."""
+    """One row a vehicle: ten static columns and nine for each sample, blanks where a track has ended.
+
+    wide is the widened table of numbers, or the gathered table of printed samples, whose texts are only put in their columns.
+    """
     d, u = ("m", "m_per_s") if calibrated else ("px", "px_per_s")
     static = vehicles.select(
         "video_id", "track_id", E.formatted("first_t", 2).alias("timestamp_first_seen"), F.col("first_frame").alias("frame_id_first_seen"), "class_id", "class_name",
         E.formatted("avg_confidence", 2).alias("confidence"), E.formatted("avg_speed", 2).alias(f"avg_speed_{u}"), "direction", F.col("behaviour").alias("behavior_class"),
         E.formatted("total_distance", 2).alias(f"total_distance_{d}"),
     )
-    cells = wide.select("video_id", "track_id", *[F.when(F.col(k).isNotNull(), E.formatted(k, 2)).alias(name) for k, name in vehicle_columns(calibrated, samples)])
-    return static.join(cells, ["video_id", "track_id"], "left")
+    columns = vehicle_columns(calibrated, samples)
+    if "cells" not in wide.columns:
+        numbers = F.array(*[F.col(k) for k, _ in columns]).cast("array<double>")
+        wide = wide.select(*TRACK, F.transform(numbers, lambda x: F.when(x.isNotNull(), E.formatted(x, 2))).alias("cells"))
+    rows = static.join(wide.select(*TRACK, "cells"), list(TRACK), "left")
+    return rows.selectExpr(*static.columns, *[f"get(cells, {i}) AS `{name}`" for i, (_, name) in enumerate(columns)])
 
 
 def as_json(df: DataFrame) -> DataFrame:
