@@ -16,7 +16,7 @@ from tracewright.operators import detection as D
 from tracewright.operators import neighbours as N
 from tracewright.operators import reshape as S
 from tracewright.sources import annotations as files
-from tracewright.sources import sinks
+from tracewright.sources import label_files, sinks
 
 def events(columns: str, n: int) -> str:
     """A folder with n events made by an SQL select list over i."""
@@ -188,3 +188,60 @@ def test_a_file_with_another_header_is_refused(spark, tmp_path):
     assert files.delimited(spark, str(tmp_path), ["n", "x"]).collect() == files.delimited(spark, str(tmp_path)).collect()
     with pytest.raises(Exception, match="header"):
         files.delimited(spark, str(tmp_path), ["n", "y"]).collect()
+
+
+def odd_files(folder, texts):
+    folder.mkdir()
+    for name, content in texts.items():
+        (folder / name).write_bytes(content)
+    (folder / "folder.txt").mkdir()
+    return str(folder)
+
+
+ODD_LABELS = {
+    "a.txt": b"0 0.1 0.2 0.3 0.4\n1 1 1 1 1\n", "b c.txt": b"\r\n 2 0.5 0.5 0.5 0.5 \r\n\r\nbad 1 1 1 1\r3 1 1 1 1\n\n4 1", "none.txt": b"", "x%20y+z.txt": b"5 0 0 0 0", "two.dots.txt": b"7 0 0 0 0\n\xff 1 1 1 1",
+    "mark.txt": b"\xef\xbb\xbf6 0 0 0 0\n", "_hidden.txt": b"8 0 0 0 0", ".hidden.txt": b"8 0 0 0 0", "other.text": b"8 0 0 0 0", "OTHER.TXT": b"8 0 0 0 0", "\u00e9.txt": b"9 0 0 0 0",
+}
+OBJECT = b"<object><name> %s </name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3.5</xmax><ymax>4</ymax></bndbox></object>"
+ODD_VOC = {
+    "a.txt": b"<annotation><size><width>9</width><height>8</height></size>" + OBJECT % b"Car" + OBJECT % b"bus" + b"</annotation>", "empty.txt": b"", "words.txt": b"no markup", "blank.txt": b" \n", "other.txt": b"<page><size><width>1</width></size></page>", "bare.txt": b"<annotation></annotation>",
+    "told.txt": b'<?xml version="1.0"?>\n<!-- by hand -->\n<annotation verified="yes">\n<filename>f.jpg</filename>' + OBJECT % b"a &amp; b" + b"\n</annotation>\n", "half.txt": b"<annotation><size><width>7</width>",
+    "in.txt": b"<all>" + 2 * (b"<annotation>" + OBJECT % b"train" + b"</annotation>") + b"</all>", "self.txt": b"<annotation/>", "badnum.txt": b"<annotation><size><width>x</width><height>3</height></size></annotation>",
+    "x%20y.txt": b"<annotation><size><width>1</width><height>2</height></size></annotation>",
+}
+
+
+@pytest.mark.parametrize("kind", ["labels", "voc"])
+def test_a_large_folder_reads_as_a_small_one_and_its_files_are_not_listed(spark, tmp_path, monkeypatch, kind):
+    """The driver listed every file of a folder and held its place: it ran out of memory before the tasks did."""
+    path = odd_files(tmp_path / "some", ODD_LABELS if kind == "labels" else ODD_VOC)
+    held, write = [], files.durable
+
+    def watched(df, what, **options):
+        held.append(len(df.inputFiles()))
+        return write(df, what, **options)
+
+    monkeypatch.setattr(files, "durable", watched)
+
+    def rows():
+        tables = [files.yolo_labels(spark, path, "txt")] if kind == "labels" else files.voc(spark, path, "txt")
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    small = rows()
+    monkeypatch.setattr(label_files, "LISTED", 2)
+    monkeypatch.setattr(label_files, "FILES_A_TASK", 3)
+    assert rows() == small and min(map(len, small)) > 1
+    assert held[0] > 5 and held[1] <= 1
+
+
+def test_label_files_are_moved_a_few_at_a_time(tmp_path, monkeypatch):
+    """The driver held the names of all of a task's files, and a future for each, at once."""
+    monkeypatch.setattr(label_files, "FOLDER", 10)
+    path = str(tmp_path / "labels")
+    for rows in (range(95), range(90, 120), range(0)):
+        writer = label_files.LabelWriter(path, True)
+        wrote = writer.write(iter([{"image_id": f"n{i}", "content": f"{i}"} for i in rows]))
+        staged = [len(names) for _, _, names in os.walk(f"{path}/{wrote.folder}") if names]
+        assert sum(staged) == len(rows) and max(staged, default=0) <= 10
+        writer.commit([wrote, None])
+        assert {p.name: p.read_text() for p in (tmp_path / "labels").iterdir()} == {f"n{i}.txt": f"{i}" for i in rows} | {"_SUCCESS": ""}

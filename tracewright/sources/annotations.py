@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import durable
+from .label_files import many_files
 
 COCO = (
     "images array<struct<id:long,file_name:string,width:int,height:int>>, "
@@ -31,10 +32,19 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def voc(spark: SparkSession, path: str, ending: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(images, boxes) of VOC files; an image is named by its file's stem. path is a pattern, or a folder where an ending is told.
 
-    Every image is a file: they are opened once, many to a task, for both tables.
+    Every image is a file: they are opened once, many to a task, for both tables. A large folder's are not listed by the driver.
     """
-    reader = spark.read.format("xml").option("rowTag", "annotation").schema(VOC)
-    raw = (reader.option("pathGlobFilter", f"*.{ending}") if ending else reader).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+    many = many_files(spark, path, ending) if ending else None
+    if many is None:
+        reader = spark.read.format("xml").option("rowTag", "annotation").schema(VOC)
+        raw = (reader.option("pathGlobFilter", f"*.{ending}") if ending else reader).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+    else:
+        # As the reader has it: a row for each annotation element, and one without values for what is no XML.
+        text = F.col("content").cast("string")
+        found = F.regexp_extract_all(text, F.lit(r"(?s)<annotation[\s>].*?</annotation>"), F.lit(0))
+        docs = many.select("file", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(text))).alias("text")).where(F.col("text").rlike(r"\S"))
+        docs = docs.withColumn("a", F.from_xml("text", VOC + ", _corrupt_record string", {"rowTag": "annotation"}))
+        raw = docs.where(F.col("text").contains("<annotation") | F.col("a._corrupt_record").isNotNull()).select("a.*", "file").drop("_corrupt_record")
     raw = durable(raw.withColumn("image_id", stem("file")), "voc", small_files=True)
     images = raw.select("image_id", F.col("size.width").alias("width"), F.col("size.height").alias("height"))
     boxes = raw.select("image_id", F.posexplode("object").alias("line_no", "o")).select("image_id", "line_no", F.lower(F.trim("o.name")).alias("name"), "o.bndbox.*")
@@ -49,10 +59,15 @@ def yolo_labels(spark: SparkSession, path: str, ending: str | None = None) -> Da
     """(image_id, line_no, class_id, cx, cy, w, h) of label files; lines whose first token is no integer are left out.
 
     path is a pattern, or a folder where an ending is told: a folder is listed as one, a pattern's files each by itself.
+    A large folder's files are not listed by the driver.
     """
-    reader = spark.read.option("pathGlobFilter", f"*.{ending}") if ending else spark.read
-    lines = reader.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
-    lines = durable(lines, "label-lines", small_files=True)
+    many = many_files(spark, path, ending) if ending else None
+    if many is None:
+        reader = spark.read.option("pathGlobFilter", f"*.{ending}") if ending else spark.read
+        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    else:
+        lines = many.select("file", F.posexplode(F.split(F.col("content").cast("string"), "\r\n|\r|\n")).alias("at", "value"))
+    lines = durable(lines.select(F.trim("value").alias("line"), "file", "at").where("line <> ''"), "label-lines", small_files=True)
     parts = F.split("line", r"\s+")
     out = lines.select(stem("file").alias("image_id"), "at", F.get(parts, 0).try_cast("int").alias("class_id"), *[F.get(parts, i + 1).try_cast("double").alias(k) for i, k in enumerate(("cx", "cy", "w", "h"))])
     return out.where("class_id is not null").withColumn("line_no", F.row_number().over(W.partitionBy("image_id").orderBy("at")) - 1).drop("at")
